@@ -6,19 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort
+from . import content_sort, packing, token_orc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+#: Ends each document in the token outputs.
+END_ID = 2
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_orc.write(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID)
+    return token_orc.digest(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID)
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(_read(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_orc": op6_token_orc,
     "op7_content_sort": op7_content_sort,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
