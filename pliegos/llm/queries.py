@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, packing, token_orc
+from . import content_sort, packing, rule_ensemble, token_orc, toxicity_mil
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def tokenizer_file() -> str:
 END_ID = 2
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.write(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID)
     return token_orc.digest(spark, path)
@@ -36,10 +40,16 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_mil": op1_toxicity_mil,
     "op6_token_orc": op6_token_orc,
     "op7_content_sort": op7_content_sort,
     "op8_packing": op8_packing,
+    "op9_rule_ensemble": op9_rule_ensemble,
 }
 
 ORACLE_SQL: dict[str, str] = {
