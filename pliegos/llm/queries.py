@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, packing, rule_ensemble, token_orc, toxicity_mil
+from . import content_sort, packing, rule_ensemble, simhash_gray, token_orc, toxicity_mil
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -46,6 +50,7 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
+    "op3_simhash_gray": op3_simhash_gray,
     "op6_token_orc": op6_token_orc,
     "op7_content_sort": op7_content_sort,
     "op8_packing": op8_packing,
