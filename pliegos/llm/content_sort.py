@@ -1,8 +1,9 @@
 """Exact deduplication by sorting contents.
 
-Rows are range-partitioned by their normalised bytes with splitters that Spark samples,
-sorted inside each partition (spilling to disk where needed), and each row is compared
-in full with its neighbours: the window over equal texts does that on the sorted rows.
+Rows are range-partitioned by the first ``PREFIX`` characters of their normalised text and
+its 64-bit hash, so that the sampled splitters stay short. Inside each partition they are
+sorted (spilling to disk where needed), which puts equal texts side by side, and each row
+is compared in full with its neighbours: the window over equal texts does that.
 
 A text with very many copies would land in one task. A first pass counts copies by hash;
 a text with more copies than half a partition's rows gets a salt, so that its rows sort
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .staging import free_name, shuffle_partitions, staged
 
+PREFIX = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,9 +66,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         normalised(F.col("content")).alias("content"),
         F.when(F.col("cells").isNull(), -1).otherwise(F.pmod(F.hash("row_id"), F.col("cells"))).alias("cell"),
     )
-    ordered = dealt.repartitionByRange(partitions, "content", "cell")
+    keys = {"prefix": F.substring("content", 1, PREFIX), "content_key": F.xxhash64("content")}
+    ordered = dealt.withColumns(keys).repartitionByRange(partitions, "prefix", "content_key", "cell")
     best_first = F.col("row_id").asc_nulls_last() if keep == "smallest" else F.col("row_id").desc_nulls_last()
-    equal = Window.partitionBy("content", "cell")
+    equal = Window.partitionBy("prefix", "content_key", "cell", "content")
     neighbours = ordered.select(
         "row_id",
         (F.col("cell") >= 0).alias("in_cell"),
