@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, packing, rule_ensemble, simhash_gray, token_orc, toxicity_mil
+from . import content_sort, decontaminate, line_dedup, packing, rule_ensemble, simhash_gray, token_orc, toxicity_mil
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_kept", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.write(_read(spark, sf_dir, "documents"), tokenizer_file(), END_ID)
     return token_orc.digest(spark, path)
@@ -55,6 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op3_simhash_gray": op3_simhash_gray,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_orc": op6_token_orc,
     "op7_content_sort": op7_content_sort,
     "op8_packing": op8_packing,
@@ -63,6 +70,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents WHERE text IS NOT NULL),
+        m AS (SELECT *, trim(lower(line)) AS norm FROM l),
+        d AS (SELECT norm, min((doc_id, pos)) AS place FROM m WHERE norm <> '' GROUP BY norm),
+        w AS (SELECT place, norm, string_split(norm, ' ') AS w FROM d WHERE len(string_split(norm, ' ')) >= 5),
+        g AS (SELECT place, w, unnest(range(1, len(w) + 1)) AS gone FROM w),
+        v AS (SELECT place, gone, array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), ' ') AS variant FROM g),
+        e AS (SELECT variant, gone, min(place) AS early FROM v GROUP BY variant, gone),
+        late AS (
+            SELECT v.place FROM v JOIN e ON v.variant = e.variant AND v.gone = e.gone WHERE e.early < v.place
+            UNION
+            SELECT CASE WHEN v.place < w.place THEN w.place ELSE v.place END FROM v JOIN w ON v.variant = w.norm),
+        s AS (SELECT place FROM d WHERE place NOT IN (SELECT place FROM late)),
+        k AS (
+            SELECT m.doc_id, m.pos, m.line, m.norm = '' OR s.place IS NOT NULL AS stays
+            FROM m LEFT JOIN s ON s.place = (m.doc_id, m.pos))
+        SELECT d.doc_id, coalesce(count(k.pos), 0) AS n_lines, count(*) FILTER (k.stays) AS n_kept,
+               CASE WHEN any_value(d.text) IS NOT NULL
+                    THEN sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (k.stays), '')) END AS text_sha256
+        FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op7_content_sort": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
