@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, line_dedup, packing, rule_ensemble, simhash_gray, token_orc, toxicity_mil
+from . import content_sort, decontaminate, line_dedup, packing, pseudo_likelihood, rule_ensemble, simhash_gray, token_orc, toxicity_mil
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.train_and_score(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.deduplicated(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_kept", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -61,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op3_simhash_gray": op3_simhash_gray,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_orc": op6_token_orc,
     "op7_content_sort": op7_content_sort,
