@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, line_dedup, packing, pseudo_likelihood, rule_ensemble, simhash_gray, token_orc, toxicity_mil
+from . import content_sort, decontaminate, line_dedup, packing, pseudo_likelihood, rule_ensemble, simhash_gray, token_orc, tool_calls, toxicity_mil
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(_read(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, {"reply": tool_calls.REPLY_SCHEMA})
+
+
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
+    "op2_tool_calls": op2_tool_calls,
     "op3_simhash_gray": op3_simhash_gray,
     "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_line_dedup": op5_line_dedup,
