@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step moves edges towards the smallest neighbour. Hubs are met by map-side minima and
-by joins whose skewed partitions Spark splits; every round is written to the shared folder.
+by joins whose skewed partitions Spark splits: for that the minima are written first, so that
+both sides of a join are plain shuffles. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from .staging import staged
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
+    least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
     moved = edges.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.union(least.select("u", F.col("least").alias("v")))
 

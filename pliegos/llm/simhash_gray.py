@@ -239,9 +239,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     of_root = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "first_id")
     own = roots.select("root").distinct().join(distinct, F.col("root") == distinct.fp).select("root", "fp", "first_id")
     members = staged(of_root.union(own), "members")
-    least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written first, so that both sides of the joins below are plain shuffles, whose hot partitions Spark splits
+    least = staged(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
     moved = members.join(least, "root").select("fp", "component_id")
-    labels = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    labels = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
     return marked.join(labels, "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
