@@ -214,7 +214,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """From distinct fingerprints (column fp) to pairs (a, b) within the radius that connect each component."""
+    """From distinct fingerprints (column fp) to pairs (a, b) of the same component, which connect each component."""
     rows = _under_nodes(fps.select("fp", gray_rank(F.col("fp")).alias("rank")), 1)
     found = None
     for level in range(1, len(LEVELS)):
