@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SEPARATORS = "[^a-z0-9à-öø-ÿ]+"
 PHRASE_BASE, BAG_BASE, RANK_CAP, NAME_CAP, MASK_SCORE = 0.60, 0.35, 0.10, 0.95, 0.85
 #: Weight of a lexeme without a class, and what a single occurrence ranks.
-LEXEME_WEIGHT, SINGLE_RANK = 0.1, 0.1 / 1.64493406685
+LEXEME_WEIGHT, SINGLE_RANK, REACH = 0.1, 0.1 / 1.64493406685, 100
 
 
 def tokens(text: Column) -> Column:
@@ -41,11 +41,16 @@ def rank(doc: Column, query: Column) -> Column:
     """How close the distinct tokens of ``query`` stand in ``doc``, all pairs of places of different tokens combined."""
     words = F.array_distinct(query)
     places = F.filter(F.transform(doc, lambda t, i: F.struct(F.array_position(words, t).alias("w"), i.alias("at"))), lambda p: p["w"] > 0)
-    distances = F.flatten(F.transform(places, lambda a: F.transform(
-        F.filter(places, lambda b: (b["w"] > a["w"])), lambda b: F.abs(b["at"] - a["at"]))))
+
+    def near(all_places: Column) -> Column:
+        # places stand in order, so that those within reach follow directly; further ones add nothing that a double holds
+        return F.flatten(F.transform(all_places, lambda a, i: F.transform(
+            F.filter(F.slice(all_places, i + 2, REACH), lambda b: (b["w"] != a["w"]) & (b["at"] - a["at"] <= REACH)), lambda b: b["at"] - a["at"])))
+
+    distances = F.transform(F.array(places), near)[0]  # inside a lambda, so that places are found once
     misses = F.aggregate(
         distances, F.lit(1.0),
-        lambda acc, d: acc * (1 - F.sqrt(LEXEME_WEIGHT * LEXEME_WEIGHT * F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))),
+        lambda acc, d: acc * (1 - F.sqrt(LEXEME_WEIGHT * LEXEME_WEIGHT * 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))),
     )
     return F.when(F.size(words) == 1, F.lit(SINGLE_RANK)).otherwise(1 - misses)
 

@@ -122,10 +122,14 @@ def radar(index: DataFrame, clients: DataFrame, links: DataFrame, results: DataF
 def identifier_owners(clients: DataFrame, links: DataFrame) -> DataFrame:
     """identifier, cliente_id, vinculo_id: a link beats a client, a later row an earlier one, a client's DNI its CIF."""
     empty = F.lit(None).cast("long")
+
+    def order(kind: int, row: str, key: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(row).cast("long").alias("row"), F.lit(key).alias("key")).alias("o")
+
     rows = (
-        clients.select(identifiers.normal_identifier(F.col("cif_nif")).alias("identifier"), "cliente_id", empty.alias("vinculo_id"), F.struct(F.lit(0), F.col("cliente_id"), F.lit(0)).alias("o"))
-        .unionByName(clients.select(identifiers.normal_identifier(F.col("dni_nie")).alias("identifier"), "cliente_id", empty.alias("vinculo_id"), F.struct(F.lit(0), F.col("cliente_id"), F.lit(1)).alias("o")))
-        .unionByName(links.select(identifiers.normal_identifier(F.col("identificador")).alias("identifier"), "cliente_id", F.col("vinculo_id").cast("long"), F.struct(F.lit(1), F.col("vinculo_id").cast("long"), F.lit(0)).alias("o")))
+        clients.select(identifiers.normal_identifier(F.col("cif_nif")).alias("identifier"), "cliente_id", empty.alias("vinculo_id"), order(0, "cliente_id", 0))
+        .unionByName(clients.select(identifiers.normal_identifier(F.col("dni_nie")).alias("identifier"), "cliente_id", empty.alias("vinculo_id"), order(0, "cliente_id", 1)))
+        .unionByName(links.select(identifiers.normal_identifier(F.col("identificador")).alias("identifier"), "cliente_id", F.col("vinculo_id").cast("long"), order(1, "vinculo_id", 0)))
     )
     return relational.last_wins(rows, "identifier", [F.col("o").desc()]).drop("o")
 
