@@ -79,7 +79,7 @@ def valid_cif(letter: Column, digits: Column, control: Column) -> Column:
 
 def fits_mask(identifier: Column, mask: Column) -> Column:
     """Whether an identifier agrees with a mask such as ***4567** in length and at each place that is no star."""
-    return identifier.like(F.replace(mask, F.lit("*"), F.lit("_")))
+    return F.like(identifier, F.replace(mask, F.lit("*"), F.lit("_")))
 
 
 def _in_context(body: Column, pattern: str, groups: int, keep) -> Column:
