@@ -12,8 +12,8 @@ its share of the class. The network sets the vectors of the tokens around side b
 layer over classes follows a tanh. It starts from the frequencies of the classes.
 
 Training: in each of ``ROUNDS`` passes every partition starts from the same weights and takes its own
-documents, every text whole, with every ``MASK``-th token as a target (another residue in each pass);
-the weights of all partitions are averaged, weighted by their targets, over a tree of ``GROUPS``
+documents, every text whole, with every ``ROUNDS``-th token as a target and another residue in each pass, so
+that every token is a target once; the texts are tokenised once, into a table. The weights of all partitions are averaged, weighted by their targets, over a tree of ``GROUPS``
 children. What is gathered thus follows the number of partitions, while no task holds more than
 ``GROUPS`` networks. Scoring predicts every token.
 
@@ -34,8 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 VOCABULARY, CLASSES, WIDTH, SIDE = 1 << 15, 64, 16, 2
-ROUNDS, MASK, BATCH, RATE = 2, 16, 2048, 1.0
+ROUNDS, BATCH, RATE = 2, 2048, 1.0
 TOKENS_AT_ONCE, KEPT, GROUPS = 1 << 16, 400_000, 32
 UNSEEN = 0.05  # added to the count of each number
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -146,14 +148,30 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return class_of, np.log(weight / total[class_of]), np.log(np.maximum(total, UNSEEN) / total.sum())
 
 
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and numbers, the tokens of the text as two bytes each."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = pa.array([tokens(t.as_py()).astype("<u2").tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), numbers], ["doc_id", "numbers"])
+
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, numbers binary")
+
+
+def _numbers_of(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), "<u2").astype("i8")
+
+
 def count_tokens(rows: DataFrame) -> np.ndarray:
-    """How often each number occurs in all texts; at most VOCABULARY rows reach the driver."""
+    """How often each number occurs in the tokenised texts; at most VOCABULARY rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(VOCABULARY, "i8")
         for b in batches:
             for t in b.column(1):
-                seen += np.bincount(tokens(t.as_py()), minlength=VOCABULARY)
+                np.add.at(seen, _numbers_of(t), 1)
         number = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(seen[number])], ["number", "seen"])
 
@@ -174,8 +192,8 @@ def _round(rows: DataFrame, network: Network, class_of: np.ndarray, residue: int
         size = 0
         for b in batches:
             for t in b.column(1):
-                row, places = _edged([tokens(t.as_py())])
-                at = places[residue::MASK]
+                row, places = _edged([_numbers_of(t)])
+                at = places[residue::ROUNDS]
                 waiting.append((np.stack([row[at + d] for d in OFFSETS], axis=1), classes_[row[at]]))
                 size += len(at)
                 if size >= BATCH:
@@ -215,19 +233,26 @@ def _round(rows: DataFrame, network: Network, class_of: np.ndarray, residue: int
     return Network.of(sum(np.frombuffer(m.flat, "<f4").astype("f8") * (m.weight / weight) for m in means))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _trained(rows: DataFrame) -> Model:
+    """The model of a tokenised table."""
     class_of, log_share, log_frequency = classes(count_tokens(rows))
     network = Network.fresh(log_frequency)
     for k in range(ROUNDS):
-        network = _round(rows, network, class_of, k * MASK // ROUNDS)
+        network = _round(rows, network, class_of, k)
     return Model(network, class_of, log_share)
 
 
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return _trained(staged(tokenised(docs, id_col, text_col), "tokens"))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_tokens, log_probability (the sum) and mean_log_probability."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(tokenised(docs, id_col, text_col), model, id_col)
+
+
+def _scored(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def score_batch(docs_: list, texts: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(t) for t in texts], "i8")
@@ -241,7 +266,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts, first, size = [], 0, 0
             for k, t in enumerate(b.column(1)):
-                texts.append(tokens(t.as_py()))
+                texts.append(_numbers_of(t))
                 size += len(texts[-1])
                 if size >= TOKENS_AT_ONCE or k == len(b) - 1:
                     yield score_batch(b.column(0).slice(first, len(texts)), texts)
@@ -252,4 +277,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return score(docs, train(docs, id_col, text_col), id_col, text_col)
+    rows = staged(tokenised(docs, id_col, text_col), "tokens")
+    return _scored(rows, _trained(rows), id_col)
