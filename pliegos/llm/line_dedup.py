@@ -1,22 +1,27 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are compared trimmed and in lower case, as words between single blanks. Two lines match when
-they are equal, or when both have ``LEAST_WORDS`` words or more and one edit of a word (another
-word, one more, one fewer) turns one into the other. A line goes when an earlier line matches it;
-earlier is by document id, then by place. Lines without text always stay.
-
-Equal lines meet first, by a 128-bit hash, with the earliest kept. Then each distinct line emits its
-deletion neighbourhood as hashed keys: itself, and itself without each of its words. Lines whose
-variants lack the same word place match each other, so each is paired with the earliest of its key
-only; a line that equals a variant of another is paired with it. That is a pair for each key at
-most, however many lines share it. Pairs are verified by their edit distance.
-
-Only lines that may have a match emit keys: one edit leaves the first or the last half of a line
-as it is, so a line must share a half with another line of its own length or of the next. That loses no match.
+Lines are compared trimmed and in lower case. The unit of an edit is a word in lines of ``LEAST_WORDS``
+words or more, and a character in shorter lines. Two lines match when they are equal, or when both have
+the same unit and one edit (another unit, one more, one fewer) turns one into the other; lines of fewer than
+``LEAST_CHARACTERS`` characters match only when equal, as one edit makes another word of them. A line goes when an
+earlier line matches it; earlier is by document id, then by place. Lines without text always stay.
+
+Equal lines meet first, by a 128-bit hash, with the earliest kept. Then lines emit their deletion neighbourhood
+as hashed keys: themselves, and themselves without each of their units. Lines whose variants lack the
+unit at the same place match each other, so each is paired with the earliest of its key only; a line that equals a variant
+of another is paired with it. That is a pair for each key at most, however many lines share it. Pairs
+are verified by their edit distance.
+
+Two filters keep variants few, and lose no match. One edit leaves the first or the last half of a line as it
+is: a line emits variants only if it shares a half with another line, and only without units outside that half. And a
+variant is first hashed by its pairs of neighbouring units, which takes the same few steps however long the
+line is; only variants whose sum occurs in another line are spelled out.
 
 Defined results: a null text stays null and counts no lines; empty texts have one empty line;
 rows with one id and one text are one document; rows with one id and other texts are ordered by
-the hash of their text; null ids come first; an empty table gives no rows.
+the hash of their text; null ids come first; very long texts and lines are compared whole; columns of ``docs`` besides
+the id and the text are carried as they are, and n_lines and n_kept get underscores where those names are
+taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .staging import free_name, staged
 
-LEAST_WORDS = 5
+LEAST_WORDS, LEAST_CHARACTERS = 5, 10
 PLACE = ["doc", "version", "pos"]
 
 
@@ -50,69 +55,88 @@ def _word_count(norm: Column) -> Column:
     return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-def _substring_index(norm: str, count: str) -> Column:
-    return F.expr(f"substring_index({norm}, ' ', {count})")
+def _half(side: int, size: str) -> Column:
+    """The key of the first (side 0) or last ``size`` units; null for lines that match only when equal."""
+    words = F.expr(f"substring_index(norm, ' ', {'-' if side else ''}{size})")
+    characters = F.expr(f"{'right' if side else 'left'}(norm, {size})")
+    return F.when(F.col("by_words"), _hash(F.lit(side), F.col(size), words)).when(F.col("units") >= LEAST_CHARACTERS, _hash(F.lit(side + 2), F.col(size), characters))
 
 
 def _distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, first (its earliest place), n and the keys of its halves.
+    """h1, h2, first (its earliest place), units and the keys of its halves.
 
-    Lines of n and n + 1 words share the keys of n + 1: its halves have n / 2 words, rounded down.
+    Lines of n and n + 1 units share halves of n / 2 units, rounded down; lines of n units those of (n - 1) / 2.
     """
-    rows = lines.select(F.struct(*PLACE).alias("place"), "norm", _word_count(F.col("norm")).alias("n")).withColumns(
-        {"half": F.expr("int(floor((n - 1) / 2))"), "next_half": F.expr("int(floor(n / 2))")}
-    )
+    rows = lines.select(F.struct(*PLACE).alias("place"), "norm", _word_count(F.col("norm")).alias("words"))
+    rows = rows.withColumn("by_words", F.col("words") >= LEAST_WORDS).withColumn("units", F.when(F.col("by_words"), F.col("words")).otherwise(F.length("norm")))
+    rows = rows.withColumns({"half": F.expr("int(floor((units - 1) / 2))"), "next_half": F.expr("int(floor(units / 2))")})
+    longer = F.col("next_half") > F.col("half")
     keyed = rows.select(
-        "place", "n",
-        _hash(F.col("norm")).alias("h1"), _hash(F.lit(1), F.col("norm")).alias("h2"),
-        *[
-            F.when(F.col("n") >= LEAST_WORDS, _hash(F.lit(side), F.col("n") + more, _substring_index("norm", f"{sign}{half}"))).alias(f"k{side}{more}")
-            for more, half in ((0, "half"), (1, "next_half"))
-            for side, sign in ((0, ""), (1, "-"))
-        ],
+        "place", "units", _hash(F.col("norm")).alias("h1"), _hash(F.lit(1), F.col("norm")).alias("h2"),
+        *[_half(side, "half").alias(f"k{side}") for side in (0, 1)], *[F.when(longer, _half(side, "next_half")).alias(f"n{side}") for side in (0, 1)],
     )
-    return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in ("k00", "k10", "k01", "k11")])
+    return keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), *[F.first(k).alias(k) for k in ("units", "k0", "k1", "n0", "n1")])
 
 
 def _with_partners(distinct: DataFrame) -> DataFrame:
-    """Places of the distinct lines that share a half with another distinct line."""
-    keys = distinct.where(F.col("n") >= LEAST_WORDS).select("first", F.explode(F.array("k00", "k10", "k01", "k11")).alias("key"))
-    shared = staged(keys.groupBy("key").count().where("count > 1").select("key"), "shared-halves")
-    return keys.join(shared, "key", "left_semi").select("first.*").distinct()
+    """first, low, high of the distinct lines that share a half with another one: the units from low to high may differ."""
+    half, next_half = F.expr("int(floor((units - 1) / 2))"), F.expr("int(floor(units / 2))")
+    halves = F.array(*[F.struct(F.col(f"{kind}{side}").alias("key"), (size + 1 if side == 0 else F.lit(1)).alias("low"), (F.col("units") if side == 0 else F.col("units") - size).alias("high"))
+                       for kind, size in (("k", half), ("n", next_half)) for side in (0, 1)])
+    keys = distinct.select("h1", "h2", F.explode(halves).alias("k")).select("h1", "h2", "k.*").where(F.col("key").isNotNull())
+    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    met = keys.join(staged(shared, "shared-halves"), "key", "left_semi").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return met.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).select("first.*", "low", "high")
 
 
 def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, version, pos, norm of the lines at ``places``."""
-    wanted = places.groupBy("doc", "version").agg(F.collect_list("pos").alias("wanted"))
+    """place, units (the words or characters of the line), low and high of the lines at ``places``."""
+    wanted = places.groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "low", "high")).alias("wanted"))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _hash(F.col(text_col)).alias("v"), F.col(text_col).alias("t"))
-    met = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")))
-    return met.select("doc", "version", F.split("t", "\n").alias("all"), F.explode("wanted").alias("pos")).select(*PLACE, _normal(F.col("all")[F.col("pos")]).alias("norm")).dropDuplicates(PLACE)
+    met = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version"))).select("doc", "version", F.split("t", "\n").alias("all"), F.explode("wanted").alias("w"))
+    lines = met.select(F.struct("doc", "version", "w.pos").alias("place"), _normal(F.col("all")[F.col("w.pos")]).alias("norm"), "w.low", "w.high")
+    units = F.when(_word_count(F.col("norm")) >= LEAST_WORDS, F.split("norm", " ")).otherwise(F.split("norm", ""))
+    return lines.select("place", (_word_count(F.col("norm")) >= LEAST_WORDS).alias("by_words"), units.alias("units"), "low", "high").dropDuplicates(["place"])
+
+
+#: Sums of 40-bit hashes of neighbouring units, so that no sum of a line overflows; the ends count as empty units.
+_PAIR = "shiftrightunsigned(xxhash64({a}, {b}), 24)"
+_SUMMED = f"""
+    transform(array(transform(sequence(0, size(units)), i -> {_PAIR.format(a="if(i = 0, '', units[i - 1])", b="if(i = size(units), '', units[i])")})), p ->
+        struct(p, aggregate(p, 0L, (a, x) -> a + x) as total))[0]
+"""
+_SUM_WITHOUT = f"""
+    transform(filter(sequence(0, high), g -> g = 0 or g >= low), g -> struct(g as gone,
+        case when g = 0 then s.total else s.total - s.p[g - 1] - s.p[g] + {_PAIR.format(a="if(g = 1, '', units[g - 2])", b="if(g = size(units), '', units[g])")} end as total))
+"""
+_WITHOUT = """
+    transform(gones, g -> struct(g as gone, case when g = 0 then xxhash64(concat_ws('\n', units)) else xxhash64(concat_ws('\n', slice(units, 1, g - 1), slice(units, g + 1, size(units)))) end as v))
+"""
 
 
 def _neighbourhood(texts: DataFrame) -> DataFrame:
-    """v1, v2 (hashes of the variant), gone (the place of the word left out, 0 for none), place."""
-    words = texts.select(F.struct(*PLACE).alias("place"), F.split("norm", " ").alias("w"))
-    variants = words.select("place", F.explode(F.expr("""
-        transform(sequence(0, size(w)), g -> struct(g as gone,
-            case when g = 0 then array_join(w, ' ') else concat_ws(' ', slice(w, 1, g - 1), slice(w, g + 1, size(w))) end as variant))
-    """)).alias("x"))
-    return variants.select("place", "x.gone", _hash(F.col("x.variant")).alias("v1"), _hash(F.lit(1), F.col("x.variant")).alias("v2"))
+    """v (hash of the variant), by_words, left (its units), gone (the place of the unit left out, 0 for none), place: of variants that may occur in another line."""
+    sums = texts.withColumn("s", F.expr(_SUMMED)).select("place", "by_words", F.size("units").alias("n"), F.explode(F.expr(_SUM_WITHOUT)).alias("x"))
+    sums = sums.select("place", F.col("x.gone").alias("gone"), _hash(F.col("by_words"), F.col("n") - (F.col("x.gone") > 0).cast("int"), F.col("x.total")).alias("sum"), _hash("place").alias("line"))
+    sums = staged(sums, "variant-sums")
+    twice = sums.groupBy("sum").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("sum")
+    gones = sums.join(twice, "sum", "left_semi").groupBy("place").agg(F.collect_set("gone").alias("gones"))
+    met = texts.join(gones, "place").select("place", "by_words", F.size("units").alias("n"), F.explode(F.expr(_WITHOUT)).alias("x"))
+    return met.select("x.v", "by_words", (F.col("n") - (F.col("x.gone") > 0).cast("int")).alias("left"), "x.gone", "place")
 
 
 def _pairs(variants: DataFrame) -> DataFrame:
     """Pairs (early, late) of places to verify: at most one or two for each variant."""
+    key = ["v", "by_words", "left"]
     gone = variants.where("gone > 0")
-    earliest = staged(
-        gone.groupBy("v1", "v2", "gone").agg(F.min("place").alias("early"), F.count(F.lit(1)).alias("many")).where("many > 1").select("v1", "v2", "gone", "early"),
-        "earliest",
-    )
-    replaced = gone.join(earliest, ["v1", "v2", "gone"]).where("early < place").select("early", F.col("place").alias("late"))
-    whole = variants.where("gone = 0").select("v1", "v2", F.col("place").alias("whole"))
-    added = gone.join(whole, ["v1", "v2"]).select(F.least("whole", "place").alias("early"), F.greatest("whole", "place").alias("late"))
+    earliest = gone.groupBy(*key, "gone").agg(F.min("place").alias("early"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    replaced = gone.join(earliest, [*key, "gone"]).where("early < place").select("early", F.col("place").alias("late"))
+    whole = variants.where("gone = 0").select(*key, F.col("place").alias("whole"))
+    added = gone.join(whole, key).select(F.least("whole", "place").alias("early"), F.greatest("whole", "place").alias("late"))
     return replaced.union(added).distinct()
 
 
-#: Whether the word lists a and b are within one edit: what follows the first difference must agree.
+#: Whether the lists a and b are within one edit: what follows the first difference must agree.
 WITHIN_ONE_EDIT = """
     case when size(a) = size(b) then slice(a, same + 2, size(a)) = slice(b, same + 2, size(b))
          when size(a) = size(b) + 1 then slice(a, same + 2, size(a)) = slice(b, same + 1, size(b))
@@ -123,9 +147,8 @@ WITHIN_ONE_EDIT = """
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The places that have an earlier line within one edit."""
-    words = texts.select(F.struct(*PLACE).alias("place"), F.split("norm", " ").alias("w"))
-    a = words.select(F.col("place").alias("early"), F.col("w").alias("a"))
-    b = words.select(F.col("place").alias("late"), F.col("w").alias("b"))
+    a = texts.select(F.col("place").alias("early"), F.col("units").alias("a"))
+    b = texts.select(F.col("place").alias("late"), F.col("units").alias("b"))
     first_other = F.expr("array_position(transform(sequence(1, least(size(a), size(b))), i -> a[i - 1] <> b[i - 1]), true)")
     same = F.when(first_other == 0, F.expr("least(size(a), size(b))")).otherwise(first_other - 1).cast("int")
     return pairs.join(b, "late").join(a, "early").withColumn("same", same).where(F.expr(WITHIN_ONE_EDIT)).select("late").distinct()

@@ -87,14 +87,16 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents WHERE text IS NOT NULL),
         m AS (SELECT *, trim(lower(line)) AS norm FROM l),
         d AS (SELECT norm, min((doc_id, pos)) AS place FROM m WHERE norm <> '' GROUP BY norm),
-        w AS (SELECT place, norm, string_split(norm, ' ') AS w FROM d WHERE len(string_split(norm, ' ')) >= 5),
-        g AS (SELECT place, w, unnest(range(1, len(w) + 1)) AS gone FROM w),
-        v AS (SELECT place, gone, array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), ' ') AS variant FROM g),
-        e AS (SELECT variant, gone, min(place) AS early FROM v GROUP BY variant, gone),
+        w AS (SELECT place, norm, len(string_split(norm, ' ')) >= 5 AS words,
+                     CASE WHEN len(string_split(norm, ' ')) >= 5 THEN string_split(norm, ' ') ELSE string_split(norm, '') END AS w
+              FROM d WHERE len(string_split(norm, ' ')) >= 5 OR length(norm) >= 10),
+        g AS (SELECT place, words, w, unnest(range(1, len(w) + 1)) AS gone FROM w),
+        v AS (SELECT place, gone, words, array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), CASE WHEN words THEN ' ' ELSE '' END) AS variant FROM g),
+        e AS (SELECT words, variant, gone, min(place) AS early FROM v GROUP BY words, variant, gone),
         late AS (
-            SELECT v.place FROM v JOIN e ON v.variant = e.variant AND v.gone = e.gone WHERE e.early < v.place
+            SELECT v.place FROM v JOIN e ON v.words = e.words AND v.variant = e.variant AND v.gone = e.gone WHERE e.early < v.place
             UNION
-            SELECT CASE WHEN v.place < w.place THEN w.place ELSE v.place END FROM v JOIN w ON v.variant = w.norm),
+            SELECT CASE WHEN v.place < w.place THEN w.place ELSE v.place END FROM v JOIN w ON v.words = w.words AND v.variant = w.norm),
         s AS (SELECT place FROM d WHERE place NOT IN (SELECT place FROM late)),
         k AS (
             SELECT m.doc_id, m.pos, m.line, m.norm = '' OR s.place IS NOT NULL AS stays

@@ -21,10 +21,11 @@ def plain(rows):
         kept = []
         for line in text.split("\n"):
             norm = line.lower().strip(" ")
-            words = norm.split(" ")
-            match = any(norm == n or (len(words) >= 5 and len(w) >= 5 and distance_is_one(words, w)) for n, w in seen)
+            units = norm.split(" ") if norm.count(" ") >= 4 else list(norm)
+            by_words = norm.count(" ") >= 4
+            match = any(norm == n or (by_words == b and min(len(units), len(u)) >= (5 if b else 10) and distance_is_one(units, u)) for n, b, u in seen)
             if norm:
-                seen.append((norm, words))
+                seen.append((norm, by_words, units))
             if not norm or not match:
                 kept.append(line)
         out[k] = "\n".join(kept)
@@ -50,6 +51,25 @@ def test_equals_comparison_with_every_earlier_line(spark):
     assert {x.doc_id: x.n_lines for x in out} == {k: 0 if t is None else t.count("\n") + 1 for k, t in rows}
 
 
+def test_short_lines_by_characters_and_long_unbroken_lines(spark):
+    long = "ab" * 30_000
+    rows = [
+        (1, "see page ten\nrent\n" + long), (2, "see page tin\ncent\n" + long[:500] + "x" + long[500:]), (3, "see page then\nsee page\nsee pages\ntwo words here twice\ntwo words here twice more"),
+        (4, "swapped page ten\npage swapped ten\n" + "xy" + long),
+    ]
+    out = {x.doc_id: x.text for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == plain(rows)
+    assert out[2] == "cent"
+
+
+def test_lines_with_the_same_neighbours_in_another_order_do_not_hide_a_match(spark):
+    # the sums of the first two lines are equal, their variants are not
+    lines = ["k the p q the r s the end", "k the r s the p q the end", "k the r s the p q the fin", "k the p q the r s the stop"]
+    rows = [(k, x) for k, x in enumerate(lines)]
+    out = {x.doc_id: x.text for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == plain(rows) == {0: lines[0], 1: lines[1], 2: "", 3: ""}
+
+
 def test_very_frequent_line_keeps_one(spark):
     rows = [(k, f"the very same line of words\nown line number {k} x{k} y{k} z{k}") for k in range(400)]
     out = {x.doc_id: x.n_kept for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
