@@ -3,27 +3,30 @@
 Fingerprint: each word shingle is hashed with XXH64; a bit is 1 where it is 1 in over half
 of the hashes. Two texts link when their fingerprints differ in at most ``RADIUS`` bits.
 
-Index: the upper nodes are masked bit patterns that fingerprints share. With at most three
-differences, two fingerprints agree on one of four blocks of bits, and in the rest again on
-one of four blocks, and so on. So a fingerprint stands under one node for each choice of a
-block on each level, and all its links are under nodes it shares. The nodes of the first two
-levels fix 28 bits. A node with more than ``CELL`` fingerprints is divided by the next level;
-after the fifth level 15 bits are left, so that no node has over 2**15 distinct fingerprints.
-Under a node the fingerprints are sorted by Gray rank, which puts similar ones side by
-side; runs of ``FANOUT`` are factored into nodes that hold the bits their members share.
-Pairs of nodes are compared from the top: the differences of the shared bits only grow on
-the way down, and a pair of groups is dropped whole once they pass the radius. Each node
-hands on a spanning forest of its links, not all pairs; components join the forests.
+Index: within a cell the distinct fingerprints are sorted by Gray rank, which puts similar ones side by
+side; runs of ``FANOUT`` are factored into nodes that hold the masked bit pattern their members share, runs
+of nodes into upper nodes, and so on to the top. Pairs of nodes are compared from the top: the differences of the
+shared bits only add up on the way down, and a pair of groups is dropped whole once they pass the radius. All
+links are found by that tree. Each cell hands on a spanning forest of its links, not all pairs; components join
+the forests.
+
+Up to ``CELL`` fingerprints are one cell. More are dealt over cells by masked patterns too: with at most ``RADIUS``
+differences two fingerprints agree on one of ``RADIUS`` + 1 blocks of bits, so each fingerprint stands in one cell
+for each block, and all its links are in cells it shares. Blocks are as wide as it takes for cells of about ``CELL``
+fingerprints; a cell that is still over twice that is divided again in the bits that are left, until ``LEFT`` bits
+or fewer are: no cell has over 2**LEFT distinct fingerprints, and there are seven levels at most.
 
 Only distinct fingerprints are indexed; copies meet in the counting of fingerprints.
 
 Defined results: null and wordless texts have fingerprint zero and link with each other like
-any others; fewer words than a shingle has make one shingle; repeated rows share a component;
-a component's id is its smallest id that is not null; an empty table gives no rows.
+any others; fewer words than a shingle has make one shingle; very long texts are read whole; repeated rows share a component;
+a component's id is its smallest id that is not null, or null; columns besides the id and the text
+play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +39,9 @@ from .components import components
 from .staging import free_name, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-CELL, FANOUT, PAIRS_AT_ONCE = 4096, 8, 1 << 18
+CELL, FANOUT, PAIRS_AT_ONCE, LEFT = 2048, 8, 1 << 18, 15
 SHINGLES_AT_ONCE = 1 << 16
 
-#: Widths of the blocks on each level; the blocks of a level make up the bits that are left.
-LEVELS = [(16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6), (5, 5, 5, 5)]
-
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of a UTF-8 text, unsigned; A-Z count as a-z."""
@@ -64,15 +64,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    """doc_id, version (a hash of the text) and fp, the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), version(F.col(text_col)).alias("version"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "version", "fp"])
+
+    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, fp long")
+
 
-    return rows.mapInArrow(mark, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+def version(text: Column) -> Column:
+    """A hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -82,39 +87,40 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(2**63)))
 
 
-def masks(level: int) -> list[list[int]]:
-    """For each choice of blocks down to ``level`` the bits that each of its blocks fixes."""
-    paths: list[tuple[list[int], list[int]]] = [([], list(range(63, -1, -1)))]
-    for widths in LEVELS[: level + 1]:
+def masks(widths: tuple[int, ...]) -> list[int]:
+    """For each choice of a block on each level the bits that are fixed; a level has RADIUS + 1 blocks of its width."""
+    paths: list[tuple[int, list[int]]] = [(0, list(range(63, -1, -1)))]
+    for width in widths:
         deeper = []
         for fixed, left in paths:
-            at = 0
-            for width in widths:
-                block = left[at : at + width]
-                deeper.append(([*fixed, sum(1 << b for b in block)], left[:at] + left[at + width :]))
-                at += width
+            for k in range(RADIUS + 1):
+                block = left[k * width : (k + 1) * width]
+                deeper.append((fixed | sum(1 << b for b in block), left[: k * width] + left[(k + 1) * width :]))
         paths = deeper
     return [fixed for fixed, _ in paths]
 
 
-def _signed(bits: int) -> int:
-    return bits - 2**64 if bits >= 2**63 else bits
+def next_width(widths: tuple[int, ...], most: int) -> int:
+    """The width of the next level's blocks; 0 if no more bits may be fixed.
 
+    The first level's makes cells of about CELL out of ``most`` fingerprints; cells that are crowded still are divided by
+    as many bits as there are, so that levels are few.
+    """
+    left = 64 - sum(widths)
+    widest = left // (RADIUS + 1) if left > LEFT else 0
+    return widest if widths else min(widest, math.ceil(math.log2(most / CELL)))
 
-def _under_nodes(fps: DataFrame, level: int) -> DataFrame:
-    """Each fingerprint under its nodes of ``level``: path, node (the fixed bits), fp, rank."""
-    nodes = F.array(*[F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(sum(m)))).alias("node")) for i, m in enumerate(masks(level))])
-    return fps.select("fp", "rank", F.explode(nodes).alias("n")).select("n.path", "n.node", "fp", "rank")
+
+def _signed(bits: int) -> int:
+    return bits - 2**64 if bits >= 2**63 else bits
 
 
-def _divided(rows: DataFrame, level: int) -> DataFrame:
-    """Rows under nodes of ``level`` moved to the nodes of the next level below them."""
-    width = len(LEVELS[level + 1])
-    fixed = [_signed(sum(m)) for m in masks(level + 1)]
-    per_path = F.array(*[F.lit(x) for x in fixed])
-    return rows.select("path", "fp", "rank", F.explode(F.array(*[F.lit(i) for i in range(width)])).alias("block")).select(
-        (F.col("path") * width + F.col("block")).alias("path"),
-        F.col("fp").bitwiseAND(F.element_at(per_path, F.col("path") * width + F.col("block") + 1)).alias("node"),
+def _divided(rows: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """Rows of cells of all levels but the last of ``widths`` moved to the cells below them."""
+    fixed = F.array(*[F.lit(_signed(m)) for m in masks(widths)])
+    return rows.select("path", "fp", "rank", F.explode(F.array(*[F.lit(i) for i in range(RADIUS + 1)])).alias("block")).select(
+        (F.col("path") * (RADIUS + 1) + F.col("block")).alias("path"),
+        F.col("fp").bitwiseAND(F.element_at(fixed, F.col("path") * (RADIUS + 1) + F.col("block") + 1)).alias("node"),
         "fp",
         "rank",
     )
@@ -133,8 +139,11 @@ def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = above
 
 
-def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For codes in Gray order the place of the smallest member of each one's component under ``radius``."""
+def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, int]] | None = None) -> np.ndarray:
+    """For codes in Gray order the place of the smallest member of each one's component under ``radius``.
+
+    ``trace`` gets the level, the pairs compared and the pairs not dropped of each step.
+    """
     full = np.uint64(2**64 - 1)
     levels = [(fps, np.full(len(fps), full), np.ones(len(fps), bool))]
     while len(levels[-1][0]) > FANOUT:
@@ -157,6 +166,8 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
             continue
         pattern, mask, _ = levels[level]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
+        if trace is not None:
+            trace.append((level, len(a), int(near.sum())))
         a, b = a[near], b[near]
         if level == 0:
             parent = _joined(parent, a, b)
@@ -172,34 +183,19 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return parent
 
 
-def _links_of_run(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys; small runs by shifts, larger ones by their tree."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [], []
-    small = np.repeat(sizes <= 2 * FANOUT, sizes)
-    for shift in range(1, min(2 * FANOUT, int(sizes.max(initial=0)))):
-        near = small[shift:] & (key[shift:] == key[:-shift]) & (np.bitwise_count(fps[shift:] ^ fps[:-shift]) <= RADIUS)
-        left.append(fps[shift:][near])
-        right.append(fps[:-shift][near])
-    for s, n in zip(starts[sizes > 2 * FANOUT], sizes[sizes > 2 * FANOUT], strict=True):
-        run = fps[s : s + n]
-        parent = linked(run)
-        moved = np.flatnonzero(parent != np.arange(n))
-        left.append(run[moved])
-        right.append(run[parent[moved]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
-
-
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, node, fp) sorted by node and Gray rank to links; the last node of a batch waits for the next."""
+    """Rows (path, node, fp) sorted by cell and Gray rank to links; the last cell of a batch waits for the next."""
     path, node, fps = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
 
-    def links(upto: int) -> pa.RecordBatch:
-        key = np.stack([path[:upto], node[:upto]], axis=1)
-        run = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(axis=1)]) if upto else np.zeros(0, "i8")
-        a, b = _links_of_run(run, fps[:upto])
-        return pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], ["a", "b"])
+    def links_of(upto: int) -> pa.RecordBatch:
+        edges = np.flatnonzero((path[1:upto] != path[: upto - 1]) | (node[1:upto] != node[: upto - 1])) + 1 if upto else []
+        left, right = [fps[:0]], [fps[:0]]
+        for cell in np.split(fps[:upto], edges):
+            parent = linked(cell)
+            moved = np.flatnonzero(parent != np.arange(len(cell)))
+            left.append(cell[moved])
+            right.append(cell[parent[moved]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view("i8")) for x in (left, right)], ["a", "b"])
 
     for batch in batches:
         columns = [batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in range(3)]
@@ -208,48 +204,64 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(path):
             last = np.flatnonzero((path != path[-1]) | (node != node[-1]))
             upto = int(last[-1]) + 1 if len(last) else 0
-            yield links(upto)
+            yield links_of(upto)
             path, node, fps = path[upto:], node[upto:], fps[upto:]
-    yield links(len(path))
+    yield links_of(len(path))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """From distinct fingerprints (column fp) to pairs (a, b) of the same component, which connect each component."""
-    rows = _under_nodes(fps.select("fp", gray_rank(F.col("fp")).alias("rank")), 1)
-    found = None
-    for level in range(1, len(LEVELS)):
-        crowded = None
-        if level < len(LEVELS) - 1:
-            crowded = staged(rows.groupBy("path", "node").count().where(F.col("count") > CELL).select("path", "node"), "crowded")
-            crowded = None if crowded.isEmpty() else crowded
-        here = rows if crowded is None else rows.join(crowded, ["path", "node"], "left_anti")
-        pairs = here.repartition("path", "node").sortWithinPartitions("path", "node", "rank").select("path", "node", "fp").mapInArrow(_forest, "a long, b long")
-        found = pairs if found is None else found.union(pairs)
-        if crowded is None:
-            break
-        rows = staged(_divided(rows.join(crowded, ["path", "node"], "left_semi"), level), "divided")
-    return found
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    rows = fps.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("node"), "fp", gray_rank(F.col("fp")).alias("rank"))
+    widths: tuple[int, ...] = ()
+    most, found = fps.count(), None
+    while True:
+        width = next_width(widths, most) if most > 2 * CELL else 0
+        here = rows
+        if width:
+            if widths:
+                crowded = staged(rows.groupBy("path", "node").count().where(F.col("count") > 2 * CELL), "crowded")
+                here = rows.join(crowded, ["path", "node"], "left_anti")
+                rows = rows.join(crowded, ["path", "node"], "left_semi")
+            else:
+                here = None
+        if here is not None:
+            pairs = here.repartition("path", "node").sortWithinPartitions("path", "node", "rank").select("path", "node", "fp").mapInArrow(_forest, "a long, b long")
+            found = pairs if found is None else found.union(pairs)
+        if not width:
+            return found
+        widths = (*widths, width)
+        rows = staged(_divided(rows, widths), "cells")
+        most = rows.groupBy("path", "node").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
+def labelled(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, and for each fingerprint: fp, root (the component's smallest fingerprint), component_id."""
     marked = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct))
-    of_root = roots.join(distinct, roots.node == distinct.fp).select("root", "fp", "first_id")
-    own = roots.select("root").distinct().join(distinct, F.col("root") == distinct.fp).select("root", "fp", "first_id")
-    members = staged(of_root.union(own), "members")
-    # written first, so that both sides of the joins below are plain shuffles, whose hot partitions Spark splits
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    # written first, so that both sides of the joins are plain shuffles, whose hot partitions Spark splits
+    members = staged(rooted, "members")
     least = staged(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
-    moved = members.join(least, "root").select("fp", "component_id")
-    labels = staged(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
-    return marked.join(labels, "fp").select(
-        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked, staged(members.join(least, "root").select("fp", "root", "component_id"), "labels")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    marked, labels = labelled(docs, shingle, id_col, text_col)
+    return marked.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each component, all columns as they are; rows repeated with one id count once."""
-    first = near_duplicates(docs, shingle, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = free_name(docs, "kept_id")
-    return docs.join(first.select(F.col(id_col).alias(kept)), F.col(id_col).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([id_col])
+    """Of each component the document with the smallest id, all columns as they are.
+
+    Null ids come last; of one id with several texts in a component the first by a hash of the text stays; a row
+    repeated with its id and text counts once.
+    """
+    marked, labels = labelled(docs, shingle, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("version"))).alias("first")
+    keep = marked.join(labels, "fp").groupBy("root").agg(first)
+    kept_id, kept, own = (free_name(docs, c) for c in ("kept_id", "kept_version", "version"))
+    keep = keep.select(F.col("first.doc_id").alias(kept_id), F.col("first.version").alias(kept))
+    both = docs.withColumn(own, version(F.col(text_col)))
+    return both.join(keep, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept)), "left_semi").dropDuplicates([id_col, own]).drop(own)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pliegos.llm import simhash_gray
 from pyspark.sql import functions as F
@@ -94,6 +95,46 @@ def test_crowded_nodes_are_divided_without_losing_links(spark, monkeypatch):
     assert {k: find(k) for k in ids} == plain_components(ids)
 
 
+def test_the_tree_decides_the_links_of_documents_and_drops_groups(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    ranked = simhash_gray.fingerprints(docs).select("fp").distinct().orderBy(simhash_gray.gray_rank(F.col("fp"))).collect()
+    fps = np.array([r.fp for r in ranked], "i8").view("u8")
+    trace = []
+    parent = simhash_gray.linked(fps, trace=trace)
+    n = len(fps)
+    assert max(level for level, _, _ in trace) >= 2
+    assert any(kept < pairs for level, pairs, kept in trace if level > 0)
+    assert sum(pairs for level, pairs, _ in trace if level == 0) < n * (n - 1) // 2  # the rest was dropped in groups
+    near = [(i, i + int(j)) for i in range(n) for j in np.flatnonzero(np.bitwise_count(fps[i:] ^ fps[i]) <= 3)[1:]]
+    root = list(range(n))
+    for i, j in near:
+        a, b = i, j
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    for k in range(n):
+        root[k] = root[root[k]]
+    assert near and parent.tolist() == root
+
+
+def test_masks_fix_one_of_four_blocks_on_each_level():
+    for widths in ((6,), (16, 12), (16, 12, 9, 6, 5)):
+        fixed = simhash_gray.masks(widths)
+        assert len(fixed) == 4 ** len(widths) and {m.bit_count() for m in fixed} == {sum(widths)}
+    r = random.Random(1)
+    for _ in range(300):
+        difference = sum(1 << b for b in r.sample(range(64), 3))
+        assert any(difference & m == 0 for m in simhash_gray.masks((13, 9)))
+
+
+def test_deduplicated_keeps_other_texts_of_one_id_and_of_no_id(spark):
+    rows = [(1, "a b c d e"), (1, "quite another text of words"), (1, "a b c d e"), (None, "third text with no id"), (None, "fourth text and no id at all")]
+    kept = simhash_gray.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
 def test_deduplicated_keeps_one_document_of_each_component_with_all_columns(spark):
     rows = [(3, "a b c d", "x", 1), (1, "A b c D", "y", 2), (2, "other words entirely here", None, 3), (4, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, kept_id int")
