@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pliegos.llm import tool_calls
 
 CALLS = "conversation long, call_id string, position long, name string, arguments string, depends_on array<string>"
@@ -69,7 +70,83 @@ def test_whole_table_links_every_turn(spark, sf_dir):
     calls, results = tool_calls.from_turns(turns)
     rows = tool_calls.link(calls, results, {"reply": tool_calls.REPLY_SCHEMA}).collect()
     said = [(t.conv_id, t.turn, t.role) for t in turns.collect()]
+    others = {(str(c), f"{c}:{n}") for c, n, role in said if role not in ("user", "assistant")}
     asked = {(str(c), f"{c}:{n}") for c, n, role in said if role == "user"}
     answered = {(str(c), f"{c}:{n - 1}") for c, n, role in said if role == "assistant"}
-    assert {(str(r.conversation), r.call_id) for r in rows} == asked | answered
+    assert {(str(r.conversation), r.call_id) for r in rows} == asked | answered | others
+    assert len(rows) + len(asked & answered) == len(said) and {r.status for r in rows if (str(r.conversation), r.call_id) in others} <= {"orphan"}
     assert {(str(r.conversation), r.call_id) for r in rows if r.status == "linked"} == asked & answered
+
+
+def plain_order(positions, needs):
+    """The order by its definition: the closure of each call, by repeated relaxation over all edges."""
+    closure = {c: set(needs.get(c, ())) for c in positions}
+    grown = True
+    while grown:
+        grown = False
+        for c in closure:
+            more = set().union(*(closure[d] for d in closure[c])) - closure[c] if closure[c] else set()
+            if more:
+                closure[c] |= more
+                grown = True
+    on_cycle = {c for c in closure if c in closure[c]}
+    cyclic = {c for c in closure if c in on_cycle or closure[c] & on_cycle}
+    state = {c: (p, 0) for c, p in positions.items()}
+    for _ in positions:
+        for c in positions:
+            for d in needs.get(c, ()):
+                if c not in cyclic:
+                    state[c] = max(state[c], (state[d][0], state[d][1] + 1))
+    key = {c: (c in cyclic, *((positions[c], 0) if c in cyclic else state[c]), positions[c], c) for c in positions}
+    return sorted(positions, key=key.__getitem__), cyclic
+
+
+def random_conversations(seed, conversations=8, calls=14):
+    r = random.Random(seed)
+    for conversation in range(conversations):
+        for k in range(calls):
+            needs = [f"{j:02d}" for j in range(calls) if j != k and r.random() < 0.08] + (["none"] if r.random() < 0.1 else [])
+            yield conversation, f"{k:02d}", r.randrange(calls), "f", '{"x":1}', needs
+
+
+def test_order_equals_its_definition_in_tasks_and_in_rounds(spark, monkeypatch):
+    calls = list(random_conversations(4))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(tool_calls, "EDGES_IN_TASK", most)
+        rows = linked(spark, calls, [])
+        for conversation in {c[0] for c in calls}:
+            own = [c for c in calls if c[0] == conversation]
+            order, cyclic = plain_order({c[1]: c[2] for c in own}, {c[1]: [d for d in c[5] if d != "none"] for c in own})
+            found = [r for r in rows if r.conversation == conversation]
+            assert [r.call_id for r in found] == order
+            assert {r.call_id for r in found if r.cyclic} == cyclic
+
+
+def test_cycles_and_a_reversed_chain_in_long_conversations(spark):
+    n = 2_000
+    calls = [(1, f"{k:05d}", k, "f", '{"x":1}', [f"{k + 1:05d}"] if k < n - 1 else None) for k in range(n)]
+    calls += [(2, f"{k:05d}", k, "f", '{"x":1}', ["00001"] if k == 0 else [f"{k - 1:05d}"]) for k in range(n)]
+    rows = linked(spark, calls, [])
+    assert [r.call_id for r in rows if r.conversation == 1] == [f"{k:05d}" for k in reversed(range(n))]
+    assert all(r.cyclic for r in rows if r.conversation == 2) and not any(r.cyclic for r in rows if r.conversation == 1)
+
+
+def test_odd_arguments_give_json_and_no_error_ends_the_job(spark):
+    odd = ["1e999", '"\\ud800"', '{"a":"\\u001f"}', "NaN", "[" * 100_000 + "]" * 100_000, "9" * 6000, '{"a":1,"a":2}', " [1.50, true, null] ", "-0.0"]
+    calls = [(1, f"c\u001f{k}", k, "any", a, None) for k, a in enumerate(odd)]
+    rows = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(1, "c\u001f2", 9, "r\u001f\u2028")], RESULTS), {"any": {}}).collect()
+    found = {r.call_id: r for r in rows}
+    assert [found[c[1]].valid for c in calls] == [False, False, True, False, False, False, True, True, True]
+    for r in rows:
+        assert tool_calls.canonical(json.loads(r.message)) == r.message
+    assert found["c\u001f2"].message == '{"arguments":{"a":"\\u001f"},"id":"c\\u001f2","name":"any","result":"r\\u001f\u2028"}'
+    assert json.loads(found["c\u001f6"].message)["arguments"] == {"a": 2}
+
+
+def test_schema_keywords_judge_their_own_kind():
+    check = tool_calls.violations
+    assert check("abc", {"minimum": 3}) == check(3, {"minLength": 9}) == check(None, {"maxLength": 0, "maximum": -1}) == []
+    assert check(2, {"type": ["string", "integer"]}) == [] and check(2.5, {"type": ["string", "integer"]}) == ["$: not of type string or integer"]
+    assert check(True, {"type": "integer"}) and check(True, {"enum": [1]}) and not check(3.0, {"type": "integer"})
+    with pytest.raises(ValueError):
+        tool_calls.refuse_unknown_types({"properties": {"a": {"type": "text"}}})
