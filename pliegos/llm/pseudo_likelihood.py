@@ -90,7 +90,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def row() -> pa.RecordBatch:
             all_ = np.concatenate([np.zeros(0, "u4"), *parts])
             cells = [
-                _packed([len(p) for p in parts], "<u4"), _packed(all_, "<u4"),
+                _packed([len(p) for p in parts], "<u4"), _planes(all_),
                 _packed([word_hash(w) for w in numbers], "<u8"), _packed(np.bincount(all_, minlength=len(numbers)), "<u4"),
             ]
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(arrow_kind)), *(pa.array([c], pa.binary()) for c in cells)], names)
@@ -110,8 +110,21 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(rows.mapInArrow(cut, schema), "token-blocks", compression="zstd")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The lower halves of all numbers, then the upper ones, which are mostly zero and compress to nothing."""
+    return _packed(np.concatenate([numbers & 0xFFFF, numbers >> 16]), "<u2")
+
+
 def _cells(batch: pa.RecordBatch, k: int, *columns: tuple[str, str]) -> list[np.ndarray]:
-    return [np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in columns]
+    """The arrays in row ``k``, each of its kind; ``planes`` are numbers in two halves."""
+    out = []
+    for name, kind in columns:
+        values = np.frombuffer(batch.column(name)[k].as_py(), "<u2" if kind == "planes" else kind)
+        if kind == "planes":
+            half = len(values) // 2
+            values = values[:half] | values[half:].astype("u4") << np.uint32(16)
+        out.append(values)
+    return out
 
 
 def _edged(sizes: np.ndarray, side: int) -> np.ndarray:
@@ -171,7 +184,7 @@ def _contexts(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sums, seen = np.zeros((BUCKETS, WIDTH)), np.zeros(BUCKETS)
         for b in batches:
             for k in range(len(b)):
-                sizes, numbers, words = _cells(b, k, ("sizes", "<u4"), ("tokens", "<u4"), ("words", "<u8"))
+                sizes, numbers, words = _cells(b, k, ("sizes", "<u4"), ("tokens", "planes"), ("words", "<u8"))
                 bucket = (words % BUCKETS).astype("i8")[numbers]
                 places = _edged(sizes, REACH)
                 row = _row(bucket, places, sizes, REACH, BUCKETS)
@@ -337,8 +350,8 @@ def _numbered(blocks: DataFrame, found: DataFrame, model: Model, own_counts: boo
         hashes, totals = hashes[order], totals[order]
         columns = [[], [], []]
         for k in range(len(left)):  # a block is one row
-            words, counts = _cells(left, k, ("words", "<u8"), ("counts", "<u4"))
-            known = counts.astype("f8") if own_counts else np.full(len(words), UNSEEN)
+            words, numbers = _cells(left, k, ("words", "<u8"), ("tokens", "planes"))
+            known = np.bincount(numbers, minlength=len(words)).astype("f8") if own_counts else np.full(len(words), UNSEEN)
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, words.view("i8")), len(hashes) - 1)
                 same = hashes[at] == words.view("i8")
@@ -352,10 +365,10 @@ def _numbered(blocks: DataFrame, found: DataFrame, model: Model, own_counts: boo
 
     kind = blocks.schema["doc_ids"].dataType.simpleString()
     schema = f"block long, doc_ids {kind}, sizes binary, tokens binary, buckets binary, classes binary, shares binary"
-    return staged(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, schema), "numbered-blocks", compression="zstd")
+    return staged(blocks.drop("counts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, schema), "numbered-blocks", compression="zstd")
 
 
-_PLACED = (("sizes", "<u4"), ("tokens", "<u4"), ("buckets", "<u2"), ("classes", "<u1"))
+_PLACED = (("sizes", "<u4"), ("tokens", "planes"), ("buckets", "<u2"), ("classes", "<u1"))
 
 
 def _round(numbered: DataFrame, network: Network, residue: int) -> Network:
