@@ -79,7 +79,8 @@ def valid_cif(letter: Column, digits: Column, control: Column) -> Column:
 
 def fits_mask(identifier: Column, mask: Column) -> Column:
     """Whether an identifier agrees with a mask such as ***4567** in length and at each place that is no star."""
-    return F.like(identifier, F.replace(mask, F.lit("*"), F.lit("_")))
+    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.upper(mask), r"([^A-Z0-9*])", r"\\$1"), r"\*", "."), F.lit("$"))
+    return F.rlike(F.upper(identifier), pattern)
 
 
 def _in_context(body: Column, pattern: str, groups: int, keep) -> Column:
@@ -88,7 +89,7 @@ def _in_context(body: Column, pattern: str, groups: int, keep) -> Column:
 
     def judged(m: Column) -> Column:
         before = F.substring(body, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
-        around = F.substring(body, F.greatest(m["start"] - 79, F.lit(1)), F.length(m["match"]) + 160)
+        around = F.substring(body, F.greatest(m["start"] - 79, F.lit(1)), F.least(m["start"], F.lit(80)) + F.length(m["match"]) + 80)
         return keep(m["match"], before, around)
 
     return F.transform(F.filter(found, judged), lambda m: normal_identifier(m["match"]))
@@ -125,14 +126,17 @@ def plates(body: Column) -> Column:
 
 
 def names(body: Column) -> Column:
-    """Companies with their legal form, and upper-case runs right before an identifier, in normal form."""
+    """Companies with their legal form, and upper-case runs of six signs or more right before an identifier, as they stand."""
+
+    def party(name: Column) -> Column:
+        return ~normal_name(name).rlike("|".join(AUTHORITIES))
+
     companies = F.zip_with(
-        F.regexp_extract_all(body, F.lit(COMPANY), 1), F.regexp_extract_all(body, F.lit(COMPANY), 2), lambda n, s: normal_name(F.concat_ws(" ", n, s))
-    )
-    persons = F.transform(F.regexp_extract_all(body, F.lit(PERSON), 1), normal_name)
-    return F.slice(
-        F.array_distinct(F.filter(F.concat(companies, persons), lambda n: (F.length(n) >= 6) & ~n.rlike("|".join(AUTHORITIES)))), 1, MOST_NAMES
+        F.regexp_extract_all(body, F.lit(COMPANY), 1), F.regexp_extract_all(body, F.lit(COMPANY), 2), lambda n, s: F.concat_ws(" ", F.trim(n), F.trim(s))
     )
+    persons = F.transform(F.regexp_extract_all(body, F.lit(PERSON), 1), lambda n: F.regexp_replace(n, r"^[ ,;:\-'’]+|[ ,;:\-'’]+$", ""))
+    found = F.concat(companies, F.filter(persons, lambda n: F.length(n) >= 6))
+    return F.slice(F.array_distinct(F.filter(found, party)), 1, MOST_NAMES)
 
 
 def keys(text: Column, title: Column) -> Column:
@@ -144,7 +148,5 @@ def keys(text: Column, title: Column) -> Column:
         plates(body).alias("matriculas"),
         found.alias("nombres"),
         masked_identifiers(body).alias("digitos_parciales"),
-        F.array_join(found, NAME_SEPARATOR).alias("nombres_norm"),
+        F.array_join(F.transform(found, normal_name), NAME_SEPARATOR).alias("nombres_norm"),
     )
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,13 +63,9 @@ def _any(columns: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, columns)
 
 
-def _labels(hits: list[tuple[Column, str]]) -> Column:
-    """The labels whose condition holds, in the order of the table."""
-    return F.filter(F.array(*[F.when(hit, F.lit(label)) for hit, label in hits]), lambda x: x.isNotNull())
-
-
 def _matches(text: Column, pattern: str) -> Column:
-    return text.rlike("(?iUs)" + pattern if ".*" not in pattern else "(?iU)" + pattern)
+    # the text is in lower case; only a line feed ends a line
+    return text.rlike("(?Ud)" + pattern)
 
 
 def skipped_section(code: Column) -> Column:
@@ -86,37 +83,72 @@ def family(code: Column, name: Column) -> Column:
     )
 
 
+def _literals(patterns: list[str]) -> str:
+    """One plain pattern that matches wherever any of the patterns could: their longest runs of letters."""
+    runs = set()
+    for p in patterns:
+        plain = re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]\??|\\.|\.\*|.\?", " ", p)
+        runs.add(max(re.findall("[a-zñáéíóúü]+", plain), key=len))
+    return "|".join(sorted(r for r in runs if not any(o != r and o in r for o in runs)))
+
+
+def _hit_numbers(text: Column, patterns: list[str]) -> Column:
+    """The numbers of the patterns that match, in the order of the table; the text is scanned once for all of them first."""
+    hits = F.filter(F.array(*[F.when(_matches(text, p), F.lit(k)) for k, p in enumerate(patterns)]), lambda x: x.isNotNull())
+    return F.when(text.rlike(_literals(patterns)), hits).otherwise(F.array().cast("array<int>"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _named(labels: list[str], numbers: Column) -> Column:
+    table = F.array(*[F.lit(x) for x in labels])
+    return F.transform(numbers, lambda k: table[k])
+
+
 def title_class(title: Column, section_code: Column, section_name: Column) -> Column:
     """Struct of candidate, rules, confidence and family by the title alone."""
-    text = F.lower(F.coalesce(title, F.lit("")))
     code, name = F.upper(F.coalesce(section_code, F.lit(""))), F.lower(F.coalesce(section_name, F.lit("")))
-    veto = _any([text.startswith(p) for p in NORMATIVE_PREFIXES]) & F.contains(text, F.lit(NORMATIVE_TOPIC))
-    strong = _labels([(_matches(text, p), f"strong:{p}") for p in TITLE_STRONG])
-    medium = _labels([(_matches(text, p), f"medium:{p}") for p in TITLE_MEDIUM])
     section = code.isin(SANCTION_SECTIONS) | _any([F.contains(name, F.lit(s)) for s in ("iii.", "iv.", "v.")])
-    by_strong, by_medium = F.size(strong) > 0, (F.size(medium) >= 2) & section
-    none = F.array().cast("array<string>")
-    return F.struct(
-        (~veto & (by_strong | by_medium)).alias("candidate"),
-        F.when(veto, F.array(F.lit("likely_normative_false_positive"))).when(by_strong, strong).when(by_medium, medium).otherwise(none).alias("rules"),
-        F.when(veto, 0.0).when(by_strong, 0.95).when(by_medium, 0.70).otherwise(0.0).alias("confidence"),
-        F.when(~veto & (by_strong | by_medium), family(section_code, section_name)).otherwise("").alias("family"),
-    )
+    own_family, none = family(section_code, section_name), F.array().cast("array<int>")
+
+    def judged(text: Column) -> Column:
+        veto = _any([text.startswith(p) for p in NORMATIVE_PREFIXES]) & F.contains(text, F.lit(NORMATIVE_TOPIC))
+        strong = F.when(veto, none).otherwise(_hit_numbers(text, TITLE_STRONG))
+        return _once(F.struct(veto.alias("veto"), strong.alias("strong"), F.when(veto, none).otherwise(_hit_numbers(text, TITLE_MEDIUM)).alias("medium")), classed)
+
+    def classed(h: Column) -> Column:
+        by_strong, by_medium = F.size(h["strong"]) > 0, (F.size(h["medium"]) >= 2) & section
+        return F.struct(
+            (by_strong | by_medium).alias("candidate"),
+            F.when(h["veto"], F.array(F.lit("likely_normative_false_positive")))
+            .when(by_strong, _named([f"strong:{p}" for p in TITLE_STRONG], h["strong"]))
+            .when(by_medium, _named([f"medium:{p}" for p in TITLE_MEDIUM], h["medium"]))
+            .otherwise(F.array().cast("array<string>")).alias("rules"),
+            F.when(by_strong, 0.95).when(by_medium, 0.70).otherwise(0.0).alias("confidence"),
+            F.when(by_strong | by_medium, own_family).otherwise("").alias("family"),
+        )
+
+    return _once(F.lower(F.coalesce(title, F.lit(""))), judged)
 
 
 def body_score(text: Column) -> Column:
-    """Struct of confirmed, labels and score of a document's body."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(None).cast("string")
-    for pattern, label in reversed(BODY_DISQUALIFIERS):
-        out = F.when(_matches(text, pattern), label).otherwise(out)
-    hits = [(_matches(text, p), label) for p, label, _ in BODY]
-    score = sum((F.when(_matches(text, p), weight).otherwise(0) for p, _, weight in BODY), F.lit(0))
-    return F.struct(
-        (out.isNull() & (score >= LEAST_BODY_SCORE)).alias("confirmed"),
-        F.when(out.isNotNull(), F.array(out)).otherwise(_labels(hits)).alias("labels"),
-        F.when(out.isNotNull(), 0).otherwise(score).alias("score"),
-    )
+    """Struct of confirmed, labels and score of a document's body; a disqualified body is not scored."""
+    outs, hits_of = [p for p, _ in BODY_DISQUALIFIERS], [p for p, _, _ in BODY]
+    weights = F.array(*[F.lit(w) for _, _, w in BODY])
+    none = F.array().cast("array<int>")
+
+    def judged(lower: Column) -> Column:
+        return _once(_hit_numbers(lower, outs), lambda out: _once(F.when(F.size(out) > 0, none).otherwise(_hit_numbers(lower, hits_of)), lambda hits: scored(out, hits)))
+
+    def scored(out: Column, hits: Column) -> Column:
+        score = F.aggregate(hits, F.lit(0), lambda total, k: total + weights[k])
+        labels = F.when(F.size(out) > 0, F.slice(_named([x for _, x in BODY_DISQUALIFIERS], out), 1, 1)).otherwise(_named([x for _, x, _ in BODY], hits))
+        return F.struct((score >= LEAST_BODY_SCORE).alias("confirmed"), labels.alias("labels"), score.alias("score"))
+
+    return _once(F.lower(F.coalesce(text, F.lit(""))), judged)
 
 
 def combined(title_confidence: Column, title_rules: Column, body_labels: Column, body_confirmed: Column) -> tuple[Column, Column]:

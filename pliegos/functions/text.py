@@ -4,36 +4,38 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEPARATOR = "\u001f"
 
 
-def _folding() -> tuple[str, str]:
-    """Letters of the Latin blocks with accents, and the same letters without."""
-    accented, plain = "", ""
-    for code in range(0xC0, 0x250):
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Signs of the Latin blocks that NFKD takes apart: those that become one sign, the same without accents, and those that become several."""
+    accented, plain, longer = "", "", {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2150), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
+        if base == chr(code) or not base:
+            continue
+        if len(base) == 1:
             accented, plain = accented + chr(code), plain + base
-    return accented, plain
+        else:
+            longer[chr(code)] = base
+    return accented, plain, longer
 
 
-ACCENTED, PLAIN = _folding()
+ACCENTED, PLAIN, LONGER = _folding()
+_LONGER_ANY = "[" + "".join(LONGER) + "]"
 
 
 def without_accents(text: Column) -> Column:
-    """Accents of Latin letters removed, inside generated code; combining marks are dropped."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
-
-
-@F.pandas_udf(T.StringType())
-def decomposed(texts: pd.Series) -> pd.Series:
-    """NFKD without combining marks, for scripts outside the Latin blocks."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    """NFKD of Latin text without combining marks, with built-in functions; ª, º and ligatures become letters."""
+    folded = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
+    spelled = folded
+    for sign, base in LONGER.items():
+        spelled = F.replace(spelled, F.lit(sign), F.lit(base))
+    # few texts hold a sign that becomes several
+    return F.when(folded.rlike(_LONGER_ANY), spelled).otherwise(folded)
 
 
 def blank_to_null(text: Column) -> Column:
@@ -102,7 +104,7 @@ def joined_present(separator: str, *parts: Column) -> Column:
 
 
 # Parameters that track visits.
-TRACKING = ["gclid", "fbclid", "msclkid", "srsltid"]
+TRACKING = ["srsltid", "gclid", "fbclid", "mc_cid", "mc_eid"]
 
 
 def normal_url(url: Column) -> Column:
@@ -110,7 +112,7 @@ def normal_url(url: Column) -> Column:
     bare = F.regexp_replace(url, "#.*$", "")
     head = F.substring_index(bare, "?", 1)
     for _ in range(2):
-        head = F.regexp_replace(head, r"^(https?://[^/]+)/en(?:-[a-zA-Z]{2})?(/|$)", "$1$2")
+        head = F.regexp_replace(head, r"(?i)^([a-z][a-z0-9+.-]*://[^/]*)/en(?:-[a-z]{2})?/", "$1/")
     query = F.when(F.instr(bare, "?") > 0, F.regexp_replace(bare, r"^[^?]*\?", ""))
     kept = F.array_join(
         F.filter(F.split(query, "&"), lambda p: ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING) & ~F.lower(p).startswith("utm_") & (p != "")), "&"
@@ -118,36 +120,36 @@ def normal_url(url: Column) -> Column:
     return F.concat(head, F.when(F.coalesce(kept, F.lit("")) != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
+# The pattern of addresses, endings of asset names and domains of placeholders.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-# Endings of asset names and domains of placeholders.
 EMAIL_JUNK_ENDINGS = ["png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "ico", "woff", "woff2", "ttf", "eot"]
 EMAIL_JUNK_DOMAINS = ["example.com", "example.org", "example.net", "domain.com", "email.com", "yourdomain.com", "empresa.com", "tudominio.com"]
 
 
 def emails(text: Column) -> Column:
-    """Addresses in order of first occurrence, lower case, without assets and placeholders."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), 0), F.lower))
-    return F.filter(
-        found,
-        lambda e: ~F.substring_index(e, ".", -1).isin(EMAIL_JUNK_ENDINGS) & ~F.substring_index(e, "@", -1).isin(EMAIL_JUNK_DOMAINS),
-    )
+    """Addresses as they stand, in order of first occurrence, without assets and placeholders."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), 0))
+    domain = lambda e: F.lower(F.substring_index(e, "@", -1))
+    return F.filter(found, lambda e: ~F.substring_index(domain(e), ".", -1).isin(EMAIL_JUNK_ENDINGS) & ~domain(e).isin(EMAIL_JUNK_DOMAINS))
 
 
+# Fixed value: the pattern of Spanish phone numbers.
 PHONE = r"(?<!\d)(?:\+34|0034)?(?:[\s.-]?[6789])(?:[\s.-]?\d){8}(?!\d)"
 
 
 def phones(text: Column) -> Column:
     """Spanish numbers, those with a country prefix first, then those with separators, then by occurrence."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), 0), F.trim))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), 0), lambda p: F.regexp_replace(p, r"^\s+", "")))
     ranked = F.transform(
         found,
         lambda p, i: F.struct(
-            (F.when(p.rlike(r"^(\+34|0034)"), -2).otherwise(0) - F.when(p.rlike(r"\d[\s.-]\d"), 1).otherwise(0)).alias("score"), i.alias("at"), p.alias("phone")
+            (F.when(p.rlike(r"^(\+34|0034)"), -2).otherwise(0) - F.when(p.rlike(r"[ .-]"), 1).otherwise(0)).alias("score"), i.alias("at"), p.alias("phone")
         ),
     )
     return F.transform(F.array_sort(ranked), lambda r: r["phone"])
 
 
+# Patterns of profile addresses, and last segments that are no profiles.
 SOCIAL = {
     "linkedin_url": r"https?://(?:[a-z]{2,3}\.)?linkedin\.com/(?:in|company)/[A-Za-z0-9][A-Za-z0-9\-_%]*",
     "facebook_url": r"https?://(?:www\.)?facebook\.com/[A-Za-z0-9][A-Za-z0-9.\-_]*",
@@ -166,6 +168,33 @@ def social_profiles(text: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
 
 
+# Domains of directories. The first publish a company's own contact data, the second only data of their own.
+DATA_DOMAINS = [
+    "dnb.com", "verif.com", "infoempresa.com", "eleconomista.es", "einforma.com", "axesor.es", "datoscif.es", "paginasamarillas.es", "elpais.com",
+    "interempresas.net", "nextdoor.com", "empresia.es", "infocif.es", "registro-mercantil.com",
+]
+FOREIGN_DOMAINS = ["ocu.org", "facebook.com", "linkedin.com", "instagram.com", "twitter.com", "x.com", "boe.es", "significadode.org", "wordmeaning.org", "abebooks.com"]
+
+
+def host(url: Column) -> Column:
+    """The host of an address in lower case, without user, port and a leading www."""
+    own = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.regexp_replace(own, r"^www\.", "")
+
+
+def _within(domain: Column, domains: list[str]) -> Column:
+    return domain.rlike(r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
+
+
+def is_directory(domain: Column) -> Column:
+    return _within(domain, DATA_DOMAINS + FOREIGN_DOMAINS)
+
+
+def is_foreign_site(domain: Column) -> Column:
+    """Whether nothing on a site's pages is contact data of the party that is looked for."""
+    return _within(domain, FOREIGN_DOMAINS)
+
+
 # What hints at a page with legal or contact data.
 LEGAL_HINTS = ["aviso-legal", "aviso_legal", "aviso legal", "legal", "contacto", "contact", "quienes-somos", "quienes somos", "sobre-nosotros"]
 ANCHOR = r'(?is)<a\b[^>]*?href\s*=\s*["\']([^"\']+)["\'][^>]*>(.*?)</a>'
@@ -178,10 +207,33 @@ def anchors(html: Column) -> Column:
     return F.zip_with(hrefs, labels, lambda h, x: F.struct(h.alias("href"), squeezed(F.regexp_replace(x, "<[^>]*>", " ")).alias("label")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; .. at the root stays there."""
+    last = F.element_at(F.split(path, "/"), -1)
+    closed = F.when(last.isin(".", ".."), F.concat(path, F.lit("/"))).otherwise(path)
+    kept = F.aggregate(
+        F.slice(F.split(closed, "/"), 2, 10_000), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    root = F.regexp_extract(base, r"^https?://[^/?#]+", 0)
-    return F.when(href.rlike(r"^https?://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(
-        F.concat(F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<!/)/[^/]*$", ""), F.lit("/"), href)
+    """A reference resolved against the address of its page."""
+    scheme = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    root = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    own_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    without_fragment, own_page = F.regexp_replace(base, "#.*$", ""), F.regexp_replace(base, "[?#].*$", "")
+    path, tail = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "[?#].*$", 0)
+    folder = F.when(own_path == "", "/").otherwise(F.regexp_replace(own_path, "[^/]*$", ""))
+    return (
+        F.when(href == "", base)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(root, _without_dots(path), tail))
+        .when(href.startswith("?"), F.concat(own_page, href))
+        .when(href.startswith("#"), F.concat(without_fragment, href))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), tail))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word signs of the tokeniser: everything else separates.
-SEPARATORS = "[^a-z0-9à-öø-ÿ]+"
+SEPARATORS = r"(?U)[^\p{L}\p{N}]+"
 PHRASE_BASE, BAG_BASE, RANK_CAP, NAME_CAP, MASK_SCORE = 0.60, 0.35, 0.10, 0.95, 0.85
 #: Weight of a lexeme without a class, and what a single occurrence ranks.
 LEXEME_WEIGHT, SINGLE_RANK, REACH = 0.1, 0.1 / 1.64493406685, 100
