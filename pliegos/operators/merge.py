@@ -1,7 +1,7 @@
 """Idempotent keyed merges over snapshots.
 
 There is no MERGE on plain Parquet: a merge reads the old snapshot and the new rows and returns the
-next snapshot, which ``plans.snapshots`` writes beside the old one. Running a merge again with the
+next snapshot, which ``streaming.ingest.Snapshots`` writes beside the old one. Running a merge again with the
 same rows gives the same snapshot.
 """
 

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shuffle_partitions, staged
+
 #: A page larger than this is refused rather than sorted out of all rows.
 MOST_PAGE_ROWS = 10_000
 
@@ -34,6 +36,18 @@ def present(column: Column) -> Column:
     return F.nullif(F.trim(column), F.lit("")).isNotNull()
 
 
+def between(column: Column, least: object | None, most: object | None) -> Column | None:
+    """Bounds that are given; a lower bound above the upper one is refused."""
+    if least is not None and most is not None and least > most:
+        raise ValueError(f"lower bound {least} above upper bound {most}")
+    return all_of(None if least is None else column >= least, None if most is None else column <= most) if (least, most) != (None, None) else None
+
+
+def one_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``ids``; ids that no row has are ignored, repeated ones count once."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def tristate(condition: Column, wanted: bool | None) -> Column | None:
     return None if wanted is None else condition if wanted else ~condition
 
@@ -50,19 +64,37 @@ def page_envelope(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).alias("pages"))
 
 
+def _in_ranges(df: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """``df`` dealt over ranges of its order, written, with the number of its range in ``_range``: a group of any size is dealt over many tasks."""
+    return staged(df.repartitionByRange(shuffle_partitions(df.sparkSession), *by, *order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def _earlier_ranges(by: list[str]):
+    return Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+
+
+def _same(keys: list[str], other: DataFrame, df: DataFrame) -> Column:
+    return functools.reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[k]) for k in keys])
+
+
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
     """Each row with ``values`` of the last mark strictly before it in its group; null if there is none.
 
-    One sort of the union of both sides, in place of a join by ranges.
+    One sort of the union of both sides, in place of a join by ranges. The last mark of earlier ranges is carried over.
     """
     mark = marks.select(F.struct(*values)).schema[0].dataType
     left = rows.withColumn("_row", F.struct(*rows.columns)).withColumn("_mark", F.lit(None).cast(mark))
     right = marks.select(*by, at, F.struct(*values).alias("_mark"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
-    both = left.select(*by, at, "_mark", "_row").unionByName(right)
+    both = left.select(*by, at, "_mark", "_row").unionByName(right).withColumn("_is_mark", F.col("_row").isNull())
     # rows with the same time come before the marks of that time: only earlier marks count
-    before = Window.partitionBy(*by).orderBy(F.col(at), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(before)).where(F.col("_row").isNotNull())
-    return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+    dealt = _in_ranges(both, by, [at, "_is_mark"], "as-of")
+    last = dealt.where("_is_mark").groupBy(*by, "_range").agg(F.max_by("_mark", at).alias("_mark"))
+    ranges = dealt.select(*by, "_range").distinct().join(last, [*by, "_range"], "left")
+    carried = staged(ranges.select(*by, "_range", F.last("_mark", ignorenulls=True).over(_earlier_ranges(by)).alias("_carried")), "as-of-ranges")
+    before = Window.partitionBy(*by, "_range").orderBy(F.col(at), "_is_mark").rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumn("_last", F.last("_mark", ignorenulls=True).over(before)).where(~F.col("_is_mark"))
+    met = found.join(carried, _same([*by, "_range"], carried, found), "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return met.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def first_of(df: DataFrame, by: list[str], order: list[Column], most: int = 1) -> DataFrame:
@@ -77,17 +109,23 @@ def best_of(df: DataFrame, by: list[str], score: Column, order: Column) -> DataF
     return best.select(*by, "_best.*")
 
 
-def numbered(df: DataFrame, year: Column, order: list[Column], name: str = "number", start: DataFrame | None = None) -> DataFrame:
-    """Numbers from 1 in each year; ``start`` (year, last) continues counters.
+def numbered_in(df: DataFrame, by: list[str], order: list[Column | str], name: str = "number") -> DataFrame:
+    """Numbers from 1 in each group, in an order that ends with a unique column; counted over ranges, whatever a group's size."""
+    dealt = _in_ranges(df, by, order, "numbered")
+    sizes = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_many"))
+    starts = staged(sizes.select(*by, "_range", F.coalesce(F.sum("_many").over(_earlier_ranges(by)), F.lit(0)).alias("_start")), "numbered-ranges")
+    within = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    met = within.join(starts, _same([*by, "_range"], starts, within))
+    return met.select(*[within[c] for c in df.columns], (F.col("_start") + F.col("_own")).alias(name))
 
-    A year is one window partition: numbers are given out in order, by a single writer for each year.
-    """
-    df = df.withColumn("_year", year)
-    n = F.row_number().over(Window.partitionBy("_year").orderBy(*order))
+
+def numbered(df: DataFrame, year: Column, order: list[Column], name: str = "number", start: DataFrame | None = None) -> DataFrame:
+    """Numbers from 1 in each year; ``start`` (year, last) continues counters."""
+    rows = numbered_in(df.withColumn("year", year), ["year"], order, name)
     if start is None:
-        return df.withColumn(name, n).withColumnRenamed("_year", "year")
+        return rows
     counters = start.select(F.col("year").alias("_year"), "last")
-    return df.withColumn(name, n).join(counters, "_year", "left").withColumn(name, F.col(name) + F.coalesce("last", F.lit(0))).drop("last").withColumnRenamed("_year", "year")
+    return rows.join(counters, F.col("year").eqNullSafe(F.col("_year")), "left").withColumn(name, F.col(name) + F.coalesce("last", F.lit(0))).drop("_year", "last")
 
 
 def missing_days(done: DataFrame, day: str, first: Column, last: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Search of an index of documents: exact keys, masks, and names by phrase or by bag of words.
 
-Names meet documents on their rarest token, an equi-join, and only those pairs are verified. No
-query is compared with every document.
+Names meet documents on their rarest token, an equi-join, and only those pairs are verified, by the places of
+their tokens. No query is compared with every document.
 """
 
 from __future__ import annotations
@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Word signs of the tokeniser: everything else separates.
+from ..plans.scratch import staged
+from .relational import first_of
+
+#: So many keys or mask shapes are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_SHAPES = 200_000, 10_000
+#: Letters and digits make tokens: everything else separates.
 SEPARATORS = r"(?U)[^\p{L}\p{N}]+"
+# Scores of hits, and weights of the rank formula.
 PHRASE_BASE, BAG_BASE, RANK_CAP, NAME_CAP, MASK_SCORE = 0.60, 0.35, 0.10, 0.95, 0.85
-#: Weight of a lexeme without a class, and what a single occurrence ranks.
 LEXEME_WEIGHT, SINGLE_RANK, REACH = 0.1, 0.1 / 1.64493406685, 100
 
 
@@ -20,27 +25,43 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """token, id: each token of a document once."""
-    return docs.select(F.col(id_col), F.explode(F.array_distinct(tokens_col)).alias("token")).select("token", id_col)
-
+def _within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the distinct ``wanted`` keys, which are broadcast only up to BROADCAST_KEYS of them."""
+    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
 
-def holds_phrase(doc: Column, query: Column) -> Column:
-    """Whether the tokens of ``query`` stand side by side in ``doc``."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(doc) - F.size(query) + 1, F.lit(1)))
-    return (F.size(query) > 0) & (F.size(doc) >= F.size(query)) & F.exists(
-        starts, lambda s: (F.element_at(doc, s) == query[0]) & (F.slice(doc, s, F.size(query)) == query)
-    )
 
+def occurrences(docs: DataFrame, names: DataFrame, doc_id: str) -> DataFrame:
+    """token, document and the places of the token there, of the tokens that names ask for; the others never leave the scan."""
+    wanted = names.select(F.explode("query").alias("token")).distinct()
+    spots = _within(docs.select(doc_id, F.posexplode("tokens").alias("at", "token")), wanted, "token")
+    return staged(spots.groupBy("token", doc_id).agg(F.sort_array(F.collect_list("at")).alias("at")), "occurrences")
 
-def holds_bag(doc: Column, query: Column) -> Column:
-    return (F.size(query) > 0) & (F.size(F.array_except(query, doc)) == 0)
 
+def name_hits(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", name_id: str = "name_id") -> DataFrame:
+    """Pairs of a name and a document that holds all its tokens: name_id, doc_id, phrase (side by side), rank.
 
-def rank(doc: Column, query: Column) -> Column:
-    """How close the distinct tokens of ``query`` stand in ``doc``, all pairs of places of different tokens combined."""
-    words = F.array_distinct(query)
-    places = F.filter(F.transform(doc, lambda t, i: F.struct(F.array_position(words, t).alias("w"), i.alias("at"))), lambda p: p["w"] > 0)
+    ``docs``: doc_id, tokens; ``names``: name_id, query (tokens). A name meets the documents of its rarest token, an equi-join; the places of
+    its other tokens in them come from the same table of occurrences.
+    """
+    posted = occurrences(docs, names, doc_id)
+    asked = names.where(F.size("query") > 0).select(name_id, F.posexplode("query").alias("i", "token"))
+    frequency = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(frequency, "token", "left").groupBy(name_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r"), F.count(F.lit(1)).alias("length"))
+    pairs = rarest.select(name_id, "length", F.col("r.token").alias("token")).join(posted.select("token", doc_id), "token").select(name_id, doc_id, "length")
+    met = pairs.join(asked, name_id).join(posted, ["token", doc_id])
+    held = met.groupBy(name_id, doc_id, "length").agg(F.array_sort(F.collect_list(F.struct("i", "token", "at"))).alias("held")).where(F.size("held") == F.col("length"))
+    starts = F.col("held")[0]["at"]
+    phrase = F.exists(starts, lambda s: F.forall(F.col("held"), lambda t: F.array_contains(t["at"], s + t["i"])))
+    return held.select(name_id, doc_id, phrase.alias("phrase"), rank(F.col("held")).alias("rank"))
+
+
+def rank(held: Column) -> Column:
+    """How close different tokens stand, all pairs of their places combined; ``held``: array of (i, token, at)."""
+    words = F.array_distinct(F.transform(held, lambda t: t["token"]))
+    # a repeated token of a name counts once
+    once = F.transform(words, lambda w, k: F.struct(k.alias("w"), F.filter(held, lambda t: t["token"] == w)[0]["at"].alias("at")))
+    places = F.array_sort(F.flatten(F.transform(once, lambda t: F.transform(t["at"], lambda at: F.struct(at.alias("at"), t["w"].alias("w"))))))
 
     def near(all_places: Column) -> Column:
         # places stand in order, so that those within reach follow directly; further ones add nothing that a double holds
@@ -55,33 +76,9 @@ def rank(doc: Column, query: Column) -> Column:
     return F.when(F.size(words) == 1, F.lit(SINGLE_RANK)).otherwise(1 - misses)
 
 
-def rare_token_candidates(docs: DataFrame, names: DataFrame, doc_id: str, name_id: str) -> DataFrame:
-    """Pairs of a name and a document that holds the name's rarest token.
-
-    ``docs``: doc_id, tokens; ``names``: name_id, query (tokens). The rarest token is that of the fewest documents.
-    """
-    posted = postings(docs, doc_id)
-    wanted = names.select(name_id, "query", F.explode(F.array_distinct("query")).alias("token"))
-    frequency = posted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
-        wanted.join(frequency, "token", "left")
-        .groupBy(name_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r"), F.first("query").alias("query"))
-        .select(name_id, "query", F.col("r.token").alias("token"))
-    )
-    return rarest.join(posted, "token").select(name_id, doc_id, "query")
-
-
 def name_matches(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", name_id: str = "name_id", most: int = 200) -> DataFrame:
     """Phrase hits of each name, or its bag hits if it has no phrase hit: name_id, doc_id, phrase, rank, score."""
-    from .relational import first_of
-
-    pairs = rare_token_candidates(docs, names, doc_id, name_id).join(docs.select(doc_id, "tokens"), doc_id)
-    hits = (
-        pairs.where(holds_bag(F.col("tokens"), F.col("query")))
-        .withColumn("phrase", holds_phrase(F.col("tokens"), F.col("query")))
-        .withColumn("rank", rank(F.col("tokens"), F.col("query")))
-        .select(name_id, doc_id, "phrase", "rank")
-    )
+    hits = staged(name_hits(docs, names, doc_id, name_id), "name-hits")
     with_phrase = hits.groupBy(name_id).agg(F.max("phrase").alias("any_phrase"))
     kept = hits.join(with_phrase, name_id).where(F.col("phrase") == F.col("any_phrase")).drop("any_phrase")
     kept = first_of(kept, [name_id], [F.col("rank").desc(), F.col(doc_id)], most)
@@ -89,19 +86,14 @@ def name_matches(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", name
     return kept.withColumn("score", F.least(base + F.least(F.lit(RANK_CAP), F.col("rank") * 2), F.lit(NAME_CAP)))
 
 
-def key_matches(keys: DataFrame, index: DataFrame, array_col: str, via: str, score: float, key_col: str = "key", doc_id: str = "doc_id") -> DataFrame:
-    """Subjects whose key stands in an array of the index: subject_id, doc_id, via, score."""
-    posted = index.select(doc_id, F.explode(F.array_distinct(array_col)).alias(key_col))
-    return keys.join(posted, key_col).select("subject_id", doc_id, F.lit(via).alias("via"), F.lit(score).alias("score")).distinct()
-
-
 def mask_matches(identifiers: DataFrame, masks: DataFrame, id_col: str, mask_col: str) -> DataFrame:
     """Identifiers and masks that agree, by an equi-join on the places that each mask shows.
 
     ``masks`` has few shapes (which places are open); each shape is one hash join.
     """
     shapes = masks.select(F.translate(mask_col, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 36).alias("shape")).distinct()
-    ids = identifiers.join(F.broadcast(shapes), F.length(id_col) == F.length("shape"))
+    few = shapes.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES
+    ids = identifiers.join(F.broadcast(shapes) if few else shapes, F.length(id_col) == F.length("shape"))
     shown = F.array_join(
         F.transform(F.sequence(F.lit(1), F.length("shape")), lambda i: F.when(F.substring(F.col("shape"), i, F.lit(1)) == "*", "*").otherwise(F.substring(F.col(id_col), i, F.lit(1)))), ""
     )

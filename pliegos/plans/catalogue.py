@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, rules, text
@@ -56,8 +56,9 @@ def _last_day(t: Tables) -> DataFrame:
 @query("""SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     WHERE n_name IS NOT NULL GROUP BY n_name ORDER BY orders DESC, n_name LIMIT 5""")
 def orgs_top5(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.where(F.col("n_name").isNotNull()).groupBy("n_name").agg(F.count("*").alias("orders")).orderBy(F.desc("orders"), "n_name").limit(5)
+    per_client = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    rows = per_client.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.where(F.col("n_name").isNotNull()).groupBy("n_name").agg(F.sum("n").alias("orders")).orderBy(F.desc("orders"), "n_name").limit(5)
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1")
@@ -92,10 +93,10 @@ def distinct_days(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
-    WHERE o_orderstatus = 'O' AND o_totalprice BETWEEN 1000 AND 300000 AND c_name ILIKE '%1%' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""")
+    WHERE o_orderstatus = 'O' AND coalesce(o_totalprice, c_acctbal) BETWEEN 1000 AND 300000 AND c_name ILIKE '%1%' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""")
 def list_filtered_page(t: Tables) -> DataFrame:
-    amount = F.coalesce(F.col("o_totalprice"), F.lit(None).cast("double"))
-    chosen = relational.all_of(F.col("o_orderstatus") == "O", amount.between(1000, 300000), relational.any_like(" 1 ", F.col("c_name")), None)
+    amount = F.coalesce(F.col("o_totalprice"), F.col("c_acctbal"))
+    chosen = relational.all_of(F.col("o_orderstatus") == "O", relational.between(amount, 1000, 300000), relational.any_like(" 1 ", F.col("c_name")), None)
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where(chosen)
     return relational.page(rows, [F.desc("o_orderdate"), F.desc("o_orderkey")], 2, 20).select("o_orderkey", "c_name", "o_totalprice")
 
@@ -157,13 +158,19 @@ def case_exists(t: Tables) -> DataFrame:
     return t.orders.join(marked, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", F.when(F.col("k").isNotNull(), "completed").otherwise("pending").alias("status"))
 
 
-@query("""SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+@query("""SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) END AS position, o_orderkey
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
 def detail_nested(t: Tables) -> DataFrame:
-    nested = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderdate"))).alias("orders"))
-    rows = t.customer.join(nested, F.col("c_custkey") == F.col("o_custkey"), "left")
-    keys = F.transform(F.col("orders"), lambda o: o["o_orderkey"].cast("string"))
-    return rows.select("c_custkey", F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(keys, ","), F.lit("")).alias("orders"))
+    """A client with its orders, one row for each: a client may have any number of them."""
+    placed = relational.numbered_in(t.orders.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "position")
+    rows = t.customer.join(placed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce("position", F.lit(0)).alias("position"), "o_orderkey")
+
+
+@query("""SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey IN (SELECT s_suppkey FROM supplier)""")
+def chosen_ids(t: Tables) -> DataFrame:
+    ids = t.supplier.select(F.col("s_suppkey").alias("o_custkey"))
+    return relational.one_of(t.orders, ids, "o_custkey").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS children FROM orders")
@@ -263,25 +270,24 @@ def latest_version(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderkey, 'OP-' || CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS code FROM orders""")
 def numbering_per_year(t: Tables) -> DataFrame:
-    rows = relational.numbered(t.orders, F.year("o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    rows = relational.numbered(t.orders.select("o_orderkey", "o_orderdate"), F.year("o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")])
     return rows.select("o_orderkey", text.code("OP", F.col("year"), F.col("number"), 6).alias("code"))
 
 
-@query("""SELECT o_orderkey, 'CLI-' || CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(100 + row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS VARCHAR), 4, '0') AS code
-    FROM orders WHERE o_orderkey % 9 = 0""")
+@query("""SELECT o_orderkey, 'CLI-' || CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(100 + row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS VARCHAR), 8, '0') AS code
+    FROM orders""")
 def counter_alloc(t: Tables) -> DataFrame:
     start = t.orders.select(F.year("o_orderdate").alias("year")).distinct().withColumn("last", F.lit(100))
-    rows = relational.numbered(t.orders.where("o_orderkey % 9 = 0"), F.year("o_orderdate"), [F.col("o_orderkey")], start=start)
-    return rows.select("o_orderkey", text.code("CLI", F.col("year"), F.col("number"), 4).alias("code"))
+    rows = relational.numbered(t.orders.select("o_orderkey", "o_orderdate"), F.year("o_orderdate"), [F.col("o_orderkey")], start=start)
+    return rows.select("o_orderkey", text.code("CLI", F.col("year"), F.col("number"), 8).alias("code"))
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS n FROM documents)
     SELECT doc_id, n AS occurrence, CASE WHEN n = 1 THEN h ELSE substr(h, 1, 56) || lpad(CAST(doc_id AS VARCHAR), 8, '0') END AS key FROM d""")
 def dup_occurrence(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    n = F.row_number().over(Window.partitionBy("h").orderBy("doc_id")).cast("long")
     suffixed = F.concat(F.substring("h", 1, 56), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    return rows.withColumn("occurrence", n).select("doc_id", "occurrence", F.when(F.col("occurrence") == 1, F.col("h")).otherwise(suffixed).alias("key"))
+    return relational.numbered_in(rows, ["h"], ["doc_id"], "occurrence").select("doc_id", "occurrence", F.when(F.col("occurrence") == 1, F.col("h")).otherwise(suffixed).alias("key"))
 
 
 # Scalar functions
@@ -297,9 +303,9 @@ def norm_ident(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", identifiers.normal_identifier(F.concat(F.coalesce("c_name", F.lit("")), F.lit(" b-12.34"))).alias("ident"))
 
 
-@query("""SELECT c_custkey, trim(regexp_replace(translate(upper(strip_accents(c_name || '  José.  Núñez, Çelik ')), '.,', ''), '\\s+', ' ', 'g')) AS name FROM customer""")
+@query("""SELECT c_custkey, trim(regexp_replace(translate(upper(strip_accents(replace(replace(c_name || '  José.  Núñez, Çelik  Mª Nº', 'ª', 'a'), 'º', 'o'))), '.,', ''), '\\s+', ' ', 'g')) AS name FROM customer""")
 def norm_name(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", text.normal_name(F.concat("c_name", F.lit("  José.  Núñez, Çelik "))).alias("name"))
+    return t.customer.select("c_custkey", text.normal_name(F.concat("c_name", F.lit("  José.  Núñez, Çelik  Mª Nº"))).alias("name"))
 
 
 @query("""SELECT c_custkey, substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(c_custkey * 7919 % 100000000 % 23 + 1 AS INT), 1) AS letter,
@@ -336,32 +342,48 @@ _ENDINGS = ", ".join(f"'{e}'" for e in text.EMAIL_JUNK_ENDINGS)
 _DOMAINS = ", ".join(f"'{e}'" for e in text.EMAIL_JUNK_DOMAINS)
 
 
-@query(f"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{text.EMAIL}')) AS e FROM documents)
-    SELECT DISTINCT doc_id, lower(e) AS email FROM e WHERE split_part(lower(e), '.', -1) NOT IN ({_ENDINGS}) AND split_part(lower(e), '@', -1) NOT IN ({_DOMAINS})""")
+@query(f"""WITH d AS (SELECT doc_id, concat_ws(' ', text, 'Info@Acme' || doc_id || '.ES logo@2x.png a@EMPRESA.com') AS s FROM documents),
+    e AS (SELECT doc_id, unnest(regexp_extract_all(s, '{text.EMAIL}')) AS e FROM d)
+    SELECT DISTINCT doc_id, e AS email FROM e WHERE split_part(lower(e), '.', -1) NOT IN ({_ENDINGS}) AND split_part(lower(e), '@', -1) NOT IN ({_DOMAINS})""")
 def extract_emails(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
+    more = F.concat(F.lit("Info@Acme"), F.col("doc_id"), F.lit(".ES logo@2x.png a@EMPRESA.com"))
+    return t.documents.select("doc_id", F.explode(text.emails(F.concat_ws(" ", "text", more))).alias("email"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, concat_ws(' ', text, '<p>id 8' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' ; Tel: +34 932 20 38 58 ; o 6' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' ; 711-22-33-44</p>') AS s FROM documents),
+    f AS (SELECT doc_id, regexp_extract_all(s, '(?:^|[^0-9])((?:\+34|0034)?(?:[\s.-]?[6789])(?:[\s.-]?\d){8})(?:[^0-9]|$)', 1) AS found FROM d),
+    u AS (SELECT doc_id, ltrim(unnest(found)) AS phone, generate_subscripts(found, 1) AS pos FROM f),
+    o AS (SELECT doc_id, phone, min(pos) AS pos, CASE WHEN phone LIKE '+34%' OR phone LIKE '0034%' THEN 2 ELSE 0 END + CASE WHEN regexp_matches(phone, '[ .-]') THEN 1 ELSE 0 END AS score FROM u GROUP BY doc_id, phone)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) - 1 AS rank, phone FROM o""")
 def extract_phones(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(text.phones(F.col("text"))).alias("rank", "phone"))
+    number = F.lpad(F.col("doc_id").cast("string"), 8, "0")
+    more = F.concat(F.lit("<p>id 8"), number, F.lit(" ; Tel: +34 932 20 38 58 ; o 6"), number, F.lit(" ; 711-22-33-44</p>"))
+    return t.documents.select("doc_id", F.posexplode(text.phones(F.concat_ws(" ", "text", more))).alias("rank", "phone")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+_ANCHORS = '<a href="/aviso-legal?p=1#x">Aviso <b>Legal</b></a><a href="/productos">Productos</a><a class="c" href="//h.es/legal">y</a><a href="?q=2">Contacto</a><a href="https://otro.test/contact">z</a>'
+
+
+@query("""SELECT page_id, u.rank, u.link FROM pages, LATERAL (VALUES (0, regexp_extract(url, '^https?://[^/?#]+') || '/aviso-legal?p=1#x'), (1, regexp_extract(url, '^https?:') || '//h.es/legal'),
+    (2, regexp_replace(url, '[?#].*$', '') || '?q=2')) u(rank, link)""")
 def extract_links(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.posexplode(text.legal_links(F.col("url"), F.col("html"), 3)).alias("rank", "link"))
+    return t.pages.select("page_id", F.posexplode(text.legal_links(F.col("url"), F.concat(F.lit(_ANCHORS), F.coalesce("html", F.lit(""))), 3)).alias("rank", "link"))
 
 
-@query()
+@query("""SELECT page_id, u.network, u.urls FROM pages, LATERAL (VALUES ('facebook_url', 'https://www.facebook.com/acme.' || page_id), ('linkedin_url', 'https://es.linkedin.com/company/acme https://linkedin.com/in/a-' || page_id)) u(network, urls)""")
 def social_links(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(text.social_profiles(F.col("html"))).alias("network", "urls")).select("page_id", "network", F.array_join("urls", " ").alias("urls"))
+    id_ = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<a href="https://www.facebook.com/acme.'), id_, F.lit('">x</a> https://www.facebook.com/sharer/sharer.php?u=1 https://es.linkedin.com/company/acme https://linkedin.com/in/a-'), id_, F.lit(" https://x.com/intent"))
+    return t.pages.select("page_id", F.explode(text.social_profiles(F.concat_ws(" ", "html", more))).alias("network", "urls")).select("page_id", "network", F.array_join("urls", " ").alias("urls"))
 
 
-@query("""SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'q=1' AS url FROM pages WHERE url NOT LIKE '%/en/%' AND url NOT LIKE '%utm%'""")
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_source=x&gclid=2&q=1&MC_EID=3' AS url FROM pages),
+    p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?]*') AS host, split_part(substr(url, length(regexp_extract(url, '^https?://[^/?]*')) + 1), '?', 1) AS path, string_split(substr(url, position('?' IN url) + 1), '&') AS query FROM u)
+    SELECT page_id, host || regexp_replace(regexp_replace(path, '^/en(-[a-z]{2})?/', '/', 'i'), '^/en(-[a-z]{2})?/', '/', 'i') || '?' ||
+        array_to_string(list_filter(query, lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('srsltid', 'gclid', 'fbclid', 'mc_cid', 'mc_eid') AND NOT starts_with(lower(x), 'utm_')), '&') AS url FROM p""")
 def url_normalise(t: Tables) -> DataFrame:
     tail = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
-    rows = t.pages.where("url not like '%/en/%' and url not like '%utm%'")
-    return rows.select("page_id", text.normal_url(F.concat(F.regexp_replace("url", "#.*$", ""), tail, F.lit("utm_source=x&gclid=2&q=1#top"))).alias("url"))
+    return t.pages.select("page_id", text.normal_url(F.concat(F.regexp_replace("url", "#.*$", ""), tail, F.lit("utm_source=x&gclid=2&q=1&MC_EID=3#top"))).alias("url"))
 
 
 @query()
@@ -445,14 +467,18 @@ def body_score(t: Tables) -> DataFrame:
     return _with_spanish(t).select("doc_id", b.alias("b")).select("doc_id", "b.score", "b.confirmed")
 
 
-@query(f"""WITH d AS (SELECT doc_id, lower({_SPANISH}) AS s FROM documents), x AS (
+_TITLE = """concat(CASE doc_id % 8 WHEN 0 THEN 'Ley 3/2020, del régimen sancionador y expediente sancionador de ' WHEN 1 THEN 'Notificación de expediente sancionador a ' WHEN 2 THEN 'Resolución de multa de '
+    WHEN 3 THEN 'ORDEN de embargo y apremio de ' WHEN 4 THEN 'Nombramiento de ' WHEN 5 THEN 'Liquidación de la deuda de ' WHEN 6 THEN 'Multa: ' ELSE 'Anuncio de cobro de deudas de ' END, coalesce(source, ''), ' ', coalesce(lang, ''))"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower({_TITLE}) AS s FROM documents), x AS (
     SELECT doc_id, ({_any_sql(rules.TITLE_STRONG)}) AS strong, {_sum_sql([(p, '', 1) for p in rules.TITLE_MEDIUM])} >= 2 AS medium,
            (s LIKE 'ley %' OR s LIKE 'real decreto %' OR s LIKE 'real decreto-ley %' OR s LIKE 'orden %') AND contains(s, 'régimen sancionador') AS veto FROM d)
     SELECT doc_id, NOT veto AND (strong OR medium) AS candidate, CASE WHEN veto THEN 0.0::DOUBLE WHEN strong THEN 0.95::DOUBLE WHEN medium THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
            CASE WHEN NOT veto AND (strong OR medium) THEN 'anuncio_expediente' ELSE '' END AS family FROM x""")
 def title_classify(t: Tables) -> DataFrame:
-    c = rules.title_class(F.col("s"), F.lit("5A"), F.lit("V. Anuncios"))
-    return _with_spanish(t).select("doc_id", c.alias("c")).select("doc_id", "c.candidate", "c.confidence", "c.family")
+    c = rules.title_class(F.expr(_TITLE), F.lit("5A"), F.lit("V. Anuncios"))
+    return t.documents.select("doc_id", c.alias("c")).select("doc_id", "c.candidate", "c.confidence", "c.family")
 
 
 @query(f"""WITH d AS (SELECT doc_id, strip_accents(lower({_SPANISH})) AS s FROM documents)
@@ -463,7 +489,7 @@ def keyword_include_exclude(t: Tables) -> DataFrame:
 
 # Search
 
-_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9à-öø-ÿ]+'), lambda x: x <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}]+'), lambda x: x <> '')".replace("\\\\", "\\")
 _NAMES = f"n AS (SELECT item_id, list_slice({_TOKENS}, 4, 6) AS q FROM benchmark)"
 _DOCS = f"d AS MATERIALIZED (SELECT doc_id, tokens, ' ' || array_to_string(tokens, ' ') || ' ' AS line FROM (SELECT doc_id, {_TOKENS} AS tokens FROM documents))"
 
@@ -473,30 +499,32 @@ def _token_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     return docs, t.benchmark.select(F.col("item_id").alias("name_id"), F.slice(search.tokens(F.col("text")), 4, 3).alias("query"))
 
 
-@query(f"""WITH {_DOCS} SELECT doc_id FROM d WHERE list_contains(tokens, 'river')""")
+@query(f"""WITH {_DOCS} SELECT doc_id FROM d WHERE list_contains(tokens, 'of')""")
 def array_containment(t: Tables) -> DataFrame:
     docs, _ = _token_tables(t)
-    return docs.where(F.array_contains("tokens", "river")).select("doc_id")
+    return docs.where(F.array_contains("tokens", "of")).select("doc_id")
 
 
 @query(f"""WITH {_DOCS}, {_NAMES} SELECT DISTINCT item_id AS name_id, doc_id FROM d JOIN n ON len(q) > 0 AND contains(line, ' ' || array_to_string(q, ' ') || ' ')""")
 def phrase_search(t: Tables) -> DataFrame:
-    docs, names = _token_tables(t)
-    pairs = search.rare_token_candidates(docs, names, "doc_id", "name_id").join(docs, "doc_id")
-    return pairs.where(search.holds_phrase(F.col("tokens"), F.col("query"))).select("name_id", "doc_id")
+    return search.name_hits(*_token_tables(t)).where("phrase").select("name_id", "doc_id")
 
 
 @query(f"""WITH {_DOCS}, {_NAMES} SELECT DISTINCT item_id AS name_id, doc_id FROM d JOIN n ON len(q) > 0 AND list_has_all(tokens, q)""")
 def bag_search(t: Tables) -> DataFrame:
-    docs, names = _token_tables(t)
-    pairs = search.rare_token_candidates(docs, names, "doc_id", "name_id").join(docs, "doc_id")
-    return pairs.where(search.holds_bag(F.col("tokens"), F.col("query"))).select("name_id", "doc_id")
+    return search.name_hits(*_token_tables(t)).select("name_id", "doc_id")
 
 
-@query()
+@query(f"""WITH {_DOCS}, {_NAMES}, h AS (SELECT item_id AS name_id, doc_id, list_distinct(q) AS q, tokens, contains(line, ' ' || array_to_string(q, ' ') || ' ') AS phrase FROM d JOIN n ON len(q) > 0 AND list_has_all(tokens, q)),
+    k AS (SELECT * FROM h QUALIFY phrase = max(phrase) OVER (PARTITION BY name_id)),
+    p AS (SELECT name_id, doc_id, phrase, q, unnest(list_filter(list_transform(tokens, lambda t, i: struct_pack(w := list_position(q, t), at := i)), lambda x: x.w > 0)) AS p FROM k),
+    a AS (SELECT name_id, doc_id, p.w AS w, p.at AS at FROM p),
+    m AS (SELECT x.name_id, x.doc_id, exp(sum(ln(1 - 0.1 / sqrt(1.005 + 0.05 * exp((y.at - x.at) / 1.5 - 2))))) AS misses
+          FROM a x JOIN a y ON x.name_id = y.name_id AND x.doc_id = y.doc_id AND y.at > x.at AND y.at - x.at <= 100 AND x.w <> y.w GROUP BY 1, 2),
+    r AS (SELECT k.name_id, k.doc_id, k.phrase, CASE WHEN len(q) = 1 THEN 0.1 / 1.64493406685 ELSE 1 - coalesce(misses, 1) END AS rank FROM k LEFT JOIN m USING (name_id, doc_id))
+    SELECT name_id, doc_id, phrase, CAST(round(least(CASE WHEN phrase THEN 0.60 ELSE 0.35 END + least(0.10, rank * 2), 0.95), 6) AS DOUBLE) AS score FROM r QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY round(rank, 9) DESC, doc_id) <= 200""")
 def name_scores(t: Tables) -> DataFrame:
-    docs, names = _token_tables(t)
-    return search.name_matches(docs, names)
+    return search.name_matches(*_token_tables(t)).select("name_id", "doc_id", "phrase", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
@@ -506,11 +534,16 @@ def best_match_per_doc(t: Tables) -> DataFrame:
     return relational.best_of(branches, ["o_custkey"], F.col("score"), F.col("o_orderkey"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(regexp_replace(upper(regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g')), '[\\s.\\-]', '', 'g'), 'THERIVER') THEN 0.9::DOUBLE
-    WHEN contains(regexp_replace(upper(regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g')), '[\\s.\\-]', '', 'g'), 'TREE') THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM documents""")
+_EVIDENCE = "regexp_replace(upper(regexp_replace(strip_accents({}), '[^\\\\x00-\\\\x7F]', '', 'g')), '[\\\\s.\\\\-]', '', 'g')".replace("\\\\", "\\")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_EVIDENCE.format("coalesce(text, '')")} AS page, {_EVIDENCE.format("CASE WHEN doc_id % 3 = 0 THEN right(coalesce(text, ''), 12) ELSE 'the river' END")} AS id FROM documents)
+    SELECT doc_id, CASE WHEN length(id) >= 8 AND contains(page, id) THEN 0.9::DOUBLE WHEN contains(page, 'TREE') THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM d""")
 def evidence_match(t: Tables) -> DataFrame:
-    page = text.evidence_form(F.col("text"))
-    return t.documents.select("doc_id", search.evidence(page, text.evidence_form(F.lit("the river")), text.evidence_form(F.lit("trée"))).alias("confidence"))
+    """A third of the pages hold the identifier that is looked for: their own last signs."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.right(F.coalesce("text", F.lit("")), F.lit(12))).otherwise("the river")
+    rows = t.documents.select("doc_id", text.evidence_form(F.col("text")).alias("page"), text.evidence_form(own).alias("id"))
+    return rows.select("doc_id", search.evidence(F.col("page"), F.col("id"), text.evidence_form(F.lit("trée"))).alias("confidence"))
 
 
 @query("""SELECT user_id AS case_id, event_type AS field, event_id AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY round(value), event_id % 2, event_id) AS r FROM
@@ -535,30 +568,30 @@ def merge_fill_missing(t: Tables) -> DataFrame:
     return merge.fill_missing(old, new, ["doc_id"])
 
 
-@query("""WITH o AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a, min(event_type) AS t FROM events WHERE event_id % 7 = 0 GROUP BY user_id),
-    n AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a, max(event_type) AS t FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+@query("""WITH o AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a, min(event_type) AS t FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
+    n AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a, max(event_type) AS t FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id)
     SELECT user_id, array_to_string(list_concat(coalesce(o.a, []), list_filter(coalesce(n.a, []), lambda x: NOT list_contains(coalesce(o.a, []), x))), ',') AS kinds,
            CASE WHEN o.t IS NULL THEN n.t WHEN n.t IS NULL OR contains(o.t, n.t) THEN o.t ELSE o.t || ' zzsep ' || n.t END AS norm FROM o FULL JOIN n USING (user_id)""")
 def merge_union(t: Tables) -> DataFrame:
-    def slice_(k: int, one) -> DataFrame:
-        rows = t.events.where(f"event_id % {k} = 0").groupBy("user_id")
+    def slice_(side: str, one) -> DataFrame:
+        rows = t.events.where(f"ts {side} timestamp'2024-01-16'").groupBy("user_id")
         return rows.agg(F.array_sort(F.collect_set("event_type")).alias("kinds"), one("event_type").alias("norm"))
 
-    merged = merge.union_merge(slice_(7, F.min), slice_(5, F.max), ["user_id"], ["kinds"], "norm", identifiers.NAME_SEPARATOR, [])
+    merged = merge.union_merge(slice_("<", F.min), slice_(">=", F.max), ["user_id"], ["kinds"], "norm", identifiers.NAME_SEPARATOR, [])
     return merged.select("user_id", F.array_join("kinds", ",").alias("kinds"), "norm")
 
 
-@query("""WITH o AS (SELECT user_id, max(value) AS score, max_by(event_id, (value, event_id)) AS via FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
-    n AS (SELECT user_id, max(value) AS score, max_by(event_id, (value, event_id)) AS via FROM events WHERE event_id % 3 = 1 GROUP BY user_id)
+@query("""WITH o AS (SELECT user_id, max(value) AS score, max_by(event_id, (value, event_id)) AS via FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
+    n AS (SELECT user_id, max(value) AS score, max_by(event_id, (value, event_id)) AS via FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id)
     SELECT user_id, CASE WHEN o.score IS NULL OR n.score > o.score THEN n.score ELSE o.score END AS score, CASE WHEN o.score IS NULL OR n.score > o.score THEN n.via ELSE o.via END AS via,
            array_to_string(list_sort(list_distinct(list_concat(CASE WHEN o.score IS NULL THEN [] ELSE ['b'] END, CASE WHEN n.score IS NULL THEN [] ELSE ['a'] END))), ',') AS vias, o.score IS NULL AS created
     FROM o FULL JOIN n USING (user_id)""")
 def merge_max(t: Tables) -> DataFrame:
-    def slice_(k: int, label: str) -> DataFrame:
-        rows = t.events.where(f"event_id % 3 = {k}").groupBy("user_id")
+    def slice_(side: str, label: str) -> DataFrame:
+        rows = t.events.where(f"ts {side} timestamp'2024-01-16'").groupBy("user_id")
         return rows.agg(F.max("value").alias("score"), F.max_by("event_id", F.struct("value", "event_id")).alias("via")).withColumn("vias", F.array(F.lit(label)))
 
-    return merge.max_merge(slice_(0, "b"), slice_(1, "a"), ["user_id"], "score", ["via"], "vias").withColumn("vias", F.array_join("vias", ","))
+    return merge.max_merge(slice_("<", "b"), slice_(">=", "a"), ["user_id"], "score", ["via"], "vias").withColumn("vias", F.array_join("vias", ","))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'revisada' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""")
@@ -575,17 +608,22 @@ def delete_detach(t: Tables) -> DataFrame:
     return children
 
 
-@query("SELECT event_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+@query("SELECT event_id, CASE WHEN event_type <> 'purchase' THEN 'old' ELSE 'new' END AS origin FROM events")
 def insert_or_ignore(t: Tables) -> DataFrame:
-    ids = t.events.select("event_id")
-    new = ids.where("event_id % 3 = 0")
-    return merge.insert_new(ids.where("event_id % 2 = 0"), new.unionByName(new), ["event_id"])
+    """Old rows of all types but one; new ones of all types, each twice: keys that are there stay as they are."""
+    rows = t.events.select("event_id", "event_type")
+    new = rows.select("event_id", F.lit("new").alias("origin"))
+    return merge.insert_new(rows.where("event_type <> 'purchase'").select("event_id", F.lit("old").alias("origin")), new.unionByName(new), ["event_id"])
 
 
-@query("SELECT o_orderkey AS origen_id, 'B' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || '1' AS cif_nif FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+@query("""SELECT o_orderkey AS origen_id, 'B' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || '1' AS cif_nif, 'CLI-2026-' || lpad(CAST((SELECT count(*) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 8, '0') AS codigo
+    FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT c_custkey FROM customer)""")
 def conversion(t: Tables) -> DataFrame:
-    cases = t.orders.select(F.col("o_orderkey").alias("case_id"), F.lit("x").alias("nombre"), F.concat(F.lit("b-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("1")).alias("identificador"), (F.col("o_orderkey") % 6 == 0).alias("convert"))
-    return dataflow.converted(cases, t.customer.select(F.col("c_custkey").alias("origen_id"))).select("origen_id", "cif_nif")
+    cases = t.orders.select(
+        F.col("o_orderkey").alias("case_id"), F.lit("x").alias("nombre"), F.concat(F.lit("b-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("1")).alias("identificador"),
+        (F.col("o_orderstatus") != "P").alias("convert"),
+    )
+    return dataflow.converted(cases, t.customer.select(F.col("c_custkey").alias("origen_id")), 2026, t.customer.count()).select("origen_id", "cif_nif", "codigo")
 
 
 @query("""SELECT count(*) FILTER (NOT (o_orderstatus IN ('O', 'F'))) AS status, count(*) FILTER (NOT (o_totalprice >= 2000)) AS amount, 0 AS repeated_keys FROM orders""")

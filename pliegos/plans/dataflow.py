@@ -150,9 +150,11 @@ def best_fields(found: DataFrame) -> DataFrame:
     return relational.first_of(found, ["case_id", "field"], [F.col("confidence").desc(), F.col("directory"), F.col("ord")])
 
 
-def converted(cases: DataFrame, clients: DataFrame) -> DataFrame:
-    """New clients from cases marked for conversion that no client came from yet, numbered after the highest id."""
+def converted(cases: DataFrame, clients: DataFrame, year: int, last: int) -> DataFrame:
+    """New clients from cases marked for conversion that no client came from yet, with codes after the year's ``last`` number."""
     new = cases.where("convert").join(clients.select(F.col("origen_id").alias("case_id")), "case_id", "left_anti")
     ids = identifiers.normal_identifier(F.col("identificador"))
     is_cif = ids.rlike("^[A-W][0-9]{7}[0-9A-J]$") & ~ids.rlike("^[XYZ]")
-    return new.select(F.col("case_id").alias("origen_id"), "nombre", F.when(is_cif, ids).alias("cif_nif"), F.when(~is_cif, F.nullif(ids, F.lit(""))).alias("dni_nie"))
+    rows = new.select(F.col("case_id").alias("origen_id"), "nombre", F.when(is_cif, ids).alias("cif_nif"), F.when(~is_cif, F.nullif(ids, F.lit(""))).alias("dni_nie"))
+    placed = relational.numbered_in(rows.withColumn("_all", F.lit(0)), ["_all"], ["origen_id"]).drop("_all")
+    return placed.withColumn("codigo", text.code("CLI", F.lit(year), F.col("number") + last, 8)).drop("number")
