@@ -1,45 +1,12 @@
-"""Intermediate tables in the folder that the cluster shares.
-
-A long plan is cut by writing a table and reading it again: every executor can
-then read the rows after another executor has been lost.
-"""
+"""Intermediate tables in the folder that the cluster shares, and names that clash with no column."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_local_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="pliegos-")
-    return _local_root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return it as read from there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pyspark.sql import DataFrame
 
+from ..plans.scratch import new_path, shared_root, shuffle_partitions, staged
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["free_name", "new_path", "shared_root", "shuffle_partitions", "staged"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
