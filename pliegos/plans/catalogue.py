@@ -15,7 +15,7 @@ from ..functions import identifiers, rules, text
 from ..operators import merge, relational, search
 from ..sources import gazette
 from ..streaming import ingest
-from . import dataflow, scratch
+from . import dataflow, enrichment, flows, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +659,137 @@ def export_round_trip(t: Tables) -> DataFrame:
     rows.where("o_orderkey % 2 = 0").write.option("header", True).csv(f"{path}/csv")
     rows.where("o_orderkey % 2 <> 0").write.json(f"{path}/json")
     return t.spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv").unionByName(t.spark.read.schema(rows.schema).json(f"{path}/json"))
+
+
+# Whole flows
+
+_RUN_ITEMS = f"""SELECT doc_id, DATE '2026-01-01' + CAST(doc_id % 10 AS INT) AS fecha, doc_id % 5 = 0 AS skipped, lower({_TITLE}) AS t, lower({_SPANISH}) AS s FROM documents"""
+
+
+def _any_in(patterns: list[str], column: str) -> str:
+    return " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns)
+
+
+_RUN_JUDGED = f"""SELECT doc_id, fecha, skipped, NOT ((t LIKE 'ley %' OR t LIKE 'real decreto %' OR t LIKE 'real decreto-ley %' OR t LIKE 'orden %') AND contains(t, 'régimen sancionador'))
+        AND (({_any_in(rules.TITLE_STRONG, "t")}) OR {" + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN 1 ELSE 0 END" for p in rules.TITLE_MEDIUM)} >= 2) AS by_title,
+        NOT ({_any_in([p for p, _ in rules.BODY_DISQUALIFIERS], "s")}) AND {_sum_sql(rules.BODY)} >= 3 AS by_body, trim(s) = '' AS blank FROM i"""
+
+
+def _run_fixture(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents as the items of ten days' summaries, a fifth of them in a section that is skipped."""
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 10).cast("int"))
+    item = F.struct(F.concat(F.lit("BOE-A-"), F.col("doc_id").cast("string")).alias("identificador"), F.expr(_TITLE).alias("titulo"))
+    rows = t.documents.select(day.alias("fecha"), F.when(F.col("doc_id") % 5 == 0, "1").otherwise("5A").alias("codigo"), item.alias("item"))
+    sections = rows.groupBy("fecha", "codigo").agg(F.collect_list("item").alias("items")).select(
+        "fecha", F.struct("codigo", F.lit("V. Anuncios").alias("nombre"), F.struct(F.struct(F.col("items").alias("item")).alias("epigrafe")).alias("departamento")).alias("seccion")
+    )
+    payload = F.to_json(F.struct(F.struct(F.struct(F.struct(F.lit("7").alias("numero"), F.collect_list("seccion").alias("seccion")).alias("diario")).alias("sumario")).alias("data")))
+    texts = t.documents.select(F.concat(F.lit("BOE-A-"), F.col("doc_id").cast("string")).alias("identificador"), F.expr(_SPANISH).alias("texto"))
+    return sections.groupBy("fecha").agg(payload.alias("payload")), texts
+
+
+def _empty(spark: SparkSession, like: DataFrame) -> DataFrame:
+    return spark.createDataFrame([], like.schema)
+
+
+@query(f"""WITH i AS ({_RUN_ITEMS}), j AS ({_RUN_JUDGED})
+    SELECT fecha, 'daily' AS tipo, 'completed' AS status, count(*) AS total_docs, count(*) FILTER (NOT skipped) AS scanned, count(*) FILTER (NOT skipped AND (by_title OR by_body)) AS candidates,
+           count(*) FILTER (NOT skipped AND (by_title OR by_body)) AS created, 0 AS errors FROM j GROUP BY fecha""")
+def daily_run(t: Tables) -> DataFrame:
+    """Ten days in two runs, of which the second also gets the days of the first: they are skipped."""
+    payloads, texts = _run_fixture(t)
+    shape = dataflow.candidates(gazette.flatten_summary(payloads.limit(0)), texts.limit(0))
+    documents, runs = _empty(t.spark, shape), t.spark.createDataFrame([], flows.RUN)
+    for last in ("2026-01-06", "2026-01-10"):
+        run = flows.run_days(payloads.where(F.col("fecha") <= last), texts, documents, runs)
+        documents, runs = scratch.staged(run.documents, "documents"), scratch.staged(run.runs, "runs")
+    return runs
+
+
+@query(f"""WITH i AS ({_RUN_ITEMS}), j AS ({_RUN_JUDGED})
+    SELECT doc_id FROM j WHERE NOT skipped AND by_title AND (blank OR by_body)""")
+def backfill_run(t: Tables) -> DataFrame:
+    """Ten days from the last to the first, four in each run, until all are done."""
+    payloads, texts = _run_fixture(t)
+    shape = dataflow.indexed(dataflow.candidates(gazette.flatten_summary(payloads.limit(0)), texts.limit(0), "backfill"))
+    index, runs, done = _empty(t.spark, shape), t.spark.createDataFrame([], flows.RUN), False
+    while not done:
+        merged, run, done = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 4)
+        index, runs = scratch.staged(merged, "index"), scratch.staged(run.runs, "runs")
+    return index.select(F.substring_index("doc_id", "-", -1).cast("long").alias("doc_id"))
+
+
+@query("""SELECT 'BOE-N-2026-' || n_nationkey AS identificador, 'Diligencia de embargo a ' || n_name AS titulo, 'Tesorería ' || r_name AS departamento_nombre FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0""")
+def notices_run(t: Tables) -> DataFrame:
+    """Regions as departments of one index page, nations as entries: a third of them of no interest, each of them twice."""
+    key = F.col("n_nationkey").cast("string")
+    title = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("Notaria de "), F.col("n_name"))).otherwise(F.concat(F.lit("Diligencia de <b>embargo</b> a "), F.col("n_name")))
+    entry = F.concat(F.lit('<li class="notif"> <p>'), title, F.lit('</p><a href="/x/not.php?id=BOE-N-2026-'), key, F.lit('">PDF</a></li>'))
+    parts = t.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    block = F.concat(F.lit('<h5 class="d">Tesorería '), F.col("r_name"), F.lit("</h5><ul>"), F.col("entries"), F.lit("</ul>"))
+    page = parts.agg(F.array_join(F.array_sort(F.collect_list(block)), "").alias("html")).select(F.lit("2026-01-02").cast("date").alias("fecha"), F.concat("html", "html").alias("html"))
+    shape = "identificador string, titulo string, departamento_nombre string, fecha_publicacion date, seccion_codigo string, seccion_nombre string, url_pdf string, source string"
+    return flows.run_notices(page, t.spark.createDataFrame([], shape)).select("identificador", "titulo", "departamento_nombre")
+
+
+@query("""SELECT s_suppkey AS case_id, u.field, u.value, u.confidence FROM supplier, LATERAL (VALUES
+    ('telefono', '+34 9' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0'), CASE WHEN s_suppkey % 2 = 0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END), ('email', 'info@acme' || s_suppkey || '.es', CASE WHEN s_suppkey % 2 = 0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END),
+    ('web', 'https://www.acme' || s_suppkey || '.es', CASE WHEN s_suppkey % 2 = 0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END), ('linkedin_url', 'https://www.linkedin.com/company/acme' || s_suppkey, 0.6::DOUBLE)) u(field, value, confidence)
+    WHERE s_suppkey % 4 <> 3""")
+def contact_fields(t: Tables) -> DataFrame:
+    """Suppliers as parties: their own site, found by name or on its legal page by identifier, a directory, and a profile; a quarter has no page that names it."""
+    k = F.col("s_suppkey").cast("string")
+    ident = F.concat(F.lit("B"), F.lpad(k, 8, "0"))
+    parties = t.supplier.select(F.col("s_suppkey").alias("case_id"), F.col("s_name").alias("nombre"), ident.alias("identificador"), F.lit(None).cast("string").alias("localidad"), F.lit("Lugo").alias("provincia"), F.lit(None).cast("string").alias("contacto_estado"))
+    site, named = F.concat(F.lit("https://www.acme"), k, F.lit(".es")), F.col("s_suppkey") % 4 != 3
+    q = F.concat("s_name", F.lit(" Lugo"))
+    ours = t.supplier.select(q.alias("query"), F.lit(2).alias("ord"), F.concat(site, F.lit("/en/?gclid=1")).alias("url"), F.lit("Inicio").alias("title"), F.lit("").alias("snippet"))
+    directory = t.supplier.select(q.alias("query"), F.lit(1).alias("ord"), F.concat(F.lit("https://www.einforma.com/"), k).alias("url"), F.lit("Ficha").alias("title"), F.lit("").alias("snippet"))
+    profile = t.supplier.where(named).select(q.alias("query"), F.lit(3).alias("ord"), F.concat(F.lit("https://www.linkedin.com/company/acme"), k).alias("url"), F.col("s_name").alias("title"), F.lit("tel 600000000").alias("snippet"))
+    home = t.supplier.select(F.concat(site, F.lit("/")).alias("url"), F.concat(F.when(named, F.col("s_name")).otherwise("x"), F.lit(' <a href="/aviso-legal">Aviso</a> Tel +34 9'), F.lpad(k, 8, "0"), F.lit(" ; info@acme"), k, F.lit(".es")).alias("html"))
+    legal = t.supplier.where(named).select(F.concat(site, F.lit("/aviso-legal")).alias("url"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, ident).otherwise("y"), F.lit(" Tel +34 9"), F.lpad(k, 8, "0"), F.lit(" ; info@acme"), k, F.lit(".es")).alias("html"))
+    listed = t.supplier.where(named).select(F.concat(F.lit("https://www.einforma.com/"), k).alias("url"), F.concat("s_name", F.lit(" +34 9"), F.lpad(k, 8, "0")).alias("html"))
+    asked = enrichment.queries(parties).where("status is null")
+    return enrichment.found_fields(asked.select("case_id", "nombre", "identificador", "query"), ours.union(directory).union(profile), home.union(legal).union(listed)).select("case_id", "field", "value", "confidence")
+
+
+_HISTORY_SQL = """SELECT c_custkey AS subject_id, 'D' || s_suppkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'cif' ELSE 'nombre' END AS via,
+    CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE round(0.6 + least(0.1, 2 * 0.1 / sqrt(1.005 + 0.05 * exp(1 / 1.5 - 2))), 6) END::DOUBLE AS score FROM customer JOIN supplier ON s_suppkey = c_custkey"""
+
+
+def _history_fixture(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    none = F.array().cast("array<string>")
+    number = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
+    index = t.supplier.select(
+        F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("doc_id"), F.array(F.concat(F.lit("B"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"))).alias("identificadores"),
+        none.alias("matriculas"), none.alias("digitos_parciales"), F.array(F.lit("edicto"), F.lit("customer"), number).alias("tokens"),
+    )
+    key = F.col("c_custkey")
+    clients = t.customer.select(
+        key.alias("cliente_id"), F.when(key % 2 == 0, F.concat(F.lit("b-"), F.lpad(key.cast("string"), 8, "0"))).alias("cif_nif"), F.lit(None).cast("string").alias("dni_nie"),
+        none.alias("matriculas"), F.concat(F.lit("Customer "), F.lpad(key.cast("string"), 9, "0")).alias("nombre"), F.lit("activo").alias("estado"),
+    )
+    return index, clients, t.spark.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, nombre string")
+
+
+@query(_HISTORY_SQL)
+def history_matches(t: Tables) -> DataFrame:
+    index, clients, links = _history_fixture(t)
+    return dataflow.history_search(index, dataflow.subject_keys(clients, links)).select("subject_id", "doc_id", "via", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT subject_id, doc_id, via, score FROM ({_HISTORY_SQL}) WHERE score >= 0.9")
+def radar_alerts(t: Tables) -> DataFrame:
+    index, clients, links = _history_fixture(t)
+    none = t.spark.createDataFrame([], "subject_id long, doc_id string, link_id long, via string, score double, vias array<string>")
+    return dataflow.radar(index, clients, links, none)[1]
+
+
+@query("""SELECT s_suppkey, array_to_string(list_filter(['EMISOR_CIF', CASE WHEN s_suppkey % 3 = 0 THEN 'cliente.cif_nif' END, CASE WHEN s_nationkey % 2 = 0 THEN 'cliente.direccion_fiscal' END,
+    CASE WHEN s_acctbal <= 0 THEN 'cuantia' END, 'concepto'], lambda x: x IS NOT NULL), ',') AS missing FROM supplier""")
+def document_checklist(t: Tables) -> DataFrame:
+    found = enrichment.missing_fields(
+        "factura", {"EMISOR_NOMBRE": "X", "EMISOR_DIRECCION": "Y", "FACTURA_SERIE": "F"}, F.lit(True), F.when(F.col("s_suppkey") % 3 != 0, "B1"),
+        F.when(F.col("s_nationkey") % 2 != 0, "Calle"), F.col("s_acctbal"), F.lit(" ").substr(1, 0),
+    )
+    return t.supplier.select("s_suppkey", F.array_join(found, ",").alias("missing"))

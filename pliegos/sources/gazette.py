@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import squeezed
-
 ITEM_COLUMNS = [
     "fecha_publicacion", "diario_numero", "seccion_codigo", "seccion_nombre", "departamento_codigo", "departamento_nombre",
     "epigrafe_nombre", "identificador", "titulo", "url_html", "url_xml", "url_pdf", "raw_item",
@@ -20,7 +21,7 @@ ITEM_COLUMNS = [
 def _each(path: str, source: str) -> str:
     """A member that may be one object or a list of them, as a list; nothing when it is absent."""
     child = f"variant_get({source}, '$.{path}')"
-    return f"case when {child} is null then array() when schema_of_variant({child}) like 'ARRAY%' then cast({child} as array<variant>) else array({child}) end"
+    return f"case when {child} is null or is_variant_null({child}) then array() when schema_of_variant({child}) like 'ARRAY%' then cast({child} as array<variant>) else array({child}) end"
 
 
 def flatten_summary(payloads: DataFrame, json_col: str = "payload", day_col: str = "fecha") -> DataFrame:
@@ -53,32 +54,62 @@ def flatten_summary(payloads: DataFrame, json_col: str = "payload", day_col: str
     )
 
 
+# Where a page holds its text, the best place first: element, attribute, value.
+CONTAINERS = [
+    ("div", "class", "documento-texto"), ("div", "id", "textoxslt"), ("div", "id", "texto"), ("article", None, None), ("div", "id", "contenido"), ("main", None, None),
+    ("div", "class", "content"),
+]
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+
+
 class _Text(HTMLParser):
-    """Visible text: what stands in these elements is left out."""
+    """Visible text of the page and of the first element of each kind of container; what stands in HIDDEN elements is left out."""
 
     HIDDEN = frozenset({"script", "style", "noscript", "nav", "header", "footer"})
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.open: list[tuple[str, int | None]] = []
+        self.hidden, self.parts = 0, []
+        self.within: dict[int, int] = {}
+        self.found: dict[int, list[str]] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.depth += tag in self.HIDDEN
+        if tag in VOID:
+            return
+        own, kind = dict(attrs), None
+        for k, (element, attribute, value) in enumerate(CONTAINERS):
+            held = own.get(attribute) or "" if attribute else ""
+            if tag == element and k not in self.found and (attribute is None or value in (held.split() if attribute == "class" else [held])):
+                self.found[k], kind = [], k
+                self.within[k] = len(self.open)
+                break
+        self.open.append((tag, kind))
+        self.hidden += tag in self.HIDDEN
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.HIDDEN and self.depth:
-            self.depth -= 1
+        if not any(t == tag for t, _ in self.open):
+            return
+        while self.open:
+            t, kind = self.open.pop()
+            self.hidden -= t in self.HIDDEN
+            self.within.pop(kind, None)
+            if t == tag:
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
+        if not self.hidden:
             self.parts.append(data)
+            for k in self.within:
+                self.found[k].append(data)
 
 
 def _visible(html: str | None) -> str:
     parser = _Text()
     parser.feed(html or "")
     parser.close()
-    return " ".join(" ".join(parser.parts).split())
+    texts = [" ".join(" ".join(parser.found[k]).split()) for k in sorted(parser.found)]
+    return next((t for t in texts if t), " ".join(" ".join(parser.parts).split()))
 
 
 @F.pandas_udf(T.StringType())
@@ -86,10 +117,29 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(_visible)
 
 
-def xml_text(xml: Column) -> Column:
-    """The text nodes below all ``texto`` elements, else of the whole tree."""
-    body = F.array_join(F.xpath(xml, F.lit("//texto//text()")), " ")
-    return squeezed(F.when(F.trim(body) != "", body).otherwise(F.array_join(F.xpath(xml, F.lit("//text()")), " ")))
+def _strings(root: ElementTree.Element) -> list[str]:
+    return [t.strip() for t in root.itertext() if t.strip()]
+
+
+def _of_xml(xml: str | None) -> str:
+    try:
+        root = ElementTree.fromstring(xml or "<x/>")
+    except (ElementTree.ParseError, ValueError):
+        return _of_broken_xml(xml)
+    bodies = list(root.iter("texto"))
+    return " ".join(s for b in bodies or [root] for s in _strings(b))
+
+
+def _of_broken_xml(xml: str) -> str:
+    """Text of what is no well-formed XML: of its first ``texto``, else of all of it, without tags."""
+    body = re.search(r"(?s)<texto\b[^>]*>(.*?)(?:</texto>|$)", xml)
+    return " ".join(unescape(re.sub(r"<[^>]*>?", " ", body[1] if body else xml)).split())
+
+
+@F.pandas_udf(T.StringType())
+def xml_text(xml: pd.Series) -> pd.Series:
+    """The text below all ``texto`` elements, else of the whole tree; broken XML is read leniently, and null is empty."""
+    return xml.map(_of_xml)
 
 
 def best_text(xml: Column, html: Column, pdf: Column) -> tuple[Column, Column]:
@@ -131,5 +181,3 @@ _CONNECTORS: dict[str, type] = {"fixture": FixtureConnector}
 def connector(name: str) -> type | None:
     """The connector of a name; none for an unknown name, which callers report as unavailable."""
     return _CONNECTORS.get(name)
-
-
