@@ -15,8 +15,9 @@ The index of the items goes to every task. Its size is checked: items are dealt
 about ``PART_CHARACTERS`` characters, and each part is matched in a pass of its own. Texts are
 matched where they are read, without a shuffle; copies cost what other texts cost.
 
-Defined results: null and empty texts and items match nothing; items under Q characters match
-nothing; shorter items than two q-grams must occur unedited; of several matching windows of an
+Defined results: null, empty and wordless texts and items match nothing; items under Q characters must occur as whole
+words; shorter items than two q-grams must occur unedited; very long texts are matched whole; columns of ``docs`` besides the id and
+the text are carried as they are by ``decontaminated`` and play no part in ``matches``; empty tables match nothing; of several matching windows of an
 item the one with the most shared q-grams is reported, then the first; repeated rows each report
 their matches; repeated items are items of their own.
 """
@@ -105,10 +106,15 @@ class Index:
         self.ids: list[object] = []
         self.texts: list[str] = []
         self.windows: list[tuple[int, int, int]] = []  # item, start, length
+        self.short: dict[str, list[int]] = {}  # items under Q characters
         gram, window, place = [], [], []
         for item_id, text in items:
             text = normalised(text)
             if len(text) < Q:
+                if text:
+                    self.short.setdefault(text, []).append(len(self.ids))
+                    self.ids.append(item_id)
+                    self.texts.append(text)
                 continue
             own, length = grams(codes(text)), min(WINDOW, len(text))
             for start in [*range(0, len(text) - length, STEP), len(text) - length]:
@@ -157,12 +163,30 @@ class Index:
             if (-(-lost // Q)).sum() <= self.budget[w]:
                 yield w, int(((key[starts[k]] >> 8) & ((1 << 32) - 1)) * (self.budget[w] + 1) - 2 * WINDOW)
 
+    def _short_items(self, text: str) -> Iterator[tuple[int, int]]:
+        """Short items among the whole words of a normalised text, each with its first place."""
+        if not self.short:
+            return
+        starts = [0, *(m.end() for m in re.finditer(" ", text))]
+        ends = [*(s - 1 for s in starts[1:]), len(text)]
+        seen = set()
+        for k, start in enumerate(starts):
+            for end in ends[k:]:
+                part = text[start:end]
+                if end - start >= Q:
+                    break
+                if part in self.short and part not in seen:
+                    seen.add(part)
+                    yield from ((item, start) for item in self.short[part])
+
     def matches(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """For each item that the text holds: its id; start, length and edits of the part, in the normalised text."""
         text, out = normalised(text), {}
+        for item, start in self._short_items(text):
+            out[item] = (self.ids[item], start, len(self.texts[item]), 0)
         own = grams(codes(text))
         if not self.windows or not len(own):
-            return []
+            return [out[k] for k in sorted(out)]
         for w, first in self._candidates(own):
             item, start, length = self.windows[w]
             if item in out:

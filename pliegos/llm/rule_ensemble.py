@@ -7,7 +7,8 @@ rules keeps few of them, and those become one Spark column expression.
 
 Defined results: a null text counts as empty; an empty text has all statistics at 0 and is
 scored by the same rules; without labelled rows of both labels every score is the share of
-label 1 (0.5 without any); repeated rows are scored alike; an empty table gives no rows.
+label 1 (0.5 without any); repeated rows are scored alike; of splits that gain the same the first statistic and the lowest threshold
+counts; very long texts are read whole; ``accepted`` carries all columns as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     known = training_rows(labels, label, modulus, remainder, sample, id_col)
     chosen = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("content")).join(F.broadcast(known), F.col("row_id") == F.col("train_id"))
     rows = chosen.select("row_id", "label", statistics("content").alias("s")).select("row_id", "label", "s.*").toPandas()
-    rows = rows.drop_duplicates("row_id").sort_values("row_id")
+    rows = rows.sort_values(["row_id", *STATISTICS]).drop_duplicates("row_id")  # of several texts of one id the one with the least statistics
     return fit(rows[STATISTICS].to_numpy("f8"), rows["label"].to_numpy("f8"))
 
 

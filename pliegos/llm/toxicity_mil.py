@@ -11,13 +11,13 @@ Sentences end at ``. ! ?`` and at line feeds; words are runs of letters and digi
 
 Defined results: a null, empty or wordless text has no sentence, scores 0 and has no worst
 sentence (null); ties between sentences go to the first; without labelled rows of both
-labels every score is 0; repeated rows are scored alike; an empty table gives no rows.
+labels every score is 0; repeated rows are scored alike; very long texts are read whole; columns besides the id and the text play
+no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, expm1, log1p
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
+from .staging import staged
 
 PER_CLASS = 2_000
 VOCABULARY, LEAST_DOCUMENTS, LEAST_DEVIATION = 4_000, 3, 4.0
@@ -95,50 +96,59 @@ def bags(text: str | None) -> list[list[str]]:
     return [words for words in found if words]
 
 
-def _screened(documents: list[list[list[str]]], labels: list[int]) -> list[str]:
+@dataclass(frozen=True)
+class Bag:
+    """A document: how many sentences have words; of those with known features the numbers, one sentence after the other, and their ends."""
+
+    sentences: int
+    numbers: list[int]
+    ends: list[int]
+
+
+def deviation(c1: float, c0: float, n1: float, n0: float) -> float:
+    """How clearly a feature of c1 documents with label 1 and c0 others speaks for the label."""
+    share = (c0 + c1) / (n0 + n1)
+    return (c1 / n1 - c0 / n0) / max(1e-9, share * (1 - share) * (1 / n0 + 1 / n1)) ** 0.5
+
+
+def screened(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> list[str]:
     """The features most clearly more frequent among documents with label 1, the clearest first."""
-    seen = (Counter(), Counter())
-    for d, label in zip(documents, labels, strict=True):
-        seen[label].update({f for w in {w for s in d for w in s} for f in features(w)})
-    n1 = sum(labels)
-    n0, deviation = len(labels) - n1, {}
-    for f, c1 in seen[1].items():
-        c0 = seen[0][f]
-        if c0 + c1 >= LEAST_DOCUMENTS:
-            share = (c0 + c1) / (n0 + n1)
-            deviation[f] = (c1 / n1 - c0 / n0) / max(1e-9, share * (1 - share) * (1 / n0 + 1 / n1)) ** 0.5
-    return sorted((f for f, z in deviation.items() if z > LEAST_DEVIATION), key=lambda f: (-deviation[f], f))[:VOCABULARY]
-
-
-def fit(documents: list[list[list[str]]], labels: list[int]) -> NoisyOr:
+    clear = {f: deviation(c1, c0, n1, n0) for f, (c1, c0) in counts.items() if c0 + c1 >= LEAST_DOCUMENTS}
+    return sorted((f for f, z in clear.items() if z > LEAST_DEVIATION), key=lambda f: (-clear[f], f))[:VOCABULARY]
+
+
+def numbered(sentences: list[list[str]], number: dict[str, int]) -> Bag:
+    """A document by the numbers of its words' features; sentences without any are only counted."""
+    numbers, ends = [], []
+    for s in sentences:
+        own = [number[f] for w in s for f in features(w) if f in number]
+        if own:
+            numbers += own
+            ends.append(len(numbers))
+    return Bag(len(sentences), numbers, ends)
+
+
+def fit(vocabulary: list[str], documents: list[Bag], labels: list[int]) -> NoisyOr:
     """Learn from bags of sentences and the labels of the bags."""
     if len(set(labels)) < 2:
         return NoisyOr(-1e9, {})
-    number = {f: i for i, f in enumerate(_screened(documents, labels))}
-    of_word: dict[str, list[int]] = {}
-    words, sentence_of, document_of, sentence = [], [], [], 0
-    for k, d in enumerate(documents):
-        for s in d:
-            for w in s:
-                if w not in of_word:
-                    of_word[w] = [number[f] for f in features(w) if f in number]
-                words += of_word[w]
-                sentence_of += [sentence] * len(of_word[w])
-            document_of.append(k)
-            sentence += 1
-    words, sentence_of, document_of = (np.array(x, "i8") for x in (words, sentence_of, document_of))
+    words = np.concatenate([np.array(d.numbers, "i8") for d in documents])
+    sizes = np.concatenate([np.diff([0, *d.ends]).astype("i8") for d in documents])
+    sentence_of = np.repeat(np.arange(len(sizes)), sizes)
+    document_of = np.repeat(np.arange(len(documents)), [len(d.ends) for d in documents])
+    quiet = np.array([d.sentences - len(d.ends) for d in documents], "f8") * -log1p(exp(QUIET))  # their log-probability of being clean
     y = np.array(labels, "f8")
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both labels weigh the same
-    theta, bias = np.zeros(len(number)), QUIET
-    theta_sum = np.full(len(number), 1e-8)
+    theta, bias = np.zeros(len(vocabulary)), QUIET
+    theta_sum = np.full(len(vocabulary), 1e-8)
     for epoch in range(EPOCHS):
-        z = bias + np.bincount(sentence_of, theta[words], minlength=sentence)
+        z = bias + np.bincount(sentence_of, theta[words], minlength=len(sizes))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(document_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
+        log_clean = quiet + np.bincount(document_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         toxic = np.maximum(-np.expm1(log_clean), 1e-9)
         # d(-log likelihood)/dz of a sentence: p where the bag is clean, -p (1 - P) / P where it is toxic
         slope = (share * np.where(y > 0, -np.exp(log_clean) / toxic, 1.0))[document_of] * p
-        g = np.bincount(words, slope[sentence_of], minlength=len(number))
+        g = np.bincount(words, slope[sentence_of], minlength=len(vocabulary))
         theta_sum += g**2
         rate = RATE / np.sqrt(theta_sum)
         if epoch < EPOCHS * 2 // 3:
@@ -146,27 +156,47 @@ def fit(documents: list[list[list[str]]], labels: list[int]) -> NoisyOr:
             theta = np.sign(theta) * np.maximum(np.abs(theta) - rate * SHRINK, 0)
         else:  # the features that are left, without the penalty
             theta = np.where(theta != 0, theta - rate * g, 0)
-    return NoisyOr(float(bias), {w: float(t) for w, t in zip(number, theta, strict=True) if abs(t) > 1e-3})
+    return NoisyOr(float(bias), {w: float(t) for w, t in zip(vocabulary, theta, strict=True) if abs(t) > 1e-3})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> NoisyOr:
-    """Learn on at most ``per_class`` documents of each label that are not held out."""
+    """Learn on at most ``per_class`` documents of each label that are not held out.
+
+    Features are counted where the texts are; the counts of features seen in LEAST_DOCUMENTS documents and the numbers of the screened
+    ones reach the driver, never texts or words. Of several texts of one id the first by a hash of the text counts.
+    """
     known = [training_rows(labels, label, modulus, remainder, per_class, id_col, value) for value in (0, 1)]
     chosen = (
-        docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("content"))
+        docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("content"))
         .join(F.broadcast(known[0].union(known[1])), F.col("row_id") == F.col("train_id"))
-        .select("row_id", "label", "content")
+        .groupBy("row_id", "label").agg(F.min_by("content", F.xxhash64("content")).alias("content"))
     )
+    chosen = staged(chosen, "toxicity-sample")
+    n = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return fit([], [], [])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label_, text in zip(b.column(0), b.column(1), strict=True):
+                found = sorted({f for w in {w for s in bags(text.as_py()) for w in s} for f in features(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([label_.as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], ["label", "feature"])
+
+    counts = chosen.select("label", "content").mapInArrow(distinct, "label int, feature string").groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+    clear = counts.where(F.col("c1") + F.col("c0") >= LEAST_DOCUMENTS).where(F.col("c1") / n[1] > F.col("c0") / n[0])
+    vocabulary = screened({r.feature: (r.c1, r.c0) for r in clear.toLocalIterator()}, n[1], n[0])
+    number = {f: k for k, f in enumerate(vocabulary)}
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [bags(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.list_(pa.list_(pa.string())))], ["row_id", "label", "bag"])
+            found = [numbered(bags(t.as_py()), number) for t in b.column(2)]
+            cells = [pa.array([d.sentences for d in found], pa.int64()), *(pa.array([getattr(d, c) for d in found], pa.list_(pa.int32())) for c in ("numbers", "ends"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["row_id", "label", "sentences", "numbers", "ends"])
 
     kind = chosen.schema["row_id"].dataType.simpleString()
-    rows = {r.row_id: r for r in chosen.mapInArrow(words, f"row_id {kind}, label int, bag array<array<string>>").toLocalIterator()}
-    ordered = [rows[k] for k in sorted(rows)]
-    return fit([r.bag for r in ordered], [r.label for r in ordered])
+    rows = chosen.select("row_id", "label", "content").mapInArrow(cut, f"row_id {kind}, label int, sentences long, numbers array<int>, ends array<int>").collect()
+    rows.sort(key=lambda r: r.row_id)
+    return fit(vocabulary, [Bag(r.sentences, r.numbers, r.ends) for r in rows], [r.label for r in rows])
 
 
 def scored(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 """op1 and op9 on labelled rows that were held out from learning."""
 
+import math
+import re
 import zlib
 
 import pytest
@@ -79,3 +81,28 @@ def test_the_offending_sentence_is_located(spark):
     for _, _, p in model.sentences(rows[1][1], weights):
         clean *= 1 - p
     assert model.document(rows[1][1], weights)[0] == pytest.approx(1 - clean)
+
+
+def test_document_scores_are_the_noisy_or_of_their_sentences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity_mil.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.weights
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity_mil.scored(docs, model).collect():
+        clean, worst = 1.0, None
+        for sentence in re.split(r"[.!?\n]", texts[r.doc_id] or ""):
+            words = set(re.findall(r"[^\W_]+", sentence.lower()))
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "-" for n in (3, 4, 5, 6) if len(w) > n)])
+                p = 1 / (1 + math.exp(-z))
+                clean, worst = clean * (1 - p), p if worst is None else max(worst, p)
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and (r.worst_score is None) == (worst is None)
+        assert worst is None or r.worst_score == pytest.approx(worst, abs=1e-12)
+
+
+def test_repeated_ids_do_not_depend_on_the_order_of_files(spark):
+    rows = [(k % 40, f"text {k} " + ("grubnak " if k % 2 else "river ") * (1 + k % 3)) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    a, b = (spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in (rows, rows[::-1]))
+    assert toxicity_mil.train(a, labels) == toxicity_mil.train(b, labels)
+    assert rule_ensemble.train(a, labels) == rule_ensemble.train(b, labels)

@@ -17,7 +17,9 @@ def best_edits(window, text):
 
 def plain(text, item):
     text, item = normalised(text), normalised(item)
-    if len(item) < Q or len(text) < Q:
+    if len(item) < Q:
+        return bool(item) and f" {item} " in f" {text} "
+    if len(text) < Q:
         return False
     n = min(WINDOW, len(item))
     starts = [*range(0, len(item) - n, decontaminate.STEP), len(item) - n]
@@ -30,7 +32,7 @@ def prose(r, n):
 
 def test_equals_alignment_of_every_window(spark):
     r = random.Random(4)
-    items = [(k, prose(r, r.choice([2, 8, 20, 40]))) for k in range(8)] + [(8, "tiny"), (9, None)]
+    items = [(k, prose(r, r.choice([2, 8, 20, 40]))) for k in range(8)] + [(8, "tiny"), (9, None), (10, "A b!"), (11, " - ")]
     docs = []
     for k in range(120):
         item = items[k % 8][1]
@@ -40,7 +42,7 @@ def test_equals_alignment_of_every_window(spark):
             i = r.randrange(len(part))
             part[i : i + r.randrange(0, 2)] = [r.choice("abcxyz ,")] * r.randrange(0, 2)
         docs.append((k, prose(r, r.randrange(20)) + " " + "".join(part).upper() + " " + prose(r, r.randrange(20))))
-    docs += [(500, None), (501, ""), (502, items[0][1]), (503, prose(r, 300))]
+    docs += [(600, "So TINY, a thing"), (601, "tinysized"), (602, "tiny"), (603, "a-b tiny a b"), (604, "a bc"), (500, None), (501, ""), (502, items[0][1]), (503, prose(r, 300))]
     found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {(d, i) for d, t in docs for i, item in items if plain(t, item)}
     assert {(m.doc_id, m.item_id) for m in found} == want
