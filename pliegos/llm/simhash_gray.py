@@ -13,8 +13,9 @@ the forests.
 Up to ``CELL`` fingerprints are one cell. More are dealt over cells by masked patterns too: with at most ``RADIUS``
 differences two fingerprints agree on one of ``RADIUS`` + 1 blocks of bits, so each fingerprint stands in one cell
 for each block, and all its links are in cells it shares. Blocks are as wide as it takes for cells of about ``CELL``
-fingerprints; a cell that is still over twice that is divided again in the bits that are left, until ``LEFT`` bits
-or fewer are: no cell has over 2**LEFT distinct fingerprints, and there are seven levels at most.
+fingerprints; a cell with over 2**LEFT of them is divided again in the bits that are left, until ``LEFT`` bits
+or fewer are: no cell has over 2**LEFT distinct fingerprints, and there are seven levels at most. Groups that are
+known to be one component are not compared again.
 
 Only distinct fingerprints are indexed; copies meet in the counting of fingerprints.
 
@@ -40,6 +41,7 @@ from .staging import free_name, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 CELL, FANOUT, PAIRS_AT_ONCE, LEFT = 2048, 8, 1 << 18, 15
+CROWD = 1 << LEFT
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -139,6 +141,16 @@ def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = above
 
 
+def _components_of_nodes(parent: np.ndarray, levels: int) -> list[np.ndarray]:
+    """For each level the component of each node, -1 where its members are in several."""
+    out = [parent]
+    while len(out) < levels:
+        at = np.arange(0, len(out[-1]), FANOUT)
+        low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+        out.append(np.where(low == high, low, -1))
+    return out
+
+
 def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, int]] | None = None) -> np.ndarray:
     """For codes in Gray order the place of the smallest member of each one's component under ``radius``.
 
@@ -154,6 +166,7 @@ def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, in
         shared &= ~(np.bitwise_and.reduceat(pattern | ~mask, at) ^ either)
         levels.append((both & shared, shared, None))
     parent = np.arange(len(fps))
+    whole = _components_of_nodes(parent, len(levels))
     top = len(levels) - 1
     a, b = np.triu_indices(len(levels[top][0]))
     stack = [(top, a, b)]
@@ -168,9 +181,12 @@ def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, in
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
         if trace is not None:
             trace.append((level, len(a), int(near.sum())))
-        a, b = a[near], b[near]
+        apart = (whole[level][a] != whole[level][b]) | (whole[level][a] < 0)
+        a, b = a[near & apart], b[near & apart]
         if level == 0:
-            parent = _joined(parent, a, b)
+            if len(a):
+                parent = _joined(parent, a, b)
+                whole = _components_of_nodes(parent, len(levels))
             continue
         below = len(levels[level - 1][0])
         for k in range(0, len(a), PAIRS_AT_ONCE // FANOUT**2):
@@ -215,11 +231,11 @@ def links(fps: DataFrame) -> DataFrame:
     widths: tuple[int, ...] = ()
     most, found = fps.count(), None
     while True:
-        width = next_width(widths, most) if most > 2 * CELL else 0
+        width = next_width(widths, most) if most > (CROWD if widths else CELL) else 0
         here = rows
         if width:
             if widths:
-                crowded = staged(rows.groupBy("path", "node").count().where(F.col("count") > 2 * CELL), "crowded")
+                crowded = staged(rows.groupBy("path", "node").count().where(F.col("count") > CROWD), "crowded")
                 here = rows.join(crowded, ["path", "node"], "left_anti")
                 rows = rows.join(crowded, ["path", "node"], "left_semi")
             else:

@@ -16,7 +16,7 @@ only) and written with the call and its result as canonical JSON: keys sorted, n
 
 Defined results: rows with a null conversation or identifier are left out; a call without a result is
 ``unanswered``, a result without a call ``orphan``; both keep their place; calls that wait for each
-other, and those that depend on them, are ``cyclic`` and come last; dependencies that no call has are counted and ignored; null
+other, and those that depend on them, are ``cyclic`` and come last; a null position is before all others; dependencies that no call has are counted and ignored; null
 or broken arguments and unknown tools are invalid, and so are numbers beyond doubles and lone surrogates, which
 canonical JSON cannot hold; of a key repeated in an object the last counts; schemas with a type that does not exist, or of over
 ``SCHEMA_CHARACTERS`` characters in all, are refused before anything runs; very long texts are taken whole; empty tables give no rows;
@@ -258,6 +258,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     (canonical JSON of the call with its arguments and its result).
     """
     checked = _checked(schemas)
+    first = F.coalesce(F.col("position"), F.lit(-1)).cast("long")
+    calls, results = calls.withColumn("position", first), results.withColumn("position", first)
     calls = calls.withColumn("depends_on", F.array_sort(F.array_distinct(F.filter(F.coalesce("depends_on", F.array().cast("array<string>")), lambda x: x.isNotNull()))))
     one_call = staged(_earliest(calls, ["name", "arguments", "depends_on"], "n_calls"), "calls")
     one_result = _earliest(results, ["content"], "n_results").withColumnRenamed("position", "result_position")

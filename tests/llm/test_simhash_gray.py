@@ -69,6 +69,7 @@ def test_whole_table_equals_all_pairs(spark, sf_dir):
 
 def test_crowded_nodes_are_divided_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(simhash_gray, "CELL", 8)
+    monkeypatch.setattr(simhash_gray, "CROWD", 16)
     r = random.Random(3)
     bases = [r.getrandbits(64) for _ in range(6)]
     fps = set()
@@ -119,6 +120,21 @@ def test_the_tree_decides_the_links_of_documents_and_drops_groups(spark, sf_dir)
     assert near and parent.tolist() == root
 
 
+def test_a_crowd_of_near_copies_equals_all_pairs():
+    r = random.Random(2)
+    fps = sorted({sum(1 << b for b in range(64) if r.random() < 0.04) for _ in range(900)})
+    fps.sort(key=_rank)
+    parent = simhash_gray.linked(np.array(fps, "u8"))
+    roots = plain_components(dict(enumerate(fps)))
+    assert parent.tolist() == [roots[k] for k in range(len(fps))]
+
+
+def _rank(code):
+    for shift in (1, 2, 4, 8, 16, 32):
+        code ^= code >> shift
+    return code
+
+
 def test_masks_fix_one_of_four_blocks_on_each_level():
     for widths in ((6,), (16, 12), (16, 12, 9, 6, 5)):
         fixed = simhash_gray.masks(widths)
