@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, rules, text
-from ..operators import merge, relational, search
-from ..sources import gazette
+from ..operators import desk, merge, relational, search
+from ..sources import gazette, legacy
 from ..streaming import ingest
 from . import dataflow, enrichment, flows, scratch
 
@@ -793,3 +793,46 @@ def document_checklist(t: Tables) -> DataFrame:
         F.when(F.col("s_nationkey") % 2 != 0, "Calle"), F.col("s_acctbal"), F.lit(" ").substr(1, 0),
     )
     return t.supplier.select("s_suppkey", F.array_join(found, ",").alias("missing"))
+
+
+# Desk and legacy
+
+
+@query("""SELECT s_suppkey, s_suppkey % 3 <> 0 AS read, (SELECT count(*) FROM supplier WHERE s_suppkey % 4 <> 0) AS changed FROM supplier""")
+def bulk_marks(t: Tables) -> DataFrame:
+    """Marks by ids that two branches name, some of them twice or unknown; and how many rows a mark of all would change."""
+    rows = t.supplier.select("s_suppkey", F.lit(False).alias("read"))
+    ids = t.supplier.where("s_suppkey % 3 <> 0").select("s_suppkey")
+    changed = desk.marks_changed(t.supplier.select((F.col("s_suppkey") % 4 == 0).alias("read")), "read")
+    return desk.marked(rows, ids.union(ids).union(ids.select(-F.col("s_suppkey"))), "s_suppkey", "read").crossJoin(F.broadcast(changed))
+
+
+@query("""SELECT o_orderkey AS case_id, coalesce(d.c_custkey, b.c_custkey) AS cliente_id FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN o_custkey WHEN o_orderstatus = 'P' THEN -1 END AS own FROM orders)
+    LEFT JOIN customer d ON d.c_custkey = own LEFT JOIN customer b ON b.c_custkey * 2 = o_orderkey""")
+def existing_client(t: Tables) -> DataFrame:
+    cases = t.orders.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).when(F.col("o_orderstatus") == "P", -1).alias("cliente_id"))
+    return desk.existing_clients(cases, t.customer.select(F.col("c_custkey").alias("cliente_id"), (F.col("c_custkey") * 2).alias("origen_id")))
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(s_name, 'x'), c_name || ' (' || s_phone || ')', c_name) AS shown FROM orders JOIN customer ON o_custkey = c_custkey
+    LEFT JOIN (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'x' ELSE s_name END AS s_name, s_phone FROM supplier) ON s_suppkey = o_orderkey""".replace("s_phone", "'r' || s_suppkey").replace(", 'r' || s_suppkey FROM", " FROM"))
+def shown_names(t: Tables) -> DataFrame:
+    results = t.orders.select("o_orderkey", F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("link_id"))
+    links = t.supplier.select(F.col("s_suppkey").alias("vinculo_id"), F.when(F.col("s_nationkey") % 2 == 0, "").otherwise(F.col("s_name")).alias("nombre"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("rol"))
+    return desk.shown_as(results, links, t.customer.select(F.col("c_custkey").alias("cliente_id"), F.col("c_name").alias("nombre"))).select("o_orderkey", "shown")
+
+
+@query("""SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' MULTA ' WHEN 1 THEN ' sancion ' ELSE ' ' END) SIMILAR TO '.*(sanción|sanciones|multa|infracción|sancionador).*' AS keyword,
+    'B12345678, Q1234567J, ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || 'A' AS ids, strftime(DATE '2026-01-05' + CAST(doc_id % 20 AS INT), '%Y%m%d') AS day FROM documents""".replace("SIMILAR TO '.*(", "LIKE '%multa%' OR regexp_matches(lower(coalesce(text, '')), '(").replace(").*' AS keyword", ")') AS keyword"))
+def legacy_scan(t: Tables) -> DataFrame:
+    body = F.concat(F.coalesce("text", F.lit("")), F.expr("CASE doc_id % 3 WHEN 0 THEN ' MULTA ' WHEN 1 THEN ' sancion ' ELSE ' ' END"))
+    own = F.concat(F.lit("con q1234567j, B12345678; "), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("a y B12345678"))
+    day = F.date_format(F.date_add(F.lit("2026-01-05").cast("date"), (F.col("doc_id") % 20).cast("int")), "d/M/yyyy")
+    return t.documents.select("doc_id", legacy.has_keyword(body).alias("keyword"), legacy.identifier_list(own).alias("ids"), legacy.compact_day(day).alias("day"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'P' AND o_custkey % 2 = 0) THEN 'B' || o_orderkey END AS cif_nif, CASE WHEN NOT (o_orderstatus = 'F' OR (o_orderstatus = 'P' AND o_custkey % 2 = 0)) THEN 'B' || o_orderkey END AS dni_nie FROM orders""")
+def identifier_split(t: Tables) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "cif").when(F.col("o_orderstatus") == "O", "NIE")
+    person = F.when(F.col("o_custkey") % 2 == 0, "juridica").otherwise("fisica")
+    return t.orders.select("o_orderkey", desk.split_identifier(F.concat(F.lit("B"), F.col("o_orderkey").cast("string")), kind, person).alias("x")).select("o_orderkey", "x.*")

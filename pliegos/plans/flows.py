@@ -26,6 +26,16 @@ class Run:
     skipped: DataFrame  # days that were completed before
 
 
+# What a day of the gazette is reckoned to hold.
+DOCUMENTS_A_DAY, CANDIDATES_A_DAY = 350, 40
+
+
+def backfill_plan(days: DataFrame, most_days: int) -> DataFrame:
+    """What a backfill between two days (first, last) would take: days, documents, candidates, runs."""
+    n = F.datediff("last", "first") + 1
+    return days.select("first", "last", n.alias("days"), (n * DOCUMENTS_A_DAY).alias("documents"), (n * CANDIDATES_A_DAY).alias("candidates"), F.greatest(F.lit(1), F.ceil(n / most_days).cast("int")).alias("runs"))
+
+
 def _pending(days: DataFrame, runs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     done = runs.where((F.col("tipo") == kind) & (F.col("status") == "completed")).select("fecha").distinct()
     return days.join(done, "fecha", "left_anti"), days.join(done, "fecha", "left_semi")
