@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import merge
 from ..sources import gazette, notices
 from ..streaming import ingest
 from . import dataflow
+from .scratch import staged
 
 RUN = "fecha date, tipo string, status string, total_docs long, scanned long, candidates long, created long, errors long"
 
@@ -51,17 +53,16 @@ def run_days(payloads: DataFrame, texts: DataFrame, documents: DataFrame, runs:
     pending, skipped = (days, days.limit(0)) if force else _pending(days, runs, mode)
     todo = payloads.join(pending, "fecha", "left_semi")
     broken = todo.where(F.try_parse_json("payload").isNull()).groupBy("fecha").agg(F.count(F.lit(1)).alias("errors"))
-    items = gazette.flatten_summary(todo).where(F.coalesce("identificador", F.lit("")) != "")
-    found = dataflow.candidates(items, texts, mode).dropDuplicates(["identificador"])
-    columns = [c for c in documents.columns]
+    items = staged(gazette.flatten_summary(todo).where(F.coalesce("identificador", F.lit("")) != "").drop("raw_item"), "run-items")
+    found = staged(dataflow.candidates(items, texts, mode).dropDuplicates(["identificador"]), "run-candidates")
     new = found.join(documents.select("identificador"), "identificador", "left_anti")
-    merged = merge.insert_new(documents, new.select(*columns), ["identificador"])
+    merged = merge.insert_new(documents, new.select(*documents.columns), ["identificador"])
 
     def per_day(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(F.col("fecha_publicacion").alias("fecha")).agg(F.count(F.lit(1)).alias(name))
 
     stats = pending.join(broken, "fecha", "left")
-    for rows, name in ((items, "total_docs"), (dataflow.classified(items), "scanned"), (found, "candidates"), (new, "created")):
+    for rows, name in ((items, "total_docs"), (items.where(~rules.skipped_section(F.col("seccion_codigo"))), "scanned"), (found, "candidates"), (new, "created")):
         stats = stats.join(per_day(rows, name), "fecha", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total_docs", "scanned", "candidates", "created", "errors")]
     return Run(merged, runs.unionByName(stats.select("fecha", F.lit(mode).alias("tipo"), F.lit("completed").alias("status"), *counts)), skipped)
