@@ -173,9 +173,9 @@ def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, in
     step = np.arange(FANOUT)
     while stack:
         level, a, b = stack.pop()
-        if len(a) > PAIRS_AT_ONCE:
-            half = len(a) // 2
-            stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
+        most = PAIRS_AT_ONCE // FANOUT**2 if level else PAIRS_AT_ONCE  # so that what a step adds below is PAIRS_AT_ONCE at most
+        if len(a) > most:
+            stack += [(level, a[most:], b[most:]), (level, a[:most], b[:most])]
             continue
         pattern, mask, _ = levels[level]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
@@ -189,13 +189,11 @@ def linked(fps: np.ndarray, radius: int = RADIUS, trace: list[tuple[int, int, in
                 whole = _components_of_nodes(parent, len(levels))
             continue
         below = len(levels[level - 1][0])
-        for k in range(0, len(a), PAIRS_AT_ONCE // FANOUT**2):
-            few = slice(k, k + PAIRS_AT_ONCE // FANOUT**2)
-            x = np.repeat((a[few, None] * FANOUT + step), FANOUT, axis=1).ravel()
-            y = np.tile((b[few, None] * FANOUT + step), (1, FANOUT)).ravel()
-            keep = (x < y) | ((x == y) & (level > 1))
-            keep &= (x < below) & (y < below)
-            stack.append((level - 1, x[keep], y[keep]))
+        x = np.repeat((a[:, None] * FANOUT + step), FANOUT, axis=1).ravel()
+        y = np.tile((b[:, None] * FANOUT + step), (1, FANOUT)).ravel()
+        keep = (x < y) | ((x == y) & (level > 1))
+        keep &= (x < below) & (y < below)
+        stack.append((level - 1, x[keep], y[keep]))
     return parent
 
 
