@@ -91,7 +91,7 @@ ORACLE_SQL: dict[str, str] = {
                      CASE WHEN len(string_split(norm, ' ')) >= 5 THEN string_split(norm, ' ') ELSE string_split(norm, '') END AS w
               FROM d WHERE len(string_split(norm, ' ')) >= 5 OR length(norm) >= 10),
         g AS (SELECT place, words, w, unnest(range(1, len(w) + 1)) AS gone FROM w),
-        v AS (SELECT place, gone, words, array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), CASE WHEN words THEN ' ' ELSE '' END) AS variant FROM g),
+        v AS (SELECT place, gone, words, CASE WHEN words THEN array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), ' ') ELSE array_to_string(list_concat(w[1:gone - 1], w[gone + 1:len(w)]), '') END AS variant FROM g),
         e AS (SELECT words, variant, gone, min(place) AS early FROM v GROUP BY words, variant, gone),
         late AS (
             SELECT v.place FROM v JOIN e ON v.words = e.words AND v.variant = e.variant AND v.gone = e.gone WHERE e.early < v.place
