@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, line_dedup, packing, pseudo_likelihood, rule_ensemble, simhash_gray, token_orc, tool_calls, toxicity_mil
+from . import (
+    content_sort, decontaminate, hard_negatives, line_dedup, packing, pseudo_likelihood, rule_ensemble, simhash_gray, token_counts, token_orc, tool_calls, toxicity_mil, whitening,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,10 +25,10 @@ def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 #: Ends each document in the token outputs.
@@ -67,6 +69,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.prepared(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", shifted)
+    return hard_negatives.mined(rows, F.col("id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_mil": op1_toxicity_mil,
     "op2_tool_calls": op2_tool_calls,
@@ -78,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +134,23 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM d
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        p AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+            FROM v AS a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score FROM p WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT q.anchor_id, q.positive_id,
+               CAST(row_number() OVER (PARTITION BY q.anchor_id, q.positive_id ORDER BY p.score DESC, p.vec_id) AS INTEGER) AS rank,
+               p.vec_id AS negative_id, q.score AS positive_score, p.score AS negative_score
+        FROM positives q JOIN p ON p.anchor_id = q.anchor_id AND NOT p.same AND 50 * q.score <= 100 * p.score AND 100 * p.score <= 95 * q.score
+        QUALIFY row_number() OVER (PARTITION BY q.anchor_id, q.positive_id ORDER BY p.score DESC, p.vec_id) <= 3
+    """,
 }
