@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normal_name, positions
+from . import places
+from .text import normal_name
 
 # Fixed values of the public check algorithms.
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 CIF_LETTERS = "JABCDEFGHI"
 CIF_DIGIT_ONLY, CIF_LETTER_ONLY = ["A", "B", "E", "H"], ["P", "Q", "R", "S", "N", "W"]
 # Province prefixes of plates before 2000.
-PROVINCES = (
-    "A AB AL AV B BA BI BU C CA CC CE CO CR CS CU GC GE GI GR GU H HU IB J L LE LO LU M MA ML "
-    "MU NA O OR OU P PM PO S SA SE SG SO SS T TE TF TO V VA VI Z ZA"
-).split()
+PROVINCES = [
+    "A", "AB", "AL", "AV", "B", "BA", "BI", "BU", "C", "CA", "CC", "CE", "CO", "CR", "CS", "CU", "GC", "GE", "GI", "GR", "GU", "H", "HU", "IB", "J", "L", "LE", "LO", "LU", "M",
+    "MA", "ML", "MU", "NA", "O", "OR", "OU", "P", "PM", "PO", "S", "SA", "SE", "SG", "SO", "SS", "T", "TE", "TF", "TO", "V", "VA", "VI", "Z", "ZA",
+]
 # Bodies whose names are no parties.
 AUTHORITIES = [
     "BOLETIN OFICIAL", "MINISTERIO", "DIRECCION GENERAL", "SUBDELEGACION", "DELEGACION", "AYUNTAMIENTO", "JEFATURA", "CONSEJERIA",
     "TESORERIA", "AGENCIA ESTATAL", "SEGURIDAD SOCIAL", "JUZGADO", "TRIBUNAL", "RESOLUCION", "EXPEDIENTE", "ANEXO", "ARTICULO",
     "DISPOSICION", "REAL DECRETO", "ANUNCIO", "EDICTO", "NOTIFICACION",
 ]
-# Patterns of identifiers, plates, contexts and names.
-DNI = r"(?iU)(?<![A-Z0-9*])(\d{8})[ .\-]?([A-HJ-NP-TV-Z])(?![A-Z0-9])"
-NIE = r"(?iU)(?<![A-Z0-9*])([XYZ])[ .\-]?(\d{7})[ .\-]?([A-HJ-NP-TV-Z])(?![A-Z0-9])"
-CIF = r"(?iU)(?<![A-Z0-9*])([ABCDEFGHJNPQRSUVW])[ .\-]?(\d{7})[ .\-]?([0-9A-J])(?![A-Z0-9])"
-MASKED = r"(?U)(?<![\w*])([0-9*]{8}[0-9A-Z*])(?![\w*])"
+# Patterns of identifiers and plates, of Python's ``re``.
+DNI = r"(?i)(?<![A-Z0-9*])(\d{8})[ .\-]?([A-HJ-NP-TV-Z])(?![A-Z0-9])"
+NIE = r"(?i)(?<![A-Z0-9*])([XYZ])[ .\-]?(\d{7})[ .\-]?([A-HJ-NP-TV-Z])(?![A-Z0-9])"
+CIF = r"(?i)(?<![A-Z0-9*])([ABCDEFGHJNPQRSUVW])[ .\-]?(\d{7})[ .\-]?([0-9A-J])(?![A-Z0-9])"
+MASKED = r"(?<![\w*])([0-9*]{8}[0-9A-Z*])(?![\w*])"
 PLATE = r"(?i)(?<![A-Z0-9\-])(\d{4})[ \-]?([BCDFGHJKLMNPRSTVWXYZ]{3})(?![A-Z0-9\-])"
 OLD_PLATE = r"(?<![A-Z0-9\-])([A-Z]{1,2})[ \-]?(\d{4})[ \-]?([A-Z]{1,2})(?![A-Z0-9\-])"
+# Patterns of contexts and names, of Spark's functions.
 VEHICLE = r"(?iU)matr[ií]cula|veh[ií]culo|turismo|remolque|ciclomotor|placa"
 FORBIDDEN = (
     r"(?iU)\b(expediente|expte|referencia|csv|iban|numero|n[uú]m|factura|cuenta|art[ií]culo|disposici[oó]n|resoluci[oó]n|orden)\b"
@@ -36,7 +38,7 @@ FORBIDDEN = (
 )
 COMPANY = (
     r"([A-ZÑÁÉÍÓÚÜ0-9][A-ZÑÁÉÍÓÚÜ0-9&.,'’\- ]{2,88}?)[ ,]+"
-    r"(S\.?\s?L\.?U?|S\.?\s?A\.?U?|S\.?\s?COOP|S\.?\s?L\.?\s?L|C\.?\s?B|S\.?\s?C|A\.?I\.?E|U\.?T\.?E)\b\.?"
+    r"(S\.?\s?L\.?U?|S\.?\s?A\.?U?|S\.?\s?COOP|S\.?\s?L\.?\s?L|C\.?\s?B|S\.?\s?C|A\.?I\.?E|U\.?T\.?E)(?U:\b)\.?"
 )
 PERSON = (
     r"([A-ZÑÁÉÍÓÚÜ][A-ZÑÁÉÍÓÚÜ'’\- ]{5,70})[ ,;:]*(?:con\s+)?"
@@ -83,46 +85,50 @@ def fits_mask(identifier: Column, mask: Column) -> Column:
     return F.rlike(F.upper(identifier), pattern)
 
 
-def _in_context(body: Column, pattern: str, groups: int, keep) -> Column:
-    """The matches of a pattern that ``keep(match, window before, window around)`` accepts, in normal form."""
-    found = positions(body, pattern)
+_spots = places.places({"dni": DNI, "nie": NIE, "cif": CIF, "masked": MASKED, "plate": PLATE, "old_plate": OLD_PLATE}, before=24, around=80)
 
-    def judged(m: Column) -> Column:
-        before = F.substring(body, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
-        around = F.substring(body, F.greatest(m["start"] - 79, F.lit(1)), F.least(m["start"], F.lit(80)) + F.length(m["match"]) + 80)
-        return keep(m["match"], before, around)
 
-    return F.transform(F.filter(found, judged), lambda m: normal_identifier(m["match"]))
+def _kept(found: Column, keep) -> Column:
+    """The matches that do not follow a reference word and that ``keep`` accepts, given a match and its normal form; in normal form."""
+    normal = F.transform(found, lambda m: F.struct(m.alias("m"), normal_identifier(m["match"]).alias("id")))
+    return F.transform(F.filter(normal, lambda x: ~x["m"]["before"].rlike(FORBIDDEN) & keep(x["m"], x["id"])), lambda x: x["id"])
 
 
-def identifiers(body: Column) -> Column:
-    """Valid DNI, NIE and CIF of a text that do not follow a reference word, each once."""
+def _part(text: Column, first: int, length: int) -> Column:
+    return F.substring(text, first, length)
+
 
-    def allowed(before: Column) -> Column:
-        return ~before.rlike(FORBIDDEN)
+def _identifiers(spots: Column) -> Column:
+    dni = _kept(spots["dni"], lambda _, x: valid_dni(_part(x, 1, 8), _part(x, 9, 1)))
+    nie = _kept(spots["nie"], lambda _, x: valid_nie(_part(x, 1, 1), _part(x, 2, 7), _part(x, 9, 1)))
+    cif = _kept(spots["cif"], lambda _, x: valid_cif(_part(x, 1, 1), _part(x, 2, 7), _part(x, 9, 1)))
+    return F.array_distinct(F.concat(dni, nie, cif))
 
-    dni = _in_context(body, DNI, 2, lambda m, b, _: allowed(b) & valid_dni(F.substring(normal_identifier(m), 1, 8), F.substring(normal_identifier(m), 9, 1)))
-    nie = _in_context(
-        body, NIE, 3,
-        lambda m, b, _: allowed(b) & valid_nie(F.substring(normal_identifier(m), 1, 1), F.substring(normal_identifier(m), 2, 7), F.substring(normal_identifier(m), 9, 1)),
-    )
-    cif = _in_context(
-        body, CIF, 3,
-        lambda m, b, _: allowed(b) & valid_cif(F.substring(normal_identifier(m), 1, 1), F.substring(normal_identifier(m), 2, 7), F.substring(normal_identifier(m), 9, 1)),
-    )
-    return F.slice(F.array_distinct(F.concat(dni, nie, cif)), 1, MOST_IDS)
+
+def _masks(spots: Column, found: Column) -> Column:
+    shown = F.transform(spots["masked"], lambda m: F.upper(m["match"]))
+    return F.slice(F.array_except(F.filter(shown, lambda m: F.contains(m, F.lit("*"))), found), 1, MOST_IDS)
+
+
+def _plates(spots: Column) -> Column:
+    new = _kept(spots["plate"], lambda m, x: F.lit(True))
+    old = _kept(spots["old_plate"], lambda m, x: m["around"].rlike(VEHICLE) & F.regexp_extract(x, "^[A-Z]{1,2}", 0).isin(PROVINCES))
+    return F.slice(F.array_distinct(F.concat(new, old)), 1, MOST_PLATES)
+
+
+def identifiers(body: Column) -> Column:
+    """Valid DNI, NIE and CIF of a text that do not follow a reference word, each once."""
+    return F.slice(_identifiers(_spots(body)), 1, MOST_IDS)
 
 
 def masked_identifiers(body: Column) -> Column:
-    found = F.regexp_extract_all(body, F.lit(MASKED), 1)
-    return F.array_distinct(F.filter(found, lambda m: F.instr(m, "*") > 0))
+    """Identifiers of which some signs are stars, each once; a run that is also an identifier is none."""
+    return _masks(_spots(body), _identifiers(_spots(body)))
 
 
 def plates(body: Column) -> Column:
     """Plates of today's form, and provincial ones with a known prefix and a vehicle word near by."""
-    new = _in_context(body, PLATE, 2, lambda m, b, _: ~b.rlike(FORBIDDEN))
-    old = _in_context(body, OLD_PLATE, 3, lambda m, b, near: ~b.rlike(FORBIDDEN) & near.rlike(VEHICLE) & F.regexp_extract(m, "^[A-Z]{1,2}", 0).isin(PROVINCES))
-    return F.slice(F.array_distinct(F.concat(new, old)), 1, MOST_PLATES)
+    return _plates(_spots(body))
 
 
 def names(body: Column) -> Column:
@@ -142,11 +148,11 @@ def names(body: Column) -> Column:
 def keys(text: Column, title: Column) -> Column:
     """Struct of identificadores, matriculas, nombres, digitos_parciales and nombres_norm of a document."""
     body = F.substring(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))), 1, MOST_TEXT)
-    found = names(body)
+    found, spots = names(body), _spots(body)
     return F.struct(
-        identifiers(body).alias("identificadores"),
-        plates(body).alias("matriculas"),
+        F.slice(_identifiers(spots), 1, MOST_IDS).alias("identificadores"),
+        _plates(spots).alias("matriculas"),
         found.alias("nombres"),
-        masked_identifiers(body).alias("digitos_parciales"),
+        _masks(spots, _identifiers(spots)).alias("digitos_parciales"),
         F.array_join(F.transform(found, normal_name), NAME_SEPARATOR).alias("nombres_norm"),
     )

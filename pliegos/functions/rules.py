@@ -83,6 +83,12 @@ def family(code: Column, name: Column) -> Column:
     )
 
 
+def family_of_section(code: Column) -> Column:
+    """The family of a document that its title does not give, by the section's code alone."""
+    code = F.coalesce(code, F.lit(""))
+    return F.when(code.startswith("5"), "anuncio_expediente").when(code == "3", "sancion_firme").when(code == "4", "administracion_justicia").otherwise("otro")
+
+
 def _literals(patterns: list[str]) -> str:
     """One plain pattern that matches wherever any of the patterns could: their longest runs of letters."""
     runs = set()

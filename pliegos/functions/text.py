@@ -134,12 +134,12 @@ def emails(text: Column) -> Column:
 
 
 # Fixed value: the pattern of Spanish phone numbers.
-PHONE = r"(?<!\d)(?:\+34|0034)?(?:[\s.-]?[6789])(?:[\s.-]?\d){8}(?!\d)"
+PHONE = r"(?U)(?<!\d)(?:\+34|0034)?(?:[\s.-]?[6789])(?:[\s.-]?\d){8}(?!\d)"
 
 
 def phones(text: Column) -> Column:
     """Spanish numbers, those with a country prefix first, then those with separators, then by occurrence."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), 0), lambda p: F.regexp_replace(p, r"^\s+", "")))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), 0), lambda p: F.regexp_replace(p, r"(?U)^\s+", "")))
     ranked = F.transform(
         found,
         lambda p, i: F.struct(
@@ -242,19 +242,3 @@ def legal_links(base: Column, html: Column, most: int = 3) -> Column:
     hint = "|".join(LEGAL_HINTS)
     chosen = F.filter(anchors(html), lambda a: F.lower(a["href"]).rlike(hint) | F.lower(a["label"]).rlike(hint))
     return F.slice(F.transform(chosen, lambda a: absolute_url(base, a["href"])), 1, most)
-
-
-def positions(text: Column, pattern: str) -> Column:
-    """Array of (start, match) of the matches of a pattern, counted from 0."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    lengths = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-    folded = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["match"].alias("match")))).alias("out"),
-        ),
-    )
-    return folded["out"]

@@ -84,6 +84,14 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
+def fill_group(old: DataFrame, new: DataFrame, keys: list[str], first: str, columns: list[str]) -> DataFrame:
+    """``old`` with all ``columns`` from the new row of its key where ``first`` is blank and the new one is not; no keys are added."""
+    given = new.where(F.coalesce(F.trim(first), F.lit("")) != "").dropDuplicates(keys).select(*keys, F.struct(*columns).alias("_new"))
+    met = old.join(given, keys, "left")
+    fills = F.col("_new").isNotNull() & (F.coalesce(F.trim(first), F.lit("")) == "")
+    return met.select(*[F.when(fills, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
 def deleted(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, reference: str) -> tuple[DataFrame, DataFrame]:
     """Parents without the keys in ``gone``, and children with references to them set to null."""
     ids = gone.select(F.col(key)).distinct()

@@ -41,18 +41,23 @@ def occurrences(docs: DataFrame, names: DataFrame, doc_id: str) -> DataFrame:
 def name_hits(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", name_id: str = "name_id") -> DataFrame:
     """Pairs of a name and a document that holds all its tokens: name_id, doc_id, phrase (side by side), rank.
 
-    ``docs``: doc_id, tokens; ``names``: name_id, query (tokens). A name meets the documents of its rarest token, an equi-join; the places of
-    its other tokens in them come from the same table of occurrences.
+    ``docs``: doc_id, tokens; ``names``: name_id, query (tokens).
     """
-    posted = occurrences(docs, names, doc_id)
+    return hits_among(occurrences(docs, names, doc_id), names, doc_id, name_id)
+
+
+def hits_among(posted: DataFrame, names: DataFrame, doc_id: str, name_id: str) -> DataFrame:
+    """``name_hits`` from occurrences (token, document, places). A name meets the documents of its rarest token, an equi-join; the places of
+    its other tokens in them come from the same table."""
     asked = names.where(F.size("query") > 0).select(name_id, F.posexplode("query").alias("i", "token"))
     frequency = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(frequency, "token", "left").groupBy(name_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r"), F.count(F.lit(1)).alias("length"))
     pairs = rarest.select(name_id, "length", F.col("r.token").alias("token")).join(posted.select("token", doc_id), "token").select(name_id, doc_id, "length")
     met = pairs.join(asked, name_id).join(posted, ["token", doc_id])
     held = met.groupBy(name_id, doc_id, "length").agg(F.array_sort(F.collect_list(F.struct("i", "token", "at"))).alias("held")).where(F.size("held") == F.col("length"))
-    starts = F.col("held")[0]["at"]
-    phrase = F.exists(starts, lambda s: F.forall(F.col("held"), lambda t: F.array_contains(t["at"], s + t["i"])))
+    # where the name would start, by each of its tokens
+    starts = F.transform("held", lambda t: F.transform(t["at"], lambda at: at - t["i"]))
+    phrase = F.size(F.aggregate(F.slice(starts, 2, F.size(starts)), starts[0], F.array_intersect)) > 0
     return held.select(name_id, doc_id, phrase.alias("phrase"), rank(F.col("held")).alias("rank"))
 
 
@@ -78,7 +83,11 @@ def rank(held: Column) -> Column:
 
 def name_matches(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", name_id: str = "name_id", most: int = 200) -> DataFrame:
     """Phrase hits of each name, or its bag hits if it has no phrase hit: name_id, doc_id, phrase, rank, score."""
-    hits = staged(name_hits(docs, names, doc_id, name_id), "name-hits")
+    return matches_among(name_hits(docs, names, doc_id, name_id), doc_id, name_id, most)
+
+
+def matches_among(hits: DataFrame, doc_id: str, name_id: str, most: int) -> DataFrame:
+    hits = staged(hits, "name-hits")
     with_phrase = hits.groupBy(name_id).agg(F.max("phrase").alias("any_phrase"))
     kept = hits.join(with_phrase, name_id).where(F.col("phrase") == F.col("any_phrase")).drop("any_phrase")
     kept = first_of(kept, [name_id], [F.col("rank").desc(), F.col(doc_id)], most)

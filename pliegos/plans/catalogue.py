@@ -6,8 +6,6 @@ clients, events for runs and notices, documents for gazette documents, pages for
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +14,9 @@ from ..operators import desk, merge, relational, search
 from ..sources import gazette, legacy
 from ..streaming import ingest
 from . import dataflow, enrichment, flows, scratch
+from .registry import ORACLE_SQL, QUERIES, Tables, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function of Tables under its name, with its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES", "Tables", "query"]
 
 def _day(c: str) -> Column:
     return F.to_date(F.col(c))
@@ -675,17 +651,27 @@ _RUN_JUDGED = f"""SELECT doc_id, fecha, skipped, NOT ((t LIKE 'ley %' OR t LIKE
         NOT ({_any_in([p for p, _ in rules.BODY_DISQUALIFIERS], "s")}) AND {_sum_sql(rules.BODY)} >= 3 AS by_body, trim(s) = '' AS blank FROM i"""
 
 
+#: Items of one payload of the fixture, at most.
+MOST_ITEMS = 200
+
+
+def _payloads(rows: DataFrame) -> DataFrame:
+    """From fecha, parte (at most MOST_ITEMS items each), codigo, ord and item to fecha, parte, payload: a summary for each part of a day."""
+    sections = rows.groupBy("fecha", "parte", "codigo").agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("items")).select(
+        "fecha", "parte", F.struct("codigo", F.lit("V. Anuncios").alias("nombre"), F.struct(F.struct(F.transform("items", lambda x: x["item"]).alias("item")).alias("epigrafe")).alias("departamento")).alias("seccion")
+    )
+    payload = F.to_json(F.struct(F.struct(F.struct(F.struct(F.lit("7").alias("numero"), F.array_sort(F.collect_list("seccion")).alias("seccion")).alias("diario")).alias("sumario")).alias("data")))
+    return sections.groupBy("fecha", "parte").agg(payload.alias("payload"))
+
+
 def _run_fixture(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Documents as the items of ten days' summaries, a fifth of them in a section that is skipped."""
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 10).cast("int"))
     item = F.struct(F.concat(F.lit("BOE-A-"), F.col("doc_id").cast("string")).alias("identificador"), F.expr(_TITLE).alias("titulo"))
-    rows = t.documents.select(day.alias("fecha"), F.when(F.col("doc_id") % 5 == 0, "1").otherwise("5A").alias("codigo"), item.alias("item"))
-    sections = rows.groupBy("fecha", "codigo").agg(F.collect_list("item").alias("items")).select(
-        "fecha", F.struct("codigo", F.lit("V. Anuncios").alias("nombre"), F.struct(F.struct(F.col("items").alias("item")).alias("epigrafe")).alias("departamento")).alias("seccion")
-    )
-    payload = F.to_json(F.struct(F.struct(F.struct(F.struct(F.lit("7").alias("numero"), F.collect_list("seccion").alias("seccion")).alias("diario")).alias("sumario")).alias("data")))
+    part = F.floor(F.col("doc_id") / (10 * MOST_ITEMS)).alias("parte")
+    rows = t.documents.select(day.alias("fecha"), part, F.when(F.col("doc_id") % 5 == 0, "1").otherwise("5A").alias("codigo"), F.col("doc_id").alias("ord"), item.alias("item"))
     texts = t.documents.select(F.concat(F.lit("BOE-A-"), F.col("doc_id").cast("string")).alias("identificador"), F.expr(_SPANISH).alias("texto"))
-    return sections.groupBy("fecha").agg(payload.alias("payload")), texts
+    return _payloads(rows), texts
 
 
 def _empty(spark: SparkSession, like: DataFrame) -> DataFrame:
@@ -714,8 +700,8 @@ def backfill_run(t: Tables) -> DataFrame:
     shape = dataflow.indexed(dataflow.candidates(gazette.flatten_summary(payloads.limit(0)), texts.limit(0), "backfill"))
     index, runs, done = _empty(t.spark, shape), t.spark.createDataFrame([], flows.RUN), False
     while not done:
-        merged, run, done = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 4)
-        index, runs = scratch.staged(merged, "index"), scratch.staged(run.runs, "runs")
+        run = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 4)
+        index, runs, done = scratch.staged(run.index, "index"), scratch.staged(run.runs, "runs"), run.finished
     return index.select(F.substring_index("doc_id", "-", -1).cast("long").alias("doc_id"))
 
 
@@ -753,32 +739,63 @@ def contact_fields(t: Tables) -> DataFrame:
     return enrichment.found_fields(asked.select("case_id", "nombre", "identificador", "query"), ours.union(directory).union(profile), home.union(legal).union(listed)).select("case_id", "field", "value", "confidence")
 
 
-_HISTORY_SQL = """SELECT c_custkey AS subject_id, 'D' || s_suppkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'cif' ELSE 'nombre' END AS via,
-    CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE round(0.6 + least(0.1, 2 * 0.1 / sqrt(1.005 + 0.05 * exp(1 / 1.5 - 2))), 6) END::DOUBLE AS score FROM customer JOIN supplier ON s_suppkey = c_custkey"""
+_HISTORY_SQL = """WITH c AS (SELECT c_custkey AS c, c_custkey % 10 = 0 AS twice, c_custkey % 2 = 0 AS company, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey),
+    h AS (
+        SELECT c, o, CAST(NULL AS BIGINT) AS link, CASE WHEN twice THEN 1 ELSE 0 END AS ord, CASE WHEN twice THEN 'dni' ELSE 'cif' END AS via, 1.0 AS score FROM c WHERE o % 4 = 0 AND company
+        UNION ALL SELECT c, o, NULL, 2, 'matricula', 0.9 FROM c WHERE o % 8 = 3
+        UNION ALL SELECT c, o, NULL, CASE WHEN o % 3 = 0 THEN 3 ELSE 4 END, CASE WHEN o % 3 = 0 THEN 'nombre_dni_parcial' ELSE 'nombre' END, CASE WHEN o % 3 = 0 THEN 0.85 ELSE 0.7 END FROM c WHERE o % 4 = 2
+        UNION ALL SELECT c, o, 2 * c, 1, 'dni', 1.0 FROM c WHERE o % 4 = 1 AND c % 3 = 0
+        UNION ALL SELECT c, o, 2 * c + 1, 0, 'cif', 1.0 FROM c WHERE o % 4 = 1 AND c % 3 = 0
+        UNION ALL SELECT c, o, 2 * c, CASE WHEN o % 3 = 1 THEN 3 ELSE 4 END, CASE WHEN o % 3 = 1 THEN 'nombre_dni_parcial' ELSE 'nombre' END, CASE WHEN o % 3 = 1 THEN 0.85 ELSE 0.7 END FROM c WHERE o % 4 = 3 AND c % 3 = 0
+        UNION ALL SELECT c, o, 2 * c + 1, 4, 'nombre', 0.7 FROM c WHERE o % 4 = 3 AND c % 3 = 0)
+    SELECT c AS subject_id, 'D' || o AS doc_id, link AS link_id, via, CAST(score AS DOUBLE) AS score FROM h
+    QUALIFY row_number() OVER (PARTITION BY c, o ORDER BY score DESC, link IS NOT NULL, link, ord) = 1"""
 
 
 def _history_fixture(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as documents that name their client, or a person linked with it, by identifier, plate, or name with a mask of one of both."""
     none = F.array().cast("array<string>")
-    number = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
-    index = t.supplier.select(
-        F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("doc_id"), F.array(F.concat(F.lit("B"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"))).alias("identificadores"),
-        none.alias("matriculas"), none.alias("digitos_parciales"), F.array(F.lit("edicto"), F.lit("customer"), number).alias("tokens"),
+
+    def padded(prefix: str, k: Column, digits: int, suffix: str = "") -> Column:
+        return F.concat(F.lit(prefix), F.lpad(k.cast("string"), digits, "0"), F.lit(suffix))
+
+    def own_dni(k: Column) -> Column:
+        return padded("1", k, 7, "A")
+
+    def linked_dni(k: Column) -> Column:
+        return padded("2", k, 7, "L")
+
+    def own_cif(k: Column) -> Column:
+        return F.when(k % 2 == 0, F.when(k % 10 == 0, own_dni(k)).otherwise(padded("B", k, 8)))
+
+    def mask(x: Column) -> Column:
+        return F.concat(F.substring(x, 1, 1), F.lit("*"), F.substring(x, 3, 6), F.lit("*"))
+
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    found = F.when(o % 4 == 0, F.array_compact(F.array(own_cif(k)))).when(o % 4 == 1, F.array(linked_dni(k))).otherwise(none)
+    name = F.when(o % 4 == 2, F.array(F.lit("edicto"), F.lit("customer"), padded("", k, 9))).when(o % 4 == 3, F.array(F.lit("person"), padded("", k, 9), F.lit("edicto"))).otherwise(F.array(F.lit("edicto")))
+    index = t.orders.select(
+        F.concat(F.lit("D"), o.cast("string")).alias("doc_id"), found.alias("identificadores"), F.when(o % 8 == 3, F.array(padded("P", k, 8))).otherwise(none).alias("matriculas"),
+        F.when(o % 3 == 0, F.array(mask(own_dni(k)))).when(o % 3 == 1, F.array(mask(linked_dni(k)))).otherwise(none).alias("digitos_parciales"), name.alias("tokens"),
     )
     key = F.col("c_custkey")
     clients = t.customer.select(
-        key.alias("cliente_id"), F.when(key % 2 == 0, F.concat(F.lit("b-"), F.lpad(key.cast("string"), 8, "0"))).alias("cif_nif"), F.lit(None).cast("string").alias("dni_nie"),
-        none.alias("matriculas"), F.concat(F.lit("Customer "), F.lpad(key.cast("string"), 9, "0")).alias("nombre"), F.lit("activo").alias("estado"),
+        key.alias("cliente_id"), own_cif(key).alias("cif_nif"), own_dni(key).alias("dni_nie"), F.array(F.lower(padded("P ", key, 8))).alias("matriculas"),
+        padded("Customer ", key, 9).alias("nombre"), F.lit("activo").alias("estado"),
     )
-    return index, clients, t.spark.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, nombre string")
+    person = t.customer.where(key % 3 == 0).select((key * 2).alias("vinculo_id"), key.alias("cliente_id"), linked_dni(key).alias("identificador"), padded("Person ", key, 9).alias("nombre"), F.lit("fisica").alias("tipo_persona"), F.lit("administrador").alias("rol"))
+    company = person.withColumn("vinculo_id", F.col("vinculo_id") + 1).withColumn("tipo_persona", F.lit("juridica"))
+    return index, clients, person.unionByName(company)
 
 
 @query(_HISTORY_SQL)
 def history_matches(t: Tables) -> DataFrame:
+    """The best match of each client and document: a client's own keys before those of linked persons, and of equal ones the first."""
     index, clients, links = _history_fixture(t)
-    return dataflow.history_search(index, dataflow.subject_keys(clients, links)).select("subject_id", "doc_id", "via", F.round("score", 6).alias("score"))
+    return dataflow.history_search(index, dataflow.subject_keys(clients, links)).select("subject_id", "doc_id", "link_id", "via", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT subject_id, doc_id, via, score FROM ({_HISTORY_SQL}) WHERE score >= 0.9")
+@query(f"SELECT subject_id, doc_id, link_id, via, score FROM ({_HISTORY_SQL}) WHERE score >= 0.9")
 def radar_alerts(t: Tables) -> DataFrame:
     index, clients, links = _history_fixture(t)
     none = t.spark.createDataFrame([], "subject_id long, doc_id string, link_id long, via string, score double, vias array<string>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,18 @@ def classified(items: DataFrame) -> DataFrame:
     return kept.withColumn("title_class", rules.title_class(F.col("titulo"), F.col("seccion_codigo"), F.col("seccion_nombre")))
 
 
-def candidates(items: DataFrame, texts: DataFrame, mode: str = "daily") -> DataFrame:
-    """Candidate documents of a batch.
+def text_columns(body: Column, title: Column) -> dict[str, Column]:
+    """What is kept of a document's text: a missing text has no hash."""
+    return {
+        "texto_plano": F.substring(body, 1, STORED_TEXT), "hash_texto": F.sha2(F.nullif(body, F.lit("")), 256), "extracto": F.substring(body, 1, STORED_EXTRACT),
+        "claves": identifiers.keys(body, title),
+    }
+
 
-    ``daily``: the title or the body speaks for a case. ``backfill``: the title does, and the body, if there is one.
+def candidates(items: DataFrame, texts: DataFrame, mode: str = "daily", carry: Sequence[str] = ()) -> DataFrame:
+    """Candidate documents of a batch, with the columns of ``carry`` as they are.
+
+    ``daily``: the title or the body speaks for a case. ``backfill``: the title does, and the body, if there is one; confidence is the title's.
     """
     if mode not in ("daily", "backfill"):
         raise ValueError("mode is 'daily' or 'backfill'")
@@ -30,20 +40,24 @@ def candidates(items: DataFrame, texts: DataFrame, mode: str = "daily") -> DataF
     no_text = F.coalesce(F.trim("texto"), F.lit("")) == ""
     kept = rows.where((by_title | by_body) if mode == "daily" else (by_title & (no_text | by_body)))
     confidence, found = rules.combined(F.col("title_class.confidence"), F.col("title_class.rules"), F.col("body.labels"), by_body)
-    family = F.when(F.col("title_class.family") != "", F.col("title_class.family")).otherwise(rules.family(F.col("seccion_codigo"), F.col("seccion_nombre")))
+    if mode == "backfill":
+        confidence = F.col("title_class.confidence")
+    family = F.coalesce(F.nullif("title_class.family", F.lit("")), rules.family_of_section(F.col("seccion_codigo")))
     return kept.select(
-        "identificador", "fecha_publicacion", "titulo",
-        F.substring("texto", 1, STORED_TEXT).alias("texto_plano"), F.sha2(F.coalesce("texto", F.lit("")), 256).alias("hash_texto"),
-        F.substring("texto", 1, STORED_EXTRACT).alias("extracto"),
-        confidence.cast("decimal(3,2)").alias("confidence"), found.alias("match_rules"), family.alias("familia"),
-        identifiers.keys(F.col("texto"), F.col("titulo")).alias("claves"),
+        "identificador", "fecha_publicacion", "titulo", *[c.alias(n) for n, c in text_columns(F.col("texto"), F.col("titulo")).items()],
+        confidence.cast("decimal(3,2)").alias("confidence"), found.alias("match_rules"), family.alias("familia"), F.lit("boe").alias("fuente"),
+        "seccion_codigo", "seccion_nombre", "departamento_nombre", "url_html", "url_xml", "url_pdf", *carry,
     )
 
 
-def indexed(documents: DataFrame) -> DataFrame:
-    """Rows of the index from candidate documents."""
+#: Columns of an index row that say where a document came from; blank ones are filled by a later run.
+PROVENANCE = ["seccion_codigo", "departamento_nombre", "url_html", "url_xml", "url_pdf"]
+
+
+def indexed(documents: DataFrame, origin: str = "backfill") -> DataFrame:
+    """Rows of the index from candidate documents; ``origin`` says which run wrote them first."""
     return documents.select(
-        F.col("identificador").alias("doc_id"), "fecha_publicacion", "titulo", "extracto", "hash_texto", "familia", "confidence",
+        F.col("identificador").alias("doc_id"), "fuente", F.lit(origin).alias("origen_indexado"), *PROVENANCE, "fecha_publicacion", "titulo", "extracto", "hash_texto", "familia", "confidence",
         "claves.identificadores", "claves.matriculas", "claves.nombres", "claves.digitos_parciales", "claves.nombres_norm",
         search.tokens(F.col("claves.nombres_norm")).alias("tokens"),
     )
@@ -51,23 +65,29 @@ def indexed(documents: DataFrame) -> DataFrame:
 
 def into_index(index: DataFrame, new: DataFrame) -> DataFrame:
     arrays = ["identificadores", "matriculas", "nombres", "digitos_parciales"]
-    merged = merge.union_merge(index, new, ["doc_id"], arrays, "nombres_norm", identifiers.NAME_SEPARATOR, ["extracto", "hash_texto"])
+    merged = merge.union_merge(index, new, ["doc_id"], arrays, "nombres_norm", identifiers.NAME_SEPARATOR, ["extracto", "hash_texto", *PROVENANCE])
     return merged.withColumn("tokens", search.tokens(F.col("nombres_norm")))
 
 
 def subject_keys(clients: DataFrame, links: DataFrame) -> DataFrame:
-    """subject_id, link_id, kind, key of clients (cif, dni, plate, name) and of persons and companies linked with them."""
+    """subject_id, link_id, kind, key of clients (cif, dni, plate, name) and of persons and companies linked with them.
+
+    A linked party is a person unless ``tipo_persona`` is juridica.
+    """
 
     def rows(df: DataFrame, link: Column, kind: str, key: Column) -> DataFrame:
         return df.select(F.col("cliente_id").alias("subject_id"), link.cast("long").alias("link_id"), F.lit(kind).alias("kind"), key.alias("key"))
 
     none = F.lit(None)
+    cif, dni, own = (identifiers.normal_identifier(F.col(c)) for c in ("cif_nif", "dni_nie", "identificador"))
+    company = F.coalesce(F.col("tipo_persona") == "juridica", F.lit(False))
     parts = [
-        rows(clients, none, "cif", identifiers.normal_identifier(F.col("cif_nif"))),
-        rows(clients, none, "dni", identifiers.normal_identifier(F.col("dni_nie"))),
+        rows(clients.where(cif != dni), none, "cif", cif),  # one identifier in both places is a person's
+        rows(clients, none, "dni", dni),
         rows(clients.withColumn("m", F.explode(F.coalesce("matriculas", F.array().cast("array<string>")))), none, "matricula", identifiers.normal_identifier(F.col("m"))),
         rows(clients, none, "nombre", text.normal_name(F.col("nombre"))),
-        rows(links, F.col("vinculo_id"), "cif", identifiers.normal_identifier(F.col("identificador"))),
+        rows(links.where(company), F.col("vinculo_id"), "cif", own),
+        rows(links.where(~company), F.col("vinculo_id"), "dni", own),
         rows(links, F.col("vinculo_id"), "nombre", text.normal_name(F.col("nombre"))),
     ]
     out = parts[0]
@@ -80,7 +100,7 @@ def history_search(index: DataFrame, keys: DataFrame, most: int = 200) -> DataFr
     """Matches of subjects in the index: the best one of each document; subject_id, doc_id, link_id, via, score.
 
     All subjects at once: exact keys and plates by equi-joins, names by their rarest token. A name hit whose
-    document shows a mask that fits the subject's DNI counts as more.
+    document shows a mask that fits the DNI of the party with that name counts as more.
     """
     own = keys.withColumn("owner", F.struct("subject_id", "link_id"))
 
@@ -93,10 +113,11 @@ def history_search(index: DataFrame, keys: DataFrame, most: int = 200) -> DataFr
     found = search.name_matches(index.select("doc_id", "tokens"), queries.select("name_id", "query").distinct(), most=most)
     named = found.join(queries.select("name_id", "subject_id", "link_id"), "name_id").select("subject_id", "link_id", "doc_id", F.lit("nombre").alias("via"), "score")
     masks = named.select("subject_id", "link_id", "doc_id", "score").join(index.select("doc_id", "digitos_parciales"), "doc_id")
-    dni = own.where("kind = 'dni'").select("subject_id", F.col("key").alias("dni"))
+    dni = own.where("kind = 'dni'").select(F.col("subject_id").alias("dni_subject"), F.col("link_id").alias("dni_link"), F.col("key").alias("dni"))
+    same = (F.col("subject_id") == F.col("dni_subject")) & F.col("link_id").eqNullSafe(F.col("dni_link"))
     fits = F.exists("digitos_parciales", lambda m: identifiers.fits_mask(F.col("dni"), m))
     masked = (
-        masks.join(dni, "subject_id").where(fits)
+        masks.join(dni, same).where(fits)
         .select("subject_id", "link_id", "doc_id", F.lit("nombre_dni_parcial").alias("via"), F.greatest("score", F.lit(search.MASK_SCORE)).alias("score"))
     )
     branches = exact("cif", "identificadores", 1.0).unionByName(exact("dni", "identificadores", 1.0)).unionByName(exact("matricula", "matriculas", PLATE_SCORE))
@@ -115,7 +136,7 @@ def radar(index: DataFrame, clients: DataFrame, links: DataFrame, results: DataF
     found = history_search(index, subject_keys(active, links.join(active.select("cliente_id"), "cliente_id", "left_semi")))
     new = found.select("subject_id", "doc_id", "link_id", "via", "score", F.array("via").alias("vias"))
     merged = merge.max_merge(results, new, ["subject_id", "doc_id"], "score", ["link_id", "via"], "vias")
-    alerts = merged.where(F.col("created") & (F.col("score") >= ALERT_SCORE)).select("subject_id", "doc_id", "via", "score")
+    alerts = merged.where(F.col("created") & (F.col("score") >= ALERT_SCORE)).select("subject_id", "doc_id", "link_id", "via", "score")
     return merged.drop("created"), alerts
 
 

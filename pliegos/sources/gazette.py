@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 ITEM_COLUMNS = [
     "fecha_publicacion", "diario_numero", "seccion_codigo", "seccion_nombre", "departamento_codigo", "departamento_nombre",
-    "epigrafe_nombre", "identificador", "titulo", "url_html", "url_xml", "url_pdf", "raw_item",
+    "epigrafe_nombre", "identificador", "titulo", "url_html", "url_xml", "url_pdf", "raw_item", "orden",
 ]
 
 
@@ -24,14 +25,17 @@ def _each(path: str, source: str) -> str:
     return f"case when {child} is null or is_variant_null({child}) then array() when schema_of_variant({child}) like 'ARRAY%' then cast({child} as array<variant>) else array({child}) end"
 
 
-def flatten_summary(payloads: DataFrame, json_col: str = "payload", day_col: str = "fecha") -> DataFrame:
-    """A row for each item below a heading of a daily summary in JSON; each level may be an object or a list."""
+def flatten_summary(payloads: DataFrame, json_col: str = "payload", day_col: str = "fecha", carry: Sequence[str] = ()) -> DataFrame:
+    """A row for each item below a heading of a daily summary in JSON; each level may be an object or a list.
+
+    ``orden`` is the item's place at each level: items stand in the summary in its order. ``carry`` names further columns of ``payloads`` to keep.
+    """
     levels = [("data.sumario.diario", "v", "diario"), ("seccion", "diario", "seccion"), ("departamento", "seccion", "departamento"), ("epigrafe", "departamento", "epigrafe"), ("item", "epigrafe", "item")]
-    rows = payloads.select(F.col(day_col).alias("fecha_publicacion"), F.try_parse_json(json_col).alias("v")).where("v is not null")
-    carried = ["fecha_publicacion", "v"]
+    rows = payloads.select(F.col(day_col).alias("fecha_publicacion"), *carry, F.try_parse_json(json_col).alias("v")).where("v is not null")
+    carried = ["fecha_publicacion", *carry, "v"]
     for path, source, name in levels:
-        rows = rows.select(*carried, F.explode(F.expr(_each(path, source))).alias(name))
-        carried.append(name)
+        rows = rows.select(*carried, F.posexplode(F.expr(_each(path, source))).alias(f"{name}_at", name))
+        carried += [f"{name}_at", name]
 
     def text(source: str, path: str) -> Column:
         return F.expr(f"try_variant_get({source}, '$.{path}', 'string')")
@@ -51,6 +55,8 @@ def flatten_summary(payloads: DataFrame, json_col: str = "payload", day_col: str
         F.coalesce(text("item", "url_xml"), F.lit("")).alias("url_xml"),
         F.coalesce(pdf, F.lit("")).alias("url_pdf"),
         F.to_json("item").alias("raw_item"),
+        F.array(*[f"{name}_at" for _, _, name in levels]).alias("orden"),
+        *carry,
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import relational
+
 # Keywords, accents as written, and the forms of identifiers.
 KEYWORDS = ["sanción", "sanciones", "multa", "expediente sancionador", "procedimiento sancionador", "resolución sancionadora", "infracción", "sancionador"]
 NIF, CIF = r"(?iU)\b(\d{8}[A-Z])\b", r"(?iU)\b([ABCDEFGHJNPQRSUVW]\d{7}[0-9A-J])\b"
@@ -46,8 +48,8 @@ def summary_items(xml: pd.Series) -> pd.Series:
 
 
 def scanned(payloads: DataFrame) -> DataFrame:
-    """A row for each titled item of the summaries (fecha, xml)."""
-    return payloads.select("fecha", F.explode(summary_items("xml")).alias("i")).select("fecha", "i.*")
+    """A row for each titled item of the summaries (fecha, xml), numbered in its summary."""
+    return payloads.select("fecha", F.posexplode(summary_items("xml")).alias("orden", "i")).select("fecha", "orden", "i.*")
 
 
 def has_keyword(text: Column) -> Column:
@@ -84,8 +86,13 @@ def of_day(spark: SparkSession, records: DataFrame, day: str, most: int = 500) -
     return spark.sql("SELECT * FROM {records} WHERE yyyymmdd = :day ORDER BY id DESC LIMIT :most", args={"day": day, "most": most}, records=records)
 
 
-def kept(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Items whose title or text holds a keyword, with their identifiers, each record key once; ``texts``: url_html, texto."""
-    rows = items.join(texts, "url_html", "left").where(has_keyword(F.concat_ws(" ", "titulo", "texto")))
-    keyed = rows.withColumn("record_key", record_key(F.date_format("fecha", "yyyyMMdd"), F.col("url_html"), F.col("titulo"))).withColumn("ids", identifier_list(F.col("texto")))
-    return keyed.dropDuplicates(["record_key"])
+def kept(items: DataFrame, texts: DataFrame, most: int = 300) -> DataFrame:
+    """Of the first ``most`` items of each day those with an address, a keyword in their text and an identifier there, each record key once.
+
+    ``texts``: url, texto. An item's address is its page, else its XML.
+    """
+    url = F.coalesce(F.nullif("url_html", F.lit("")), F.nullif("url_xml", F.lit("")))
+    first = relational.first_of(items.withColumn("url", url), ["fecha"], [F.col("orden")], most).where("url is not null")
+    rows = first.join(texts.select("url", "texto"), "url").where(has_keyword(F.col("texto"))).withColumn("ids", identifier_list(F.col("texto"))).where("ids <> ''")
+    keyed = rows.withColumn("record_key", record_key(F.date_format("fecha", "yyyyMMdd"), F.col("url"), F.col("titulo")))
+    return relational.first_of(keyed, ["record_key"], [F.col("orden")])

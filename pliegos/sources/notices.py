@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import places, rules
 from ..operators import relational
+from ..plans.scratch import staged
 
 # The patterns of the index's headings and entries.
 HEADING = r"(?s)<h5[^>]*>(.*?)</h5>"
@@ -15,15 +16,7 @@ SECTION, SECTION_NAME = "TEU", "Tablón Edictal Único - Suplemento de Notificac
 PUBLIC_DAYS = rules.VISIBLE_DAYS
 
 
-def _spots(html: str, pattern: str, groups: int):
-    """An array of the matches of a pattern: start (the signs before it) and its groups."""
-    before = F.split(html, pattern, -1)
-    found = [F.regexp_extract_all(html, F.lit(pattern), g) for g in range(groups + 1)]
-    lengths = F.transform(found[0], lambda m, i: F.length(m) + F.length(before[i]))
-    return F.transform(
-        F.arrays_zip(*[f.alias(f"g{g}") for g, f in enumerate(found)]),
-        lambda m, i: F.struct((F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + F.length(before[i])).alias("start"), *[m[f"g{g}"].alias(f"g{g}") for g in range(1, groups + 1)]),
-    )
+_spots = places.places({"entry": ENTRY, "heading": HEADING})
 
 
 def _plain(html):
@@ -33,20 +26,22 @@ def _plain(html):
 def index_entries(pages: DataFrame, html_col: str = "html", day_col: str = "fecha") -> DataFrame:
     """The entries of index pages, each under the last heading before it; an identifier that occurs again on a day is left out.
 
-    A null or blank page has no entries; an entry before any heading has the department ''.
+    A day of several pages numbers them in ``parte``. A null or blank page has no entries; an entry before any heading of its page has the
+    department ''. ``place`` is where an entry stands in its page.
     """
-    rows = pages.select(F.col(day_col).alias("fecha_publicacion"), F.coalesce(html_col, F.lit("")).alias("html"))
-    entries = rows.select("fecha_publicacion", F.explode(_spots("html", ENTRY, 3)).alias("e")).select(
-        "fecha_publicacion", F.col("e.start").alias("place"), _plain(F.col("e.g1")).alias("titulo"), F.col("e.g2").alias("url_pdf"), F.col("e.g3").alias("identificador")
-    )
-    entries = relational.first_of(entries, ["fecha_publicacion", "identificador"], [F.col("place")])
-    headings = rows.select("fecha_publicacion", F.explode(_spots("html", HEADING, 1)).alias("h")).select(
-        "fecha_publicacion", F.col("h.start").alias("place"), _plain(F.col("h.g1")).alias("departamento_nombre")
+    part = F.col("parte").cast("int") if "parte" in pages.columns else F.lit(0)
+    rows = staged(pages.select(F.col(day_col).alias("fecha_publicacion"), part.alias("parte"), _spots(html_col).alias("s")), "board-places")
+    day = ["fecha_publicacion", "parte"]
+    entries = rows.select(*day, F.explode("s.entry").alias("e")).select(
+        *day, F.col("e.start").alias("place"), _plain(F.col("e.groups")[0]).alias("titulo"), F.col("e.groups")[1].alias("url_pdf"), F.col("e.groups")[2].alias("identificador")
     )
-    found = relational.as_of(entries, headings, ["fecha_publicacion"], "place", ["departamento_nombre"])
+    entries = relational.first_of(entries, ["fecha_publicacion", "identificador"], [F.col("parte"), F.col("place")])
+    headings = rows.select(*day, F.explode("s.heading").alias("h")).select(*day, F.col("h.start").alias("place"), _plain(F.col("h.groups")[0]).alias("departamento_nombre"))
+    found = relational.as_of(entries, headings, day, "place", ["departamento_nombre"])
     return found.select(
         "identificador", "titulo", F.coalesce("departamento_nombre", F.lit("")).alias("departamento_nombre"), "fecha_publicacion",
-        F.lit(SECTION).alias("seccion_codigo"), F.lit(SECTION_NAME).alias("seccion_nombre"), "url_pdf", F.lit("teu").alias("source"),
+        F.lit(SECTION).alias("seccion_codigo"), F.lit(SECTION_NAME).alias("seccion_nombre"), "url_pdf", F.lit("teu").alias("source"), "parte", "place",
+        *[F.lit(None).cast("string").alias(c) for c in ("url_html", "url_xml")],
     )
 
 

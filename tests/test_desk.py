@@ -40,11 +40,20 @@ def test_prototype_scan(spark):
     day = datetime.date(2026, 2, 4)
     items = legacy.scanned(spark.createDataFrame([(day, xml), (day, xml), (day, "<broken"), (day, None)], "fecha date, xml string"))
     assert sorted({(r.titulo, r.url_html, r.organismo, r.seccion) for r in items.collect()}) == [("Multa a X", "u1", "O", "S > Uno"), ("Otra", "", "D", "S")]
-    texts = spark.createDataFrame([("u1", "a 12345678Z y b12345678")], "url_html string, texto string")
-    kept = legacy.kept(items, texts).collect()
-    assert [(r.record_key, r.ids) for r in kept] == [("20260204|u1|Multa a X", "B12345678, 12345678Z")]
+    texts = spark.createDataFrame([("u1", "por infracción: 12345678Z y b12345678"), ("", "multa 12345678Z")], "url string, texto string")
+    assert [(r.record_key, r.ids) for r in legacy.kept(items.where("titulo <> 'x'").dropDuplicates(["titulo"]), texts).collect()] == [("20260204|u1|Multa a X", "B12345678, 12345678Z")]
     records = spark.createDataFrame([(1, "20260204"), (2, "20260204"), (3, "20260205")], "id long, yyyymmdd string")
     assert [r.id for r in legacy.of_day(spark, records, "20260204").collect()] == [2, 1]
     t, s = legacy.best_text(F.lit(None).cast("string"), F.lit("x"), F.lit("p"))
     assert tuple(spark.range(1).select(t, s).first()) == ("x", "xml")
     assert spark.range(1).select(legacy.compact_day(F.lit(" 4/2/2026")), legacy.compact_day(F.lit("4-2-2026"))).first()[:] == ("20260204", None)
+
+
+def test_the_prototype_keeps_what_has_a_keyword_in_its_text_an_address_and_an_identifier(spark):
+    day = datetime.date(2026, 2, 4)
+    items = [(day, 0, "Multa", "h0", ""), (day, 1, "Multa", "", "x1"), (day, 2, "Multa", "", ""), (day, 3, "Otra", "h3", "x3"), (day, 4, "Otra", "h4", ""), (day, 5, "Otra", "h5", ""), (day, 6, "Otra", "h3", "x3")]
+    texts = [("h0", "sin palabra 12345678Z"), ("x1", "una multa a 12345678Z"), ("h3", "sanción a B12345678"), ("h4", "multa sin nadie"), ("h5", "multa a 12345678Z")]
+    df = spark.createDataFrame(items, "fecha date, orden int, titulo string, url_html string, url_xml string")
+    found = legacy.kept(df, spark.createDataFrame(texts, "url string, texto string"), most=5).collect()
+    assert sorted((r.record_key, r.orden) for r in found) == [("20260204|h3|Otra", 3), ("20260204|x1|Multa", 1)]
+    assert legacy.kept(df, spark.createDataFrame(texts, "url string, texto string")).count() == 3

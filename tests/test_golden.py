@@ -35,7 +35,7 @@ def test_radar_alerts_once_for_a_strong_match(spark):
         [(1, "b-1234567-4", None, ["1234-bcd"], "Otra", "activo"), (2, None, "12345678Z", None, "Ana López", "activo"), (3, "B12345674", None, None, "X", "inactivo")],
         "cliente_id long, cif_nif string, dni_nie string, matriculas array<string>, nombre string, estado string",
     )
-    links = spark.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, nombre string")
+    links = spark.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string")
     none = spark.createDataFrame([], "subject_id long, doc_id string, link_id long, via string, score double, vias array<string>")
     results, alerts = dataflow.radar(index, clients, links, none)
     found = {(r.subject_id, r.via, r.score) for r in results.collect()}
@@ -43,3 +43,14 @@ def test_radar_alerts_once_for_a_strong_match(spark):
     assert [(r.subject_id, r.doc_id) for r in alerts.collect()] == [(1, "d1")]
     again, more = dataflow.radar(index, clients, links, spark.createDataFrame(results.collect(), results.schema))
     assert more.count() == 0 and again.count() == 2
+
+
+def test_linked_persons_are_found_by_their_own_dni_name_and_mask(spark):
+    index = spark.createDataFrame(
+        [("d1", ["22222222J"], [], [], []), ("d2", [], [], ["***2222**"], ["rosa", "gil"]), ("d3", [], [], ["***1111**"], ["rosa", "gil"]), ("d4", ["B22222228"], [], [], ["x"])],
+        "doc_id string, identificadores array<string>, matriculas array<string>, digitos_parciales array<string>, tokens array<string>",
+    )
+    clients = spark.createDataFrame([(1, None, "11111111H", None, "Molino", "activo")], "cliente_id long, cif_nif string, dni_nie string, matriculas array<string>, nombre string, estado string")
+    links = spark.createDataFrame([(7, 1, "22222222-J", None, "Rosa Gil"), (8, 1, "B22222228", "juridica", "")], "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string")
+    found = dataflow.history_search(index, dataflow.subject_keys(clients, links)).collect()
+    assert {(r.doc_id, r.link_id, r.via, round(r.score, 2)) for r in found} == {("d1", 7, "dni", 1.0), ("d2", 7, "nombre_dni_parcial", 0.85), ("d3", 7, "nombre", 0.7), ("d4", 8, "cif", 1.0)}
