@@ -6,10 +6,14 @@ survive so many differences have four bits, which select nothing. So MinHash key
 keys of ``ROWS`` minima each. Two texts at 0.8 share a key with probability 1 - (1 - 0.8**4)**28, over 0.999999. All
 candidates are verified by the exact similarity of their sets of 64-bit shingle hashes.
 
-A bucket holds the texts of one key. First each text is compared with the smallest of its bucket,
-so that a bucket of copies takes as many comparisons as it has texts. Buckets of ``WHOLE`` texts or fewer that this leaves in more
-than one component are then compared whole. In larger ones each text is compared with ``WINDOW`` others, in
-``ROUNDS`` rounds: each in an order of its own, after the components of the round before.
+A candidate must agree in size and in all but ``MOST_DIFFER`` of 112 bits, one of each minimum: at 0.8 a pair fails that
+with a probability under 1e-8.
+
+A bucket holds the texts of one key. First each text meets the leader of a bucket, its smallest text: one leader, then those of its other
+buckets as far as they lie in other components. So a bucket of copies takes as many comparisons as it has texts. Buckets of ``WHOLE`` texts or fewer
+that this leaves in several components are then compared whole. Larger ones are dealt anew by the keys of each later band, and so again: texts at 0.8 that
+share one band share two more with a probability over 0.9999. Buckets that are still large and apart after ``DEPTH`` bands are compared whole, in steps that
+double, each text with those of other components only.
 
 Words: runs without white space, A-Z as a-z. Defined results: texts of fewer words make one shingle;
 null and wordless texts are all alike; ids may be null or repeated, as texts are told apart by their hash; very long texts are read
@@ -23,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import numbered_in
 from . import simhash_gray
 from .components import components
 from .staging import free_name, staged
 
 SHINGLE, LEAST = 5, (4, 5)  # the similarity as a fraction
-BANDS, ROWS, WHOLE, WINDOW, ROUNDS = 28, 4, 17, 6, 3
+BANDS, ROWS, WHOLE, DEPTH, MOST_DIFFER = 28, 4, 64, 3, 32
 SHINGLES_AT_ONCE, KEPT = 1 << 14, 400_000
 
 _draw = np.random.default_rng(42)
@@ -71,12 +76,24 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_mixed(sum(hashes[k : k + n] * PLACES[k] for k in range(SHINGLE))))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingle hashes, one for each band."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash of a set of shingle hashes: 32-bit minima."""
     least = np.full(BANDS * ROWS, 2**32 - 1, "u4")
     high = (hashes >> np.uint64(32)).astype("u4")
     for k in range(0, len(high), SHINGLES_AT_ONCE):
         least = np.minimum(least, (TIMES * high[k : k + SHINGLES_AT_ONCE] + PLUS).min(axis=1))
+    return least
+
+
+def signature(least: np.ndarray) -> np.ndarray:
+    """A bit of each minimum, as two 64-bit integers."""
+    bits = np.zeros(128, "u1")
+    bits[: len(least)] = _mixed(least.astype("u8") + np.uint64(1)) & np.uint64(1)
+    return np.packbits(bits).view("u8")
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minima."""
     return _mixed((least.astype("u8").reshape(BANDS, ROWS) * OF_BAND).sum(axis=1, dtype="u8") + SALT)
 
 
@@ -86,17 +103,19 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
 
 
-def _keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """node and key, one row for each band."""
+def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
+    """node, n (shingles), signature (s0, s1: a bit of each minimum) and keys (one for each band), a row for each distinct text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(shingles(t.as_py())) for t in b.column(1)]
-            flat = np.concatenate(keys).view("i8") if keys else np.zeros(0, "i8")
-            nodes = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype("i8"), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(flat)], ["node", "key"])
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            least = [minima(s) for s in sets]
+            marks = np.array([signature(m) for m in least], "u8").reshape(-1, 2).view("i8")
+            keys = pa.array([band_keys(m).view("i8") for m in least], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), keys], ["node", "n", "s0", "s1", "keys"])
 
-    return _texts(docs, text_col).mapInArrow(sketch, "node long, key long")
+    rows = _texts(docs, text_col).mapInArrow(sketch, "node long, n int, s0 long, s1 long, keys array<long>")
+    return staged(rows.dropDuplicates(["node"]), "sketches")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -133,39 +152,96 @@ def _fingerprint_links(docs: DataFrame, text_col: str) -> DataFrame:
     return equal.union(near)
 
 
-def _others(labels: DataFrame, low: int, high: int, window: int, salt: int) -> DataFrame:
-    """Pairs (a, b) within buckets of ``low`` to ``high`` texts in several components: each text and the ``window`` before it in an order of the bucket's own."""
-    sizes = labels.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("many"))
-    apart = staged(sizes.where(f"first <> last and many between {low} and {high}").select("key"), "bands-apart")
-    before = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(salt), "key", "node"), "node").rowsBetween(-window, -1)
-    open_ = labels.join(apart, "key", "left_semi").withColumn("before", F.collect_list(F.struct("node", "root")).over(before))
-    pairs = open_.select("node", "root", F.explode("before").alias("other")).where("root <> other.root")
-    return pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+def _alike(x: str, y: str) -> Column:
+    """Whether two rows' sizes and signatures allow a similarity of LEAST."""
+    part, whole = LEAST
+    smaller, larger = F.least(f"{x}.n", f"{y}.n").cast("long"), F.greatest(f"{x}.n", f"{y}.n").cast("long")
+    differ = sum(F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in (0, 1))
+    return (smaller * whole >= larger * part) & (differ <= MOST_DIFFER)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Rows (key, band, node, n, s0, s1) of keys with two texts or more, and the smallest node of each key as leader."""
+    leaders = staged(rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"), "band-leaders")
+    return staged(rows.join(leaders, "key"), "band-members")
+
+
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader and another of its texts, once however many buckets they share."""
+    lead = members.where("node = leader").select("key", "node", "n", "s0", "s1").alias("x")
+    other = members.where("node <> leader").alias("y")
+    return other.join(lead, (F.col("x.key") == F.col("y.key")) & _alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _apart(labels: DataFrame) -> DataFrame:
+    """The keys whose texts lie in several components, and how many texts they have."""
+    sizes = labels.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("first"), F.max("root").alias("last"))
+    return sizes.where("first <> last").select("key", "many")
+
+
+def _all_of(labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of a bounded size; those with the leader have been compared."""
+    x, y = labels.where("node <> leader").alias("x"), labels.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _across(labels: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """``found`` after all pairs of different components in buckets of any size.
+
+    The texts of a bucket stand in the order of their components; each meets those before its own component, in steps that double, until
+    its bucket is one component or nothing is left.
+    """
+    placed = numbered_in(labels, ["key"], ["root", "node"], "place")
+    starts = placed.groupBy("key", "root").agg(F.min("place").alias("start"))
+    placed = staged(placed.join(starts, ["key", "root"]).drop("root"), "places")
+    low, most = 0, placed.agg(F.coalesce(F.max("start"), F.lit(1))).first()[0] - 1
+    while low < most:
+        now = _labelled(placed, found)
+        now = staged(now.join(_apart(now).select("key"), "key", "left_semi"), "places-apart")
+        asked = now.where(F.col("start") - 1 > low).withColumn("other", F.explode(F.sequence(F.lit(low + 1), F.least(F.col("start") - 1, F.lit(2 * low + 1)))))
+        x, y = now.alias("x"), asked.alias("y")
+        met = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.other")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y"))
+        found = _joined(found, staged(_verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets), "near-pairs"))
+        low = 2 * low + 1
+    return found
 
 
 def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """node and root of the texts that are near another; the root has no row."""
-    keys = staged(_keys(docs, text_col), "band-keys")
-    leaders = staged(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"), "band-leaders")
-    members = staged(keys.join(leaders, "key").distinct(), "band-members")
+    sketches = _sketches(docs, text_col)
+    members = _buckets(sketches.select("node", "n", "s0", "s1", F.posexplode("keys").alias("band", "key")))
     by_fingerprint = staged(_fingerprint_links(docs, text_col), "fingerprint-pairs")
     nodes = members.select("node").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()
     sets = _sets(docs, nodes, text_col)
-    by_leader = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = staged(_verified(by_leader.union(by_fingerprint.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), sets), "near-pairs")
-    found = components(first)
-    for k in range(ROUNDS):
-        labels = staged(members.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "band-labels")
-        pairs = _others(labels, WHOLE + 1, 2**62, WINDOW, k)
-        if k == 0:
-            pairs = pairs.union(_others(labels, 3, WHOLE, WHOLE - 1, k)).distinct()
-        more = staged(_verified(pairs, sets), "near-pairs")
-        if more.isEmpty():
-            if k:
-                break
-            continue
-        found = _joined(found, more)
-    return found
+    first = by_fingerprint.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = docs.sparkSession.createDataFrame([], "node long, root long")
+    for depth in range(DEPTH):
+        # one leader for each text, then the others of those still apart
+        asked = staged(_with_leaders(members), "leader-pairs")
+        one = asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found = _joined(found, staged(_verified(one.union(first).distinct() if depth == 0 else one, sets), "near-pairs"))
+        ends = [found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        rest = asked.join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+        found = _joined(found, staged(_verified(rest, sets), "near-pairs"))
+        for whole in (True, False):
+            labels = _labelled(members, found)
+            apart = _apart(labels).where(F.col("many") <= WHOLE if whole else F.col("many") > WHOLE).select("key")
+            labels = staged(labels.join(apart, "key", "left_semi"), "bands-apart")
+            if whole:
+                found = _joined(found, staged(_verified(_all_of(labels), sets), "near-pairs"))
+        if labels.isEmpty():
+            return found
+        if depth + 1 < DEPTH:
+            # a large bucket is dealt anew by each later band
+            keyed = labels.join(sketches.select("node", F.posexplode("keys").alias("next", "also")), "node").where("next > band")
+            members = _buckets(keyed.select("node", "n", "s0", "s1", F.col("next").alias("band"), F.xxhash64("key", "also").alias("key")))
+    return _across(labels, found, sets)
 
 
 def _joined(found: DataFrame, more: DataFrame) -> DataFrame:

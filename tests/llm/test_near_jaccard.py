@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from pliegos.llm import near_jaccard, simhash_gray
 
 
@@ -63,3 +64,42 @@ def test_null_and_repeated_ids_keep_different_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = near_jaccard.deduplicated(docs).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (7, c), (7, a + " z")])
+
+
+@pytest.mark.parametrize(("whole", "depth"), [(2, 1), (3, 3)])
+def test_buckets_of_any_size_are_compared_to_the_end(spark, monkeypatch, whole, depth):
+    """Families of many texts that share most of their words but are apart, and chains of near copies in them."""
+    monkeypatch.setattr(near_jaccard, "WHOLE", whole)
+    monkeypatch.setattr(near_jaccard, "DEPTH", depth)
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(3):
+        base = [r.choice(words) for _ in range(100)]
+        for _ in range(12):
+            member = base[:70] + [r.choice(words) for _ in range(30)]
+            for _ in range(3):
+                texts.append(" ".join(member))
+                member = list(member)
+                member[r.randrange(100)] = r.choice(words)
+    rows = list(enumerate(texts))
+    kept = near_jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == plain_kept(rows)
+
+
+def test_signatures_of_near_texts_agree():
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    near, far = [], []
+    for _ in range(300):
+        a = [r.choice(words) for _ in range(200)]
+        b, c = list(a), a[:80] + [r.choice(words) for _ in range(120)]
+        for _ in range(4):
+            b[r.randrange(200)] = "x"
+        sets = [near_jaccard.shingles(" ".join(t).encode()) for t in (a, b, c)]
+        marks = [near_jaccard.signature(near_jaccard.minima(s)) for s in sets]
+        differ = [sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(marks[0], m)) for m in marks[1:]]
+        if len(set(sets[0]) & set(sets[1])) * 5 >= 4 * len(set(sets[0]) | set(sets[1])):
+            near.append(differ[0])
+        far.append(differ[1])
+    assert len(near) > 100 and max(near) <= near_jaccard.MOST_DIFFER and sum(d <= near_jaccard.MOST_DIFFER for d in far) < 60
