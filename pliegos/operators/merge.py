@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import staged
+
+#: So many keys of differing rows are broadcast at most.
+FEW_CHANGES = 200_000
+
 
 def _both(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in old.columns if c not in keys]
@@ -99,3 +104,55 @@ def deleted(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str,
     marked = children.join(ids.select(F.col(key).alias("_gone")), F.col(reference) == F.col("_gone"), "left")
     loose = marked.withColumn(reference, F.when(F.col("_gone").isNull(), F.col(reference))).drop("_gone")
     return kept, loose
+
+
+def _marked(df: DataFrame, keys: list[str], rest: list[str], name: str) -> DataFrame:
+    """Keys and two hashes of the other columns; which of them are null counts as well."""
+    told = [F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) if t.startswith("map") else F.col(c) for c, t in df.dtypes if c in rest]
+    nulls = [F.col(c).isNull() for c in rest]
+    return df.select(*keys, F.struct(F.xxhash64(*told, *nulls).alias("a"), F.xxhash64(F.lit(1), *told, *nulls).alias("b")).alias(name))
+
+
+def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """What differs between two snapshots with non-null, unique ``keys``: the keys, kind (inserted, changed, removed), columns, before, after.
+
+    Snapshots are compared by hashes of their rows; only rows that differ are then read whole. ``columns`` names the columns that differ, for ``changed``.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    met = _marked(old, keys, rest, "h_old").join(_marked(new, keys, rest, "h_new"), keys, "full_outer").where(~F.col("h_old").eqNullSafe(F.col("h_new")))
+    kind = F.when(F.col("h_old").isNull(), "inserted").when(F.col("h_new").isNull(), "removed").otherwise("changed")
+    differ = staged(met.select(*keys, kind.alias("kind")), "differing-keys")
+    few = differ.limit(FEW_CHANGES + 1).count() <= FEW_CHANGES
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        kept = df.join(F.broadcast(differ.select(*keys)) if few else differ.select(*keys), keys, "left_semi")
+        return kept.select(*keys, F.struct(*rest).alias(name))
+
+    both = differ.join(rows(old, "before"), keys, "left").join(rows(new, "after"), keys, "left")
+    names = F.array_compact(F.array(*[F.when((F.col("kind") == "changed") & ~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.lit(c)) for c in rest]))
+    return both.select(*keys, "kind", names.alias("columns"), "before", "after")
+
+
+def audited(audit: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``audit`` with a row for each change that it does not have yet: audit_id, the keys as text, kind, columns, before and after as JSON.
+
+    A change is told by its keys and both sides, so that the same pair of snapshots adds nothing again.
+    """
+    before, after = (F.to_json(c, {"ignoreNullFields": "false"}) for c in ("before", "after"))
+    key = F.to_json(F.struct(*keys))
+    rows = found.select(F.sha2(F.concat_ws("\u001f", key, "kind", F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))), 256).alias("audit_id"), key.alias("key"), "kind", "columns", before.alias("before"), after.alias("after"))
+    return insert_new(audit, rows, ["audit_id"])
+
+
+AUDIT = "audit_id string, key string, kind string, columns array<string>, before string, after string"
+
+
+def counted(counts: DataFrame, found: DataFrame, by: dict[str, str]) -> DataFrame:
+    """``counts`` (the names of ``by``, n) after changes: rows that came count up, rows that went count down, and groups without rows go.
+
+    ``by``: for each name a column of the rows, as SQL over their columns. Only the changes and the counts are read.
+    """
+    came = found.where("after is not null").select("after.*", F.lit(1).cast("long").alias("_n"))
+    went = found.where("before is not null").select("before.*", F.lit(-1).cast("long").alias("_n"))
+    delta = came.unionByName(went).groupBy(*[F.expr(c).alias(n) for n, c in by.items()]).agg(F.sum("_n").alias("n"))
+    return counts.unionByName(delta.select(*counts.columns)).groupBy(*by).agg(F.sum("n").alias("n")).where("n <> 0")

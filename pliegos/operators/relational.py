@@ -143,3 +143,15 @@ def violations(df: DataFrame, key: list[str], checks: dict[str, Column]) -> Data
     """How many rows break each check, and how many keys occur more than once."""
     keyed = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.when(c, 0).otherwise(1)).cast("long").alias(n) for n, c in checks.items()])
     return keyed.agg(*[F.sum(n).alias(n) for n in checks], F.count_if(F.col("_n") > 1).alias("repeated_keys"))
+
+
+def within(rows: DataFrame, windows: DataFrame, by: list[str], day: str, first: str = "first", last: str = "last", width: int = 90) -> DataFrame:
+    """Rows joined with the windows of their key that hold their day, both bounds included; a key may have several windows.
+
+    Windows are cut into buckets of ``width`` days that cover them, and meet rows by key and bucket: an equi-join, in which a frequent key is dealt
+    over its buckets. A window without a bound holds nothing. Columns of the windows must have names of their own.
+    """
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
+    cut = windows.where(F.col(first) <= F.col(last)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(first)), bucket(F.col(last)))))
+    met = rows.withColumn("_bucket", bucket(F.col(day))).join(cut, [*by, "_bucket"])
+    return met.where(F.col(day).between(F.col(first), F.col(last))).drop("_bucket")

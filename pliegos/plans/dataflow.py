@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, rules, text
@@ -96,10 +96,41 @@ def subject_keys(clients: DataFrame, links: DataFrame) -> DataFrame:
     return out.where("key <> ''").distinct()
 
 
-def history_search(index: DataFrame, keys: DataFrame, most: int = 200) -> DataFrame:
+VIAS = ["cif", "dni", "matricula", "nombre_dni_parcial", "nombre", "teu_publico"]
+#: The score of an entry of the public notice board, and how long it is shown there.
+BOARD_SCORE, BOARD_DAYS = 0.95, 90
+
+
+def board_windows(dates: DataFrame) -> DataFrame:
+    """The days of the notice board that count for each subject (subject_id, today): subject_id, first, last."""
+    return dates.select("subject_id", F.date_sub("today", BOARD_DAYS).alias("first"), F.col("today").alias("last"))
+
+
+def board_matches(keys: DataFrame, entries: DataFrame, windows: DataFrame) -> DataFrame:
+    """Entries of the notice board for subjects' own identifiers on days that count: subject_id and the entry.
+
+    ``entries``: key, identificador, titulo, fecha_publicacion, departamento_nombre, url_pdf; those without an identifier are left out.
+    """
+    own = keys.where("link_id is null and kind in ('cif', 'dni')").select("subject_id", "key").distinct()
+    met = entries.where("identificador <> ''").join(own, "key")
+    return relational.within(met, windows, ["subject_id"], "fecha_publicacion", width=BOARD_DAYS).drop("key", "first", "last").dropDuplicates(["subject_id", "identificador"])
+
+
+def board_documents(entries: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows for the index from entries of the notice board that were found."""
+    given = {"doc_id": "identificador", "titulo": "titulo", "fecha_publicacion": "fecha_publicacion", "departamento_nombre": "departamento_nombre", "url_pdf": "url_pdf"}
+    spots = identifiers.keys(F.lit(""), F.col("titulo"))
+    once = relational.first_of(entries, ["identificador"], [F.col("fecha_publicacion"), F.col("titulo")]).withColumn("claves", spots)
+    made = {"fuente": F.lit("teu"), "origen_indexado": F.lit("teu_publico"), "tokens": search.tokens(F.col("claves.nombres_norm"))}
+    made |= {c: F.col(f"claves.{c}") for c in ("identificadores", "matriculas", "nombres", "digitos_parciales", "nombres_norm")}
+    columns = [F.col(given[c]).cast(t).alias(c) if c in given else made.get(c, F.lit(None)).cast(t).alias(c) for c, t in index.dtypes]
+    return once.select(*columns)
+
+
+def history_search(index: DataFrame, keys: DataFrame, most: int = 200, board: DataFrame | None = None) -> DataFrame:
     """Matches of subjects in the index: the best one of each document; subject_id, doc_id, link_id, via, score.
 
-    All subjects at once: exact keys and plates by equi-joins, names by their rarest token. A name hit whose
+    ``board`` are matches of the notice board (``board_matches``). All subjects at once: exact keys and plates by equi-joins, names by their rarest token. A name hit whose
     document shows a mask that fits the DNI of the party with that name counts as more.
     """
     own = keys.withColumn("owner", F.struct("subject_id", "link_id"))
@@ -121,12 +152,40 @@ def history_search(index: DataFrame, keys: DataFrame, most: int = 200) -> DataFr
         .select("subject_id", "link_id", "doc_id", F.lit("nombre_dni_parcial").alias("via"), F.greatest("score", F.lit(search.MASK_SCORE)).alias("score"))
     )
     branches = exact("cif", "identificadores", 1.0).unionByName(exact("dni", "identificadores", 1.0)).unionByName(exact("matricula", "matriculas", PLATE_SCORE))
-    # own keys before those of links, then by branch: of equal scores the first stays
-    order = {"cif": 0, "dni": 1, "matricula": 2, "nombre_dni_parcial": 3, "nombre": 4}
-    rows = branches.unionByName(named).unionByName(masked).withColumn("ord", F.struct(F.col("link_id").isNotNull(), F.coalesce("link_id", F.lit(0)), F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("via")]))
+    rows = branches.unionByName(named).unionByName(masked)
+    if board is not None:
+        rows = rows.unionByName(board.select("subject_id", F.lit(None).cast("long").alias("link_id"), F.col("identificador").alias("doc_id"), F.lit("teu_publico").alias("via"), F.lit(BOARD_SCORE).alias("score")))
+    # own keys before those of links, then by branch, the notice board last: of equal scores the first stays
+    place = F.create_map(*[F.lit(x) for k, v in enumerate(VIAS) for x in (v, k)])[F.col("via")]
+    rows = rows.withColumn("ord", F.struct(F.col("via") == "teu_publico", F.col("link_id").isNotNull(), F.coalesce("link_id", F.lit(0)), place))
     return relational.best_of(rows, ["subject_id", "doc_id"], F.col("score"), F.col("ord")).drop("ord")
 
 
+def consult(index: DataFrame, asked: DataFrame, most: int = 200, board_entries: DataFrame | None = None) -> DataFrame:
+    """Ad-hoc questions, each answered by its ``most`` best documents: consult_id, rank, doc_id, via, score, fuente, fecha_publicacion, titulo, outside_window.
+
+    ``asked``: consult_id, cif, dni, matricula, nombre (any of them null) and today. Nothing is stored. Equal scores stand in the order of the branches, then of
+    the documents. Documents of the notice board that were published more than BOARD_DAYS before today are outside its window.
+    """
+    subjects = asked.select(
+        F.col("consult_id").alias("cliente_id"), F.col("cif").alias("cif_nif"), F.col("dni").alias("dni_nie"), F.array_compact(F.array("matricula")).alias("matriculas"), "nombre",
+    )
+    links = asked.sparkSession.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string")
+    keys = subject_keys(subjects, links)
+    dates = asked.select(F.col("consult_id").alias("subject_id"), "today")
+    board = None if board_entries is None else board_matches(keys, board_entries, board_windows(dates))
+    found = history_search(index, keys, most, board).drop("link_id")
+    shown = ["doc_id", "fuente", "fecha_publicacion", "titulo"]
+    docs = index.select(*shown)
+    if board is not None:
+        docs = docs.unionByName(board_documents(board.drop("subject_id"), index).select(*shown).join(index.select("doc_id"), "doc_id", "left_anti"))
+    met = found.join(docs, "doc_id").join(dates, "subject_id").withColumn("outside_window", rules.outside_window(F.col("fuente"), F.col("fecha_publicacion"), F.col("today")))
+    place = F.array_position(F.array(*[F.lit(v) for v in VIAS]), F.col("via"))
+    first = Window.partitionBy("subject_id").orderBy(F.desc("score"), place, "doc_id")
+    ranked = met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    return ranked.select(F.col("subject_id").alias("consult_id"), "rank", "doc_id", "via", "score", "fuente", "fecha_publicacion", "titulo", "outside_window")
+
+
 def radar(index: DataFrame, clients: DataFrame, links: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The next snapshot of results, and alerts: new matches of active clients at 0.90 or more.
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers
+from ..operators import merge
 from ..operators.postings import Postings
+from ..streaming import cache
 from . import catalogue, daily, dataflow, flows, scratch
 from .registry import Tables, query
 
@@ -200,3 +202,138 @@ def backfill_budget(t: Tables) -> DataFrame:
     all_ = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 10)
     run = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 10, most_documents=all_.indexed // 3 + 1)
     return run.runs.drop("tipo", "status")
+
+
+# Changes of snapshots, and counts that follow them
+
+_SIDES = """o AS (SELECT user_id, count(*) AS n, min(event_type) AS kind, CASE WHEN user_id % 3 > 0 THEN max(event_id) END AS last FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
+    w AS (SELECT user_id, count(*) AS n, min(event_type) AS kind, CASE WHEN user_id % 3 > 1 THEN max(event_id) END AS last FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id)"""
+
+
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    def side(rows: DataFrame, above: int) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_type").alias("kind"), F.max("event_id").alias("last")).withColumn("last", F.when(F.col("user_id") % 3 > above, F.col("last")))
+
+    return side(t.events.where("ts < timestamp'2024-01-16'"), 0), side(t.events.where("ts >= timestamp'2024-01-16'"), 1)
+
+
+@query(f"""WITH {_SIDES}, m AS (SELECT user_id, o.user_id AS had, w.user_id AS has, o.n AS n1, w.n AS n2, o.kind AS k1, w.kind AS k2, o.last AS l1, w.last AS l2 FROM o FULL JOIN w USING (user_id))
+    SELECT user_id, CASE WHEN had IS NULL THEN 'inserted' WHEN has IS NULL THEN 'removed' ELSE 'changed' END AS kind, n1 AS n_before, n2 AS n_after,
+           CASE WHEN had IS NULL OR has IS NULL THEN '' ELSE concat_ws(',', CASE WHEN n1 <> n2 THEN 'n' END, CASE WHEN k1 <> k2 THEN 'kind' END, CASE WHEN l1 IS DISTINCT FROM l2 THEN 'last' END) END AS columns
+    FROM m WHERE had IS NULL OR has IS NULL OR n1 <> n2 OR k1 <> k2 OR l1 IS DISTINCT FROM l2""")
+def change_feed(t: Tables) -> DataFrame:
+    """What differs between users of the first and of the second half of the events."""
+    found = merge.changes(*_sides(t), ["user_id"])
+    return found.select("user_id", "kind", F.col("before.n").alias("n_before"), F.col("after.n").alias("n_after"), F.array_join("columns", ",").alias("columns"))
+
+
+@query(f"""WITH {_SIDES}, m AS (SELECT user_id, o.user_id AS had, w.user_id AS has, o.n AS n1, w.n AS n2, o.kind AS k1, w.kind AS k2, o.last AS l1, w.last AS l2 FROM o FULL JOIN w USING (user_id)),
+    c AS (SELECT * FROM m WHERE had IS NULL OR has IS NULL OR n1 <> n2 OR k1 <> k2 OR l1 IS DISTINCT FROM l2)
+    SELECT CASE WHEN had IS NULL THEN 'inserted' WHEN has IS NULL THEN 'removed' ELSE 'changed' END AS kind, CAST(user_id AS VARCHAR) AS user, n1 AS n_before, n2 AS n_after FROM c""")
+def audit_trail(t: Tables) -> DataFrame:
+    """The audit rows of one pair of snapshots that is compared three times."""
+    old, new = _sides(t)
+    audit = t.spark.createDataFrame([], merge.AUDIT)
+    for _ in range(3):
+        audit = scratch.staged(merge.audited(audit, merge.changes(old, new, ["user_id"]), ["user_id"]), "audit")
+    number = lambda c: F.get_json_object(c, "$.n").cast("long")
+    return audit.select("kind", F.get_json_object("key", "$.user_id").alias("user"), number("before").alias("n_before"), number("after").alias("n_after"))
+
+
+@query(catalogue.ORACLE_SQL["dashboard_counts"])
+def maintained_dashboard(t: Tables) -> DataFrame:
+    """Counts by day and status that follow the changes between three snapshots of cases: none, those before 1997 of which a quarter has another status, and all."""
+    rows = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    early = rows.where("o_orderdate < timestamp'1997-01-01'").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, "O").otherwise(F.col("o_orderstatus")))
+    counts, before = t.spark.createDataFrame([], "day date, status string, n long"), rows.limit(0)
+    for after in (early, rows):
+        counts = scratch.staged(merge.counted(counts, merge.changes(before, after, ["o_orderkey"]), {"day": "to_date(o_orderdate)", "status": "o_orderstatus"}), "counts")
+        before = after
+    today = counts.agg(F.max("day").alias("today"))
+    met = counts.crossJoin(F.broadcast(today))  # one row
+    zero = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return met.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), zero(F.col("day") == F.col("today")).alias("on_day"), zero(F.col("day") >= F.date_sub("today", 7)).alias("last_week"), zero(F.col("status") == "O").alias("open_cases"),
+    )
+
+
+@query(catalogue.ORACLE_SQL["coverage_by_source"])
+def maintained_coverage(t: Tables) -> DataFrame:
+    """Counts by day and source after two increments, of which each reads its own days only."""
+    rows = t.events.select("event_id", "event_type", "ts")
+    counts = t.spark.createDataFrame([], "event_type string, day date, n long")
+    for days in ("ts < timestamp'2024-01-16'", "ts >= timestamp'2024-01-16'"):
+        came = rows.where(days).select(F.struct("event_type", "ts").alias("after"))
+        counts = scratch.staged(merge.counted(counts, came.withColumn("before", F.lit(None).cast(came.schema["after"].dataType)), {"event_type": "event_type", "day": "to_date(ts)"}), "counts")
+    return counts.groupBy("event_type").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("day").alias("days"), F.sum("n").alias("total"))
+
+
+# The notice board's window, and ad-hoc questions
+
+
+def _board_entries(t: Tables) -> DataFrame:
+    """Orders as entries of the notice board under their client's DNI."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select(
+        F.concat(F.lit("1"), F.lpad(k.cast("string"), 7, "0"), F.lit("A")).alias("key"), F.when(o % 11 != 0, F.concat(F.lit("T"), o.cast("string"))).otherwise("").alias("identificador"), F.lit("Embargo").alias("titulo"),
+        F.to_date("o_orderdate").alias("fecha_publicacion"), F.lit("Dep").alias("departamento_nombre"), F.lit("u").alias("url_pdf"),
+    )
+
+
+_OWN_DAYS = "w AS (SELECT o_custkey AS c, max(CAST(o_orderdate AS DATE)) - CAST(o_custkey % 40 AS INT) AS today FROM orders GROUP BY o_custkey)"
+
+
+def _own_days(t: Tables) -> DataFrame:
+    """Each client's own day: up to forty days before its last order."""
+    return t.orders.groupBy(F.col("o_custkey").alias("subject_id")).agg(F.max(F.to_date("o_orderdate")).alias("d")).select("subject_id", F.date_sub("d", (F.col("subject_id") % 40).cast("int")).alias("today"))
+
+
+@query(f"""WITH {_OWN_DAYS} SELECT c AS subject_id, 'T' || o_orderkey AS doc_id, 'teu_publico' AS via, 0.95::DOUBLE AS score, CAST(o_orderdate AS DATE) AS day
+    FROM orders JOIN w ON c = o_custkey WHERE o_orderkey % 11 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN today - 90 AND today""")
+def history_board(t: Tables) -> DataFrame:
+    """The fifth branch of the search alone: entries of the notice board within ninety days before each client's own day, and stored."""
+    index, clients, links = catalogue._history_fixture(t)
+    keys = dataflow.subject_keys(clients, links).where("kind in ('cif', 'dni')")
+    board = scratch.staged(dataflow.board_matches(keys, _board_entries(t), dataflow.board_windows(_own_days(t))), "board")
+    found = dataflow.history_search(index.limit(0), keys, board=board)
+    shape = "doc_id string, fuente string, origen_indexado string, fecha_publicacion date, titulo string, nombres_norm string"
+    stored = dataflow.board_documents(board, t.spark.createDataFrame([], shape)).where("fuente = 'teu' and origen_indexado = 'teu_publico'")
+    return found.join(stored.select("doc_id", F.col("fecha_publicacion").alias("day")), "doc_id").select("subject_id", "doc_id", "via", "score", "day")
+
+
+@query(f"""WITH {_OWN_DAYS}, c AS (SELECT o_custkey AS c, o_orderkey AS o, CAST(o_orderdate AS DATE) AS day, today FROM orders JOIN customer ON c_custkey = o_custkey JOIN w ON w.c = o_custkey),
+    g AS (
+        SELECT c, o, day, today, CASE WHEN c % 10 = 0 THEN 2 ELSE 1 END AS place, CASE WHEN c % 10 = 0 THEN 'dni' ELSE 'cif' END AS via, 1.0 AS score FROM c WHERE o % 4 = 0 AND c % 2 = 0
+        UNION ALL SELECT c, o, day, today, 3, 'matricula', 0.9 FROM c WHERE o % 8 = 3
+        UNION ALL SELECT c, o, day, today, CASE WHEN o % 3 = 0 THEN 4 ELSE 5 END, CASE WHEN o % 3 = 0 THEN 'nombre_dni_parcial' ELSE 'nombre' END, CASE WHEN o % 3 = 0 THEN 0.85 ELSE 0.7 END
+            FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY 'D' || o) AS r FROM c WHERE o % 4 = 2) WHERE r <= 3),
+    b AS (SELECT c, 'D' || o AS id, place, via, score, CASE WHEN o % 2 = 0 THEN 'teu' ELSE 'boe' END AS fuente, day, today FROM g
+          UNION ALL SELECT c, 'T' || o, 6, 'teu_publico', 0.95, 'teu', day, today FROM c WHERE o % 11 <> 0 AND day BETWEEN today - 90 AND today)
+    SELECT c AS consult_id, CAST(row_number() OVER (PARTITION BY c ORDER BY score DESC, place, id) AS INTEGER) AS rank, id AS doc_id, via, CAST(score AS DOUBLE) AS score, fuente = 'teu' AND day < today - 90 AS outside_window
+    FROM b QUALIFY row_number() OVER (PARTITION BY c ORDER BY score DESC, place, id) <= 3""")
+def history_consult(t: Tables) -> DataFrame:
+    """Each client as an ad-hoc question with its three best documents, the notice board among them."""
+    index, clients, _ = catalogue._history_fixture(t)
+    order = t.orders.select(F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "teu").otherwise("boe").alias("fuente"), F.to_date("o_orderdate").alias("fecha_publicacion"))
+    index = scratch.staged(index.join(order, "doc_id").withColumns({"titulo": F.lit("t"), "nombres_norm": F.lit(""), "origen_indexado": F.lit("diario")}), "index")
+    asked = clients.join(_own_days(t), F.col("cliente_id") == F.col("subject_id")).select(F.col("cliente_id").alias("consult_id"), F.col("cif_nif").alias("cif"), F.col("dni_nie").alias("dni"), F.col("matriculas")[0].alias("matricula"), "nombre", "today")
+    return dataflow.consult(index, asked, 3, _board_entries(t)).select("consult_id", "rank", "doc_id", "via", F.round("score", 6).alias("score"), "outside_window")
+
+
+# Keyed state
+
+
+@query("""WITH a AS (SELECT event_id, user_id, ts, ts + INTERVAL 2 DAY AS until, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'purchase'),
+    q AS (SELECT event_id, user_id, ts, (SELECT max((a.ts, a.event_id, a.until)) FROM a WHERE a.user_id = e.user_id AND (a.ts, a.event_id) < (e.ts, e.event_id)) AS held FROM events e WHERE event_type <> 'purchase'),
+    w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM events)
+    SELECT event_id, CASE WHEN ts <= held[3] THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN ts <= held[3] THEN CAST(held[2] AS VARCHAR) END AS answer FROM q
+    UNION ALL SELECT event_id, 'expired', CAST(event_id AS VARCHAR) FROM a, w WHERE again > until OR (again IS NULL AND until < mark)""")
+def cached_answers(t: Tables) -> DataFrame:
+    """Purchases as answers that hold for two days, all other events as questions of their user; a second run finds nothing new."""
+    path = scratch.new_path(t.spark, "cache")
+    rows = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*").select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).alias("answer")
+    )
+    for _ in range(2):
+        found = cache.run_available(cache.outcomes(rows, 2), path)
+    return found.select(F.col("ord").alias("event_id"), "outcome", "answer")
