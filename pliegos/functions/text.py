@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -25,23 +26,18 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 ACCENTED, PLAIN, LONGER = _folding()
-_LONGER_ANY = "[" + "".join(LONGER) + "]"
+_LONGER_ANY, _LONGER_JSON = "[" + "".join(LONGER) + "]", json.dumps(LONGER)
 
 
 def without_accents(text: Column) -> Column:
     """NFKD of Latin text without combining marks, with built-in functions; ª, º and ligatures become letters."""
     folded = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
-    spelled = folded
-    for sign, base in LONGER.items():
-        spelled = F.replace(spelled, F.lit(sign), F.lit(base))
+    longer = F.from_json(F.lit(_LONGER_JSON), "map<string, string>")
+    spelled = F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(longer[c], c)), "")
     # few texts hold a sign that becomes several
     return F.when(folded.rlike(_LONGER_ANY), spelled).otherwise(folded)
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
-
-
 def squeezed(text: Column) -> Column:
     """White space collapsed to single blanks and trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -85,8 +81,8 @@ def code(prefix: str, year: Column, number: Column, digits: int) -> Column:
 
 
 def money(amount: Column) -> Column:
-    """Two places, half up."""
-    return F.round(amount.cast("decimal(18,6)"), 2).cast("decimal(14,2)")
+    """Two places, half up, of a decimal."""
+    return F.round(amount, 2).cast("decimal(14,2)")
 
 
 def vat(base: Column, percent: Column) -> Column:
@@ -98,6 +94,16 @@ def spanish_number(amount: Column) -> Column:
     return F.translate(F.format_number(amount, 2), ",.", ".,")
 
 
+def iso_date(written: Column) -> Column:
+    """A date as yyyy-mm-dd; null for anything else."""
+    return F.when(F.trim(written).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.trim(written).try_cast("date"))
+
+
+def given(record: Column) -> Column:
+    """A map of texts without null and blank entries."""
+    return F.map_filter(record, lambda _, v: F.coalesce(v, F.lit("")) != "")
+
+
 def joined_present(separator: str, *parts: Column) -> Column:
     """The parts that are not null, joined."""
     return F.concat_ws(separator, *parts)

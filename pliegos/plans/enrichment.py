@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import relational, search
+from ..operators import merge, relational, search
+from .scratch import staged
 
 FIELDS = ["telefono", "telefono_secundario", "email", "web", "linkedin_url", "facebook_url", "instagram_url", "twitter_url"]
 SOCIAL_FIELDS = FIELDS[4:]
@@ -40,6 +41,16 @@ def queries(parties: DataFrame) -> DataFrame:
     return parties.withColumn("query", q).withColumn("status", status)
 
 
+CACHE = "key string, payload string, expires_at timestamp"
+ATTEMPT = "attempt_id string, case_id long, provider string, query string, status string, url string, confidence double, cost double"
+CANDIDATES = "struct<candidates: array<struct<url: string, title: string, snippet: string>>>"
+
+
+def unexpired(cache: DataFrame, now: Column) -> DataFrame:
+    """Rows of a cache that have not expired; an expired row is a miss."""
+    return cache.where(F.col("expires_at") >= now)
+
+
 def cached(cache: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
     """The next snapshot of a cache (key, payload, expires_at): new answers replace old ones, and live CACHE_DAYS."""
     new = answers.select("key", "payload", F.timestamp_add("DAY", F.lit(CACHE_DAYS), now).alias("expires_at"))
@@ -83,17 +94,52 @@ def found_fields(asked: DataFrame, candidates: DataFrame, pages: DataFrame, leas
     return best.select("case_id", "field", "value", "url", "confidence")
 
 
-def attempts(parties: DataFrame, candidates: DataFrame, pages: DataFrame, provider: str, least: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """For each party case_id, provider, query, status; and the fields that were found."""
-    asked = queries(parties)
-    fields = found_fields(asked.where("status is null").select("case_id", "nombre", "identificador", "query"), candidates, pages, least)
-    hit = fields.select("case_id").distinct().withColumn("hit", F.lit(True))
-    fetched = candidates.select("query", text.normal_url(F.col("url")).alias("url")).join(pages.select("url"), "url", "left_semi").select("query").distinct().withColumn("fetched", F.lit(True))
-    any_ = candidates.select("query").distinct().withColumn("answered", F.lit(True))
-    rows = asked.join(hit, "case_id", "left").join(fetched, "query", "left").join(any_, "query", "left")
-    # candidates of which no page could be read, and whose snippets tell nothing, are an error and no miss
-    status = F.coalesce("status", F.when(F.col("hit"), "encontrado"), F.when(F.col("answered") & F.col("fetched").isNull(), "error"), F.lit("no_encontrado"))
-    return rows.select("case_id", F.lit(provider).alias("provider"), "query", status.alias("status")), fields
+def _searched(queries_: DataFrame, cache: DataFrame, connector, provider: str, now: Column, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cache after asking for the queries without a live answer, the queries that were asked, and the candidates of all: query, ord, url, title, snippet.
+
+    A query without candidates is an answer as well.
+    """
+    keyed = queries_.select("query").distinct().withColumn("key", text.cache_key(F.lit(provider), F.col("query")))
+    asked = staged(keyed.join(unexpired(cache, now).select("key"), "key", "left_anti"), "asked-queries")
+    found = connector.search(asked.select("query"), most)
+    listed = found.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", "title", "snippet"))), lambda c: F.struct(c["url"].alias("url"), c["title"].alias("title"), c["snippet"].alias("snippet"))).alias("candidates"))
+    none = F.from_json(F.lit('{"candidates": []}'), CANDIDATES)["candidates"]
+    answers = asked.join(listed, "query", "left").select("key", F.to_json(F.struct(F.coalesce("candidates", none).alias("candidates"))).alias("payload"))
+    cache = staged(cached(cache, answers.dropDuplicates(["key"]), now), "cache")
+    held = keyed.join(cache.select("key", F.from_json("payload", CANDIDATES).alias("p")), "key")
+    return cache, asked, held.select("query", F.posexplode("p.candidates").alias("ord", "c")).select("query", "ord", "c.*")
+
+
+def run(parties: DataFrame, cache: DataFrame, attempts: DataFrame, connector, pages: DataFrame, now: Column, run_id: str, most: int = 5, least: float = LEAST_CONFIDENCE) -> dict[str, DataFrame]:
+    """One run over parties: the next parties, cache and attempts, and which queries the connector was asked (asked).
+
+    ``connector`` has name, cost and search(queries, most); it is asked only for queries without a live answer in the cache, and at most ``most`` of its candidates count.
+    ``pages``: url, html (null: could not be read), allowed (false: the site forbids it; null counts as true). A candidate whose page is missing
+    could not be read. Each party gets one attempt, told by ``run_id``: a run that is repeated adds none.
+    """
+    todo = staged(queries(parties), "parties-asked")
+    open_ = todo.where("status is null")
+    cache, asked, found = _searched(open_, cache, connector, connector.name, now, most)
+    candidates = staged(found.withColumn("url", text.normal_url(F.col("url"))), "candidates")
+    readable = pages.where("html is not null").select("url", "html").dropDuplicates(["url"])
+    forbidden = pages.where("allowed = false").select("url").distinct().withColumn("forbidden", F.lit(True))
+    met = candidates.join(forbidden, "url", "left").join(readable.select("url").withColumn("there", F.lit(True)), "url", "left")
+    # the page of a candidate is read only where its site allows that, and its legal pages only after it
+    open_pages = candidates.select("url").distinct().join(forbidden, "url", "left_anti")
+    own = candidates.select("url").distinct().join(open_pages, "url", "left_anti")
+    fields = staged(found_fields(open_.select("case_id", "nombre", "identificador", "query"), candidates, readable.join(own, "url", "left_anti"), least), "fields")
+    outcome = met.groupBy("query").agg(
+        F.count(F.lit(1)).alias("many"), F.count_if(F.col("forbidden")).alias("blocked"), F.count_if(F.col("forbidden").isNull() & F.col("there").isNull()).alias("failed")
+    )
+    best = relational.first_of(fields, ["case_id"], [F.col("confidence").desc(), F.col("field")]).select("case_id", "url", "confidence")
+    judged = todo.join(best, "case_id", "left").join(outcome, "query", "left")
+    status = F.coalesce(
+        "status", F.when(F.col("url").isNotNull(), "encontrado").when(F.col("blocked") == F.col("many"), "omitido").when(F.col("failed") == F.col("many"), "error"), F.lit("no_encontrado")
+    )
+    cost = F.when(F.col("status").isNull(), F.lit(float(connector.cost)))
+    key = F.sha2(F.concat_ws("|", F.lit(run_id), "case_id"), 256)
+    tried = staged(judged.select(key.alias("attempt_id"), F.col("case_id").cast("long").alias("case_id"), F.lit(connector.name).alias("provider"), "query", status.alias("status"), "url", "confidence", cost.alias("cost")), "attempts")
+    return {"parties": applied(parties, tried, fields), "cache": cache, "attempts": merge.insert_new(attempts, tried, ["attempt_id"]), "asked": asked.select("query")}
 
 
 def applied(parties: DataFrame, tried: DataFrame, fields: DataFrame) -> DataFrame:

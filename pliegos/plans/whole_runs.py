@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identifiers
+from ..functions import identifiers, text
 from ..operators import merge
 from ..operators.postings import Postings
+from ..sources import gazette
 from ..streaming import cache
-from . import catalogue, daily, dataflow, flows, scratch
+from . import catalogue, daily, dataflow, enrichment, flows, scratch
 from .registry import Tables, query
 
 # The daily run
@@ -144,10 +147,7 @@ def daily_outputs(t: Tables) -> DataFrame:
         "quarantine": ("quarantine", F.col("fecha"), ["source", "reason", "raw"]),
     }
     rows = [state[table].select(F.lit(name).alias("output"), key.cast("string").alias("key"), F.concat_ws("|", *values).alias("value")) for name, (table, key, values) in shown.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 # The stored index
@@ -196,7 +196,7 @@ def indexed_name_scores(t: Tables) -> DataFrame:
 def backfill_budget(t: Tables) -> DataFrame:
     """The first run of a backfill whose budget of documents ends within a day: a third of all documents, and one more."""
     payloads, texts = catalogue._run_fixture(t)
-    shape = dataflow.indexed(dataflow.candidates(flows.gazette.flatten_summary(payloads.limit(0)), texts.limit(0), "backfill"))
+    shape = dataflow.indexed(dataflow.candidates(gazette.flatten_summary(payloads.limit(0)), texts.limit(0), "backfill"))
     index, runs = t.spark.createDataFrame([], shape.schema), t.spark.createDataFrame([], flows.RUN)
     payloads = scratch.staged(payloads, "payloads")
     all_ = flows.run_backfill(payloads, texts, index, runs, "2026-01-01", "2026-01-10", 10)
@@ -337,3 +337,95 @@ def cached_answers(t: Tables) -> DataFrame:
     for _ in range(2):
         found = cache.run_available(cache.outcomes(rows, 2), path)
     return found.select(F.col("ord").alias("event_id"), "outcome", "answer")
+
+
+# Contact data as runs
+
+
+_PARTY_SQL = """WITH s AS (SELECT s_suppkey AS s, s_suppkey % 8 AS k FROM supplier),
+    p AS (SELECT s, CASE k WHEN 0 THEN 'omitido' WHEN 1 THEN 'sin_datos' WHEN 2 THEN 'no_encontrado' WHEN 3 THEN 'omitido' WHEN 4 THEN 'error' WHEN 5 THEN 'no_encontrado' ELSE 'encontrado' END AS status, k FROM s)"""
+
+
+def _contact_fixture(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as parties of eight kinds: set by hand, without a name, and six ways that a search can end."""
+    s, k = F.col("s_suppkey"), F.col("s_suppkey") % 8
+    text_ = s.cast("string")
+    ident = F.concat(F.lit("B"), F.lpad(text_, 8, "0"))
+    none = F.lit(None).cast("string")
+    name = F.concat(F.lit("Molino "), F.lpad(text_, 6, "0"))
+    state = F.when(k == 0, "manual")
+    parties = t.supplier.select(
+        s.alias("case_id"), F.when(k == 1, ident).otherwise(name).alias("nombre"), ident.alias("identificador"), none.alias("localidad"), F.when(k != 1, "Lugo").alias("provincia"), state.alias("contacto_estado"),
+        F.lit(None).cast("map<string, struct<value: string, url: string, confidence: double>>").alias("contacto_detalle"), *[none.alias(f) for f in enrichment.FIELDS],
+    )
+    site = F.concat(F.lit("https://m"), text_, F.lit(".es/"))
+    numbers = F.when(k == 2, F.array().cast("array<int>")).when(k.isin(3, 4, 6), F.array(F.lit(0))).when(k == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.sequence(F.lit(0), F.lit(6)))
+    candidates = t.supplier.withColumn("n", F.explode(numbers)).select(
+        F.concat(name, F.lit(" Lugo")).alias("query"), F.col("n").alias("ord"), F.concat(site, F.col("n").cast("string")).alias("url"), F.lit("Ficha").alias("title"),
+        F.when(k == 6, F.concat(name, F.lit(" tel 955 012 299"))).otherwise("").alias("snippet"),
+    )
+    # of seven candidates of the last kind the first five count: the second holds the name and a mail, the sixth the identifier and a phone
+    html = F.when((k == 7) & (F.col("n") == 1), F.concat(name, F.lit(" info@m"), text_, F.lit(".es"))).when((k == 7) & (F.col("n") == 5), F.concat(ident, F.lit(" 955012299"))).when(k == 7, "nada")
+    pages = t.supplier.withColumn("n", F.explode(numbers)).select(F.concat(site, F.col("n").cast("string")).alias("url"), html.alias("html"), F.when(k.isin(3, 6) | ((k == 5) & (F.col("n") == 0)), False).alias("allowed"))
+    return parties, candidates, pages
+
+
+@query(f"""{_PARTY_SQL}, r AS (SELECT * FROM (VALUES ('a', 1), ('b', 0), ('c', 1)) r(run, asked))
+    SELECT run, 'attempt' AS what, s AS case_id, status || CASE WHEN k > 1 THEN '|0.0' ELSE '' END AS value FROM p, r
+    UNION ALL SELECT run, 'asked', s, 'Molino ' || lpad(CAST(s AS VARCHAR), 6, '0') || ' Lugo' FROM p, r WHERE asked = 1 AND k > 1
+    UNION ALL SELECT 'end', 'party', s, concat_ws('|', CASE k WHEN 0 THEN 'manual' WHEN 1 THEN 'sin_datos' WHEN 2 THEN 'no_encontrado' WHEN 5 THEN 'no_encontrado' WHEN 6 THEN 'encontrado' WHEN 7 THEN 'encontrado' END,
+        CASE WHEN k = 6 THEN '955 012 299' END, CASE WHEN k = 7 THEN 'info@m' || s || '.es' END, CASE WHEN k IN (6, 7) THEN 'https://m' || s || '.es' END) FROM p""")
+def contact_runs(t: Tables) -> DataFrame:
+    """Three runs over all parties: the second asks the connector nothing, the third comes when the cache has expired."""
+    f = [scratch.staged(df, "contacts") for df in _contact_fixture(t)]
+    parties, pages = f[0], f[2]
+    cache, attempts = t.spark.createDataFrame([], enrichment.CACHE), t.spark.createDataFrame([], enrichment.ATTEMPT)
+    rows = []
+    for name, day in (("a", "2026-01-01"), ("b", "2026-01-20"), ("c", "2026-03-01")):
+        known = attempts
+        out = enrichment.run(parties, cache, attempts, gazette.FixtureConnector(f[1]), pages, F.lit(day).cast("timestamp"), name)
+        parties, cache, attempts, asked = (scratch.staged(out[k], k) for k in ("parties", "cache", "attempts", "asked"))
+        new = attempts.join(known.select("attempt_id"), "attempt_id", "left_anti")
+        rows.append(new.select(F.lit(name).alias("run"), F.lit("attempt").alias("what"), "case_id", F.concat_ws("|", "status", "cost").alias("value")))
+        rows.append(asked.select(F.lit(name).alias("run"), F.lit("asked").alias("what"), F.regexp_extract("query", "[0-9]+", 0).cast("long").alias("case_id"), F.col("query").alias("value")))
+    rows.append(parties.select(F.lit("end").alias("run"), F.lit("party").alias("what"), "case_id", F.concat_ws("|", "contacto_estado", "telefono", "email", "web").alias("value")))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+# Smaller projections
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'https://h/' || doc_id WHEN doc_id % 5 = 1 THEN 'https://p/' || doc_id WHEN doc_id % 5 = 2 THEN 'https://b/txt.php?id=BOE-A-' || doc_id
+    ELSE 'https://b/dias/' || strftime(DATE '2026-01-05' + CAST(doc_id % 40 AS INT), '%Y/%m/%d') || '/' END AS url FROM documents""")
+def document_addresses(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    key = d.cast("string")
+    html, pdf = F.when(d % 5 == 0, F.concat(F.lit("https://h/"), key)).otherwise(" "), F.when(d % 5 < 2, F.concat(F.lit("https://p/"), key))
+    ident = F.concat(F.when(d % 5 == 2, "BOE-A-").otherwise("X-"), key)
+    day = F.date_add(F.lit("2026-01-05").cast("date"), (d % 40).cast("int"))
+    return t.documents.select("doc_id", gazette.document_url(html, pdf, ident, day, "https://b").alias("url"))
+
+
+@query("""SELECT doc_id, length(CASE WHEN trim(x) <> '' THEN trim(x) WHEN doc_id % 3 = 1 THEN 'pagina' WHEN doc_id % 3 = 2 THEN 'pdf' ELSE '' END) AS n,
+    CASE WHEN trim(x) <> '' THEN 'xml' WHEN doc_id % 3 = 1 THEN 'html' WHEN doc_id % 3 = 2 THEN 'pdf' ELSE 'none' END AS origin FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE '' END AS x FROM documents)""")
+def text_cascade(t: Tables) -> DataFrame:
+    """The text of a document from its XML, else its page, else its PDF."""
+    d = F.col("doc_id")
+    xml = F.when(d % 2 == 0, F.col("text"))
+    body, origin = gazette.best_text(xml, F.when(d % 3 == 1, " pagina ").otherwise(" "), F.when(d % 3 > 0, "pdf"))
+    return t.documents.select("doc_id", F.length(body).cast("long").alias("n"), origin.alias("origin"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(l_discount AS DECIMAL(4,2)) * CAST(0.5 AS DECIMAL(2,1)), 2) AS DECIMAL(14,2)) AS amount FROM lineitem""")
+def money_rounding(t: Tables) -> DataFrame:
+    half = F.col("l_extendedprice").cast("decimal(14,2)") * F.col("l_discount").cast("decimal(4,2)") * F.lit(0.5).cast("decimal(2,1)")
+    return t.lineitem.select("l_orderkey", "l_linenumber", text.money(half).alias("amount"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus || ',' END || 'clave' AS given FROM orders""")
+def record_values(t: Tables) -> DataFrame:
+    """Dates as written, of which half are none, and records without their blank entries."""
+    k = F.col("o_orderkey")
+    written = F.when(k % 4 < 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 2, "31/12/2026").otherwise("")
+    record = F.create_map(F.lit("estado"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise(""), F.lit("nota"), F.lit(None).cast("string"), F.lit("fuente"), F.lit("clave"))
+    return t.orders.select("o_orderkey", text.iso_date(written).alias("day"), F.array_join(F.map_values(text.given(record)), ",").alias("given"))

@@ -167,23 +167,27 @@ def document_url(html: Column, pdf: Column, identifier: Column, published: Colum
 
 
 class FixtureConnector:
-    """A search connector that answers from rows: url, title, snippet for a query. Network connectors share its interface."""
+    """A search connector that answers from rows: query, ord, url, title, snippet. Network connectors share its interface."""
 
-    name = "fixture"
+    name, cost = "fixture", 0.0
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
     def search(self, queries: DataFrame, most: int = 5) -> DataFrame:
+        """The first ``most`` candidates of each query."""
         from ..operators.relational import first_of
 
-        found = queries.join(self.rows, "query")
-        return first_of(found, ["query"], [F.col("ord")], most)
+        return first_of(queries.join(self.rows, "query"), ["query"], [F.col("ord")], most)
 
 
-_CONNECTORS: dict[str, type] = {"fixture": FixtureConnector}
+CONNECTORS: dict[str, type] = {"fixture": FixtureConnector}
 
 
-def connector(name: str) -> type | None:
-    """The connector of a name; none for an unknown name, which callers report as unavailable."""
-    return _CONNECTORS.get(name)
+def available(name: str | None, enabled: bool = True) -> tuple[bool, str]:
+    """Whether a connector can be used, and why not."""
+    if not enabled:
+        return False, "search is switched off"
+    if not name:
+        return False, "no connector is chosen"
+    return (True, "") if name in CONNECTORS else (False, f"there is no connector {name}")

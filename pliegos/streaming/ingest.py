@@ -8,8 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -73,12 +71,3 @@ def backfill_days(first: str, last: str, cursor: str | None, most_days: int) ->
     return out
 
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
-
-
-def unexpired(cache: DataFrame, now) -> DataFrame:
-    """Rows of a cache that have not expired; an expired row is a miss."""
-    return cache.where(F.col("expires_at") >= now)
