@@ -3,6 +3,9 @@
 Each step moves edges towards the smallest neighbour. Hubs are met by map-side minima and
 by joins whose skewed partitions Spark splits: for that the minima are written first, so that
 both sides of a join are plain shuffles. Every round is written to the shared folder.
+
+Defined results: edges from a node to itself and repeated edges change nothing; edges with a null end are left out; no edges give no rows;
+ids are compared as they are, so that ties cannot occur; columns besides a and b are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ texts per partition can be that frequent, which bounds the broadcast tables.
 Defined results: a null text counts as empty; empty texts are copies of each other;
 rows repeated with the same id and text form one group of which one row stays; a null id
 sorts below all others and stays only if every id of its group is null; an empty table
-gives an empty result; columns besides the id and the text play no part.
+gives an empty result; very long texts are sorted and compared whole; of ties, rows with equal text and id, any one
+stays, as they are alike; columns besides the id and the text play no part.
 """
 
 from __future__ import annotations

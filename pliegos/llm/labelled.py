@@ -1,4 +1,8 @@
-"""Bounded samples of labelled rows, and the split into rows to learn from and rows held out."""
+"""Bounded samples of labelled rows, and the split into rows to learn from and rows held out.
+
+Defined results: null ids and null labels take no part; an id labelled more than once counts with its largest label; labels other than 0 and 1 are left out; equal
+hashes are put in order by the id; an empty table gives no rows; other columns are not read.
+"""
 
 from __future__ import annotations
 

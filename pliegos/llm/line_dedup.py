@@ -93,8 +93,10 @@ def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
     """place, units (the words or characters of the line), low and high of the lines at ``places``."""
     wanted = places.groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "low", "high")).alias("wanted"))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _hash(F.col(text_col)).alias("v"), F.col(text_col).alias("t"))
-    met = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version"))).select("doc", "version", F.split("t", "\n").alias("all"), F.explode("wanted").alias("w"))
-    lines = met.select(F.struct("doc", "version", "w.pos").alias("place"), _normal(F.col("all")[F.col("w.pos")]).alias("norm"), "w.low", "w.high")
+    met = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version"))).select("doc", "version", F.split("t", "\n").alias("all"), "wanted")
+    # each wanted place with its own line: the others do not travel
+    own = met.select("doc", "version", F.explode(F.expr("transform(wanted, w -> struct(w.pos as pos, w.low as low, w.high as high, all[w.pos] as line))")).alias("w"))
+    lines = own.select(F.struct("doc", "version", "w.pos").alias("place"), _normal(F.col("w.line")).alias("norm"), "w.low", "w.high")
     units = F.when(_word_count(F.col("norm")) >= LEAST_WORDS, F.split("norm", " ")).otherwise(F.split("norm", ""))
     return lines.select("place", (_word_count(F.col("norm")) >= LEAST_WORDS).alias("by_words"), units.alias("units"), "low", "high").dropDuplicates(["place"])
 
@@ -170,7 +172,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = kept_lines(docs, id_col, text_col).select(F.col("doc").alias(free_name(docs, "line_doc")), F.col("version").alias(free_name(docs, "line_text")), F.col("kept").alias(kept))
     doc, text = found.columns[:2]
     lines = F.split(F.col(text_col), "\n")
-    stays = F.filter(lines, lambda line, i: (_normal(line) == "") | F.array_contains(F.coalesce(F.col(kept), F.array().cast("array<int>")), i))
+    # places without text, and places that stay, in order: a walk of the lines and one of the places
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(_normal(line) == "", i)), lambda i: i.isNotNull())
+    places = F.array_sort(F.concat(blank, F.coalesce(F.col(kept), F.array().cast("array<int>"))))
+    stays = F.transform(F.array(F.struct(lines.alias("all"), places.alias("places"))), lambda x: F.transform(x["places"], lambda i: x["all"][i]))[0]
     return (
         docs.withColumn(version, _hash(F.col(text_col)))
         .join(found, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(version) == F.col(text)), "left")

@@ -8,7 +8,8 @@ still has room. Only lengths travel: the ids stay in the task that makes them. A
 leaves about one sequence partly filled, so padding does not depend on the corpus size.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed like
-any others; an empty table gives an empty result; a null id is carried as null; columns
+any others; very long texts are encoded whole and cut; pieces of equal length are taken in the order of their numbers, and of
+sequences with equal room the first; an empty table gives an empty result; a null id is carried as null; columns
 besides the id and the text play no part.
 """
 

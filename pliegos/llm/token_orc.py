@@ -9,8 +9,8 @@ Files: doc_id; ids array<int>, the end id last; part int, the file's place among
 files; row long, the document's place in its file.
 
 Defined results: a null or empty text is the end id alone; rows repeated with one id follow
-each other in their input order; null ids come first; an empty table gives no rows;
-columns besides the id and the text play no part.
+each other in their input order; null ids come first; an empty table gives no rows; very long texts are
+encoded whole, as one row of one stripe; columns besides the id and the text play no part.
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ For such a tokenizer the ids of pieces are kept, and only pieces not yet seen go
 the library; so it is with whole chunks between blanks and line feeds. Chunks outside Latin-1
 go through the library whole, as do all texts with special tokens and all texts of tokenizers
 of another kind.
+
+Defined results: an empty text has no ids; callers give null texts as empty; very long texts are encoded whole; equal texts have equal ids, in
+any order and in any process.
 """
 
 from __future__ import annotations

@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from .staging import shuffle_partitions, staged
 
 SCHEMA_CHARACTERS, EDGES_IN_TASK = 1_000_000, 1_000_000
+#: After so many rounds what is settled is written, so that its plan stays short.
+STAGED_ROUNDS = 16
 KEY = ["conversation", "call_id"]
 ORDER = "ready long, wait long, cyclic boolean"
 
@@ -45,6 +47,15 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _whole(number: str) -> int | float:
+    return int(value) if (value := float(number)).is_integer() else value
+
+
+def _by_value(value: object) -> str:
+    """Canonical JSON in which numbers of one value are written alike."""
+    return canonical(json.loads(canonical(value), parse_float=_whole))
+
+
 def _is_number(value: object) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 
@@ -85,7 +96,7 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
     if kinds and not any(KINDS[k](value) for k in kinds):
         return [f"{path}: not of type {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
+    if "enum" in schema and _by_value(value) not in map(_by_value, schema["enum"]):
         out.append(f"{path}: not in enum")
     out += [f"{path}: {name} is {schema[name]}" for name, (own, fits) in LIMITS.items() if name in schema and own(value) and not fits(value, schema[name])]
     if isinstance(value, dict):
@@ -113,7 +124,7 @@ def parsed(text: str | None) -> tuple[bool, object]:
     """Whether a text is JSON that canonical JSON can hold, and its value."""
     try:
         value = json.loads(text, parse_constant=_refused, parse_float=_refused)
-        canonical(value).encode("utf-8")
+        canonical({"arguments": value}).encode("utf-8")  # as deep as the message will be
     except (TypeError, ValueError, RecursionError):
         return False, None
     return True, value
@@ -198,7 +209,11 @@ def _in_rounds(state: DataFrame, edges: DataFrame, first: DataFrame) -> DataFram
     done = start.where("settled").select(*KEY, F.col("position").alias("ready"), F.lit(0).cast("long").alias("wait"), F.lit(False).alias("cyclic"))
     left = staged(edges.join(open_.select("conversation", F.col("call_id").alias("needed")), ["conversation", "needed"], "left_semi"), "call-edges-open")
     # a call that is open may depend on a settled one, which stands before it: that moves nothing
+    rounds = 0
     while True:
+        rounds += 1
+        if rounds % STAGED_ROUNDS == 0:
+            done = staged(done, "call-done")
         free = staged(open_.join(left.select(*KEY).distinct(), KEY, "left_anti"), "call-free")
         if free.isEmpty():
             break
@@ -301,17 +316,28 @@ REPLY_SCHEMA = {
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a chat without tools: conv_id, turn, role, text.
 
-    A user's turn calls the tool ``reply`` and depends on the conversation's call two turns before, if
-    there is one; the assistant's next turn is the result. Turns of other roles are results of their own: no call asked for them.
+    A user's turn calls the tool ``reply``, the n-th of a conversation by its turn halved. Every third of them depends on the call two turns later, the one after
+    it on none, and all others on the call two turns before, if there is one; in every seventh conversation the second kind depends on the call before as well, so that
+    both wait for each other. Every fifth call writes its turn as text, and every eleventh leaves its arguments unfinished. The assistant's next turn
+    is the result. Turns of other roles are results of their own: no call asked for them.
     """
-    this, earlier = (F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string")) for back in (0, 2))
+
+    def place(move: int) -> Column:
+        return F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") + move).cast("string"))
+
+    none = F.array().cast("array<string>")
+    nth = F.floor(F.col("turn") / 2)
+    before = F.when(F.col("turn") >= 2, F.array(place(-2))).otherwise(none)
+    needed = F.when(nth % 3 == 0, F.array(place(2))).when((nth % 3 == 1) & (F.col("conv_id") % 7 != 0), none).otherwise(before)
+    earlier = F.when(F.col("turn") >= 2, place(-2))
+    as_number = F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"), earlier.alias("after")))
+    as_text = F.to_json(F.struct(F.col("turn").cast("string").alias("turn"), F.col("text").alias("prompt"), earlier.alias("after")))
+    written = F.when(nth % 5 == 4, as_text).otherwise(as_number)
     calls = turns.where(F.col("role") == "user").select(
-        F.col("conv_id").alias("conversation"), this.alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"), F.when(F.col("turn") >= 2, earlier).alias("after"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(earlier)).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.col("conv_id").alias("conversation"), place(0).alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"),
+        F.when(nth % 11 == 10, F.left(written, F.length(written) - 1)).otherwise(written).alias("arguments"), needed.alias("depends_on"),
     )
-    answered = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
     results = turns.where(~F.coalesce(F.col("role") == "user", F.lit(False))).select(
-        F.col("conv_id").alias("conversation"), F.when(F.col("role") == "assistant", answered).otherwise(this).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
+        F.col("conv_id").alias("conversation"), F.when(F.col("role") == "assistant", place(-1)).otherwise(place(0)).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
     )
     return calls, results

@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from pliegos.llm import tool_calls
+from pliegos.llm import queries, tool_calls
 
 CALLS = "conversation long, call_id string, position long, name string, arguments string, depends_on array<string>"
 RESULTS = "conversation long, call_id string, position long, content string"
@@ -101,6 +101,32 @@ def plain_order(positions, needs):
     return sorted(positions, key=key.__getitem__), cyclic
 
 
+def test_whole_table_equals_its_plain_version(spark, sf_dir):
+    """Order, cycles, missing dependencies and errors of every call of the table."""
+    turns = [r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
+    rows = queries.op2_tool_calls(spark, sf_dir).collect()
+    moved = wrong = 0
+    by_conversation = {}
+    for t in turns:
+        by_conversation.setdefault(t.conv_id, []).append(t)
+    for conversation, own in by_conversation.items():
+        asked = {f"{conversation}:{t.turn}": t for t in own if t.role == "user"}
+        needs, errors = {}, {}
+        for call, t in asked.items():
+            nth, later, before = t.turn // 2, f"{conversation}:{t.turn + 2}", [f"{conversation}:{t.turn - 2}"] if t.turn >= 2 else []
+            needs[call] = [later] if nth % 3 == 0 else [] if nth % 3 == 1 and conversation % 7 else before
+            errors[call] = ["$: not JSON"] if nth % 11 == 10 else (["$.prompt: minLength is 1"] if t.text == "" else ["$.prompt: missing"] if t.text is None else []) + (["$.turn: not of type integer"] if nth % 5 == 4 else [])
+        known = {c: [d for d in needed if d in asked] for c, needed in needs.items()}
+        order, cyclic = plain_order({c: t.turn for c, t in asked.items()}, known)
+        found = sorted((r for r in rows if r.conversation == conversation and r.n_calls), key=lambda r: r.place)
+        assert [r.call_id for r in found] == order and {r.call_id for r in found if r.cyclic} == cyclic
+        assert {r.call_id: r.missing_dependencies for r in found} == {c: len(needs[c]) - len(known[c]) for c in asked}
+        assert {r.call_id: r.errors for r in found} == errors
+        moved += order != sorted(order, key=lambda c: asked[c].turn)
+        wrong += len(cyclic)
+    assert moved > 5 and wrong > 1
+
+
 def random_conversations(seed, conversations=8, calls=14):
     r = random.Random(seed)
     for conversation in range(conversations):
@@ -143,10 +169,20 @@ def test_odd_arguments_give_json_and_no_error_ends_the_job(spark):
     assert json.loads(found["c\u001f6"].message)["arguments"] == {"a": 2}
 
 
+def test_arguments_are_as_deep_as_their_message_may_be():
+    import sys
+
+    for depth in range(sys.getrecursionlimit() - 60, 1100, 7):
+        good, value = tool_calls.parsed("[" * depth + "]" * depth)
+        if good:
+            tool_calls.canonical({"arguments": value, "id": "x", "name": "n", "result": None})
+
+
 def test_schema_keywords_judge_their_own_kind():
     check = tool_calls.violations
     assert check("abc", {"minimum": 3}) == check(3, {"minLength": 9}) == check(None, {"maxLength": 0, "maximum": -1}) == []
     assert check(2, {"type": ["string", "integer"]}) == [] and check(2.5, {"type": ["string", "integer"]}) == ["$: not of type string or integer"]
     assert check(True, {"type": "integer"}) and check(True, {"enum": [1]}) and not check(3.0, {"type": "integer"})
+    assert not check(1.0, {"enum": [1]}) and not check({"a": [2]}, {"enum": [{"a": [2.0]}]}) and check("1", {"enum": [1]}) and check(1.5, {"enum": [1]})
     with pytest.raises(ValueError):
         tool_calls.refuse_unknown_types({"properties": {"a": {"type": "text"}}})
