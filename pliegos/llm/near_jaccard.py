@@ -9,11 +9,11 @@ candidates are verified by the exact similarity of their sets of 64-bit shingle
 A candidate must agree in size and in all but ``MOST_DIFFER`` of 112 bits, one of each minimum: at 0.8 a pair fails that
 with a probability under 1e-8.
 
-A bucket holds the texts of one key. First each text meets the leader of a bucket, its smallest text: one leader, then those of its other
-buckets as far as they lie in other components. So a bucket of copies takes as many comparisons as it has texts. Buckets of ``WHOLE`` texts or fewer
-that this leaves in several components are then compared whole. Larger ones are dealt anew by the keys of each later band, and so again: texts at 0.8 that
-share one band share two more with a probability over 0.9999. Buckets that are still large and apart after ``DEPTH`` bands are compared whole, in steps that
-double, each text with those of other components only.
+A bucket holds the texts of one key, and counts while its texts lie in several components. First each text meets the leader of a bucket, its smallest text:
+one leader, then those of its other buckets as far as they lie in other components; at first for a few bands only, which joins most copies, so that a bucket of copies
+takes as many comparisons as it has texts. Buckets of ``WHOLE`` texts or fewer that this leaves open are then compared whole. The texts of larger ones
+are compared by prefixes of their shingles in an order that puts common ones last, which loses no pair: many texts that share a passage do not meet by it. Prefix
+buckets go the same way, and those that are still large and open are compared whole, in steps that double, each text with those of other components only.
 
 Words: runs without white space, A-Z as a-z. Defined results: texts of fewer words make one shingle;
 null and wordless texts are all alike; ids may be null or repeated, as texts are told apart by their hash; very long texts are read
@@ -36,7 +36,9 @@ from .components import components
 from .staging import free_name, staged
 
 SHINGLE, LEAST = 5, (4, 5)  # the similarity as a fraction
-BANDS, ROWS, WHOLE, DEPTH, MOST_DIFFER = 28, 4, 64, 3, 32
+BANDS, ROWS, FIRST_BANDS, WHOLE, MOST_DIFFER = 28, 4, 4, 64, 32
+#: Shingles that so many texts hold count as common; so many of them are told to all tasks, and so many nodes.
+COMMON_FROM, COMMON, BROADCAST_NODES = 16, 1 << 18, 1 << 20
 SHINGLES_AT_ONCE, KEPT = 1 << 14, 400_000
 
 _draw = np.random.default_rng(42)
@@ -119,15 +121,21 @@ def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """node and shingles of the texts among ``nodes``."""
+    """node and shingles of the texts among ``nodes``. Few nodes are told to all tasks, so that other texts never travel."""
+    nodes = staged(nodes.distinct(), "wanted-nodes")
+    few = nodes.count() <= BROADCAST_NODES
+    told = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.node for r in nodes.collect()], "i8"))) if few else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t in enumerate(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([shingles(t.as_py()).view("i8")], pa.list_(pa.int64()))], ["node", "shingles"])
+            wanted = np.flatnonzero(np.isin(b.column(0).to_numpy(zero_copy_only=False), told.value)) if few else range(len(b))
+            for k in wanted:
+                found = shingles(b.column(1)[int(k)].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([found.view("i8")], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    rows = _texts(docs, text_col).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    return staged(rows.mapInArrow(cut, "node long, shingles array<long>"), "shingle-sets")
+    rows = _texts(docs, text_col)
+    rows = rows if few else rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return staged(rows.mapInArrow(cut, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,99 +161,142 @@ def _fingerprint_links(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _alike(x: str, y: str) -> Column:
-    """Whether two rows' sizes and signatures allow a similarity of LEAST."""
+    """Whether two rows lie in different components, and their sizes and signatures allow a similarity of LEAST."""
     part, whole = LEAST
     smaller, larger = F.least(f"{x}.n", f"{y}.n").cast("long"), F.greatest(f"{x}.n", f"{y}.n").cast("long")
     differ = sum(F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in (0, 1))
-    return (smaller * whole >= larger * part) & (differ <= MOST_DIFFER)
+    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (smaller * whole >= larger * part) & (differ <= MOST_DIFFER)
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows (key, band, node, n, s0, s1) of keys with two texts or more, and the smallest node of each key as leader."""
-    leaders = staged(rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"), "band-leaders")
-    return staged(rows.join(leaders, "key"), "band-members")
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, s0, s1, root) of keys whose texts lie in several components, with the key's smallest node as leader and its number of texts."""
+    ends = [F.min("root").alias("first"), F.max("root").alias("last"), F.min("node").alias("leader"), F.count(F.lit(1)).alias("many")]
+    keys = staged(rows.groupBy("key").agg(*ends).where("first <> last").select("key", "leader", "many"), "open-keys")
+    return staged(rows.join(keys, "key"), "open-buckets")
 
 
 def _with_leaders(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's leader and another of its texts, once however many buckets they share."""
-    lead = members.where("node = leader").select("key", "node", "n", "s0", "s1").alias("x")
+    lead = members.where("node = leader").select("key", "node", "n", "s0", "s1", "root").alias("x")
     other = members.where("node <> leader").alias("y")
     return other.join(lead, (F.col("x.key") == F.col("y.key")) & _alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _all_of(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of a bounded size; those with the leader have been compared."""
+    x, y = members.where("node <> leader").alias("x"), members.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _alike("x", "y"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _apart(labels: DataFrame) -> DataFrame:
-    """The keys whose texts lie in several components, and how many texts they have."""
-    sizes = labels.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("first"), F.max("root").alias("last"))
-    return sizes.where("first <> last").select("key", "many")
+def _by_leaders(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """``found`` after each text has met the leaders of its buckets: one of them first, then the others of texts that are still apart."""
+    asked = staged(_with_leaders(members), "leader-pairs")
+    one = asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = _joined(found, _near(one, sets))
+    ends = [found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    rest = asked.join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return _joined(found, _near(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), sets))
 
 
-def _all_of(labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in buckets of a bounded size; those with the leader have been compared."""
-    x, y = labels.where("node <> leader").alias("x"), labels.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y"))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def _in_small(members: DataFrame, found: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found`` after buckets of WHOLE texts or fewer have been compared whole, and the larger ones that are open then."""
+    still = _open(_rooted(members.drop("leader", "many"), found))
+    found = _joined(found, _near(_all_of(still.where(F.col("many") <= WHOLE)), sets))
+    large = still.where(F.col("many") > WHOLE).drop("leader", "many")
+    return found, _open(_rooted(large, found))
 
 
-def _across(labels: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """``found`` after all pairs of different components in buckets of any size.
 
     The texts of a bucket stand in the order of their components; each meets those before its own component, in steps that double, until
     its bucket is one component or nothing is left.
     """
-    placed = numbered_in(labels, ["key"], ["root", "node"], "place")
+    placed = numbered_in(members.drop("leader", "many"), ["key"], ["root", "node"], "place")
     starts = placed.groupBy("key", "root").agg(F.min("place").alias("start"))
-    placed = staged(placed.join(starts, ["key", "root"]).drop("root"), "places")
+    placed = staged(placed.join(starts, ["key", "root"]), "places")
     low, most = 0, placed.agg(F.coalesce(F.max("start"), F.lit(1))).first()[0] - 1
     while low < most:
-        now = _labelled(placed, found)
-        now = staged(now.join(_apart(now).select("key"), "key", "left_semi"), "places-apart")
+        now = _open(_rooted(placed, found)).drop("leader", "many")
+        if now.isEmpty():
+            break
         asked = now.where(F.col("start") - 1 > low).withColumn("other", F.explode(F.sequence(F.lit(low + 1), F.least(F.col("start") - 1, F.lit(2 * low + 1)))))
         x, y = now.alias("x"), asked.alias("y")
-        met = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.other")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y"))
-        found = _joined(found, staged(_verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets), "near-pairs"))
+        met = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.other")) & _alike("x", "y"))
+        found = _joined(found, _near(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets))
         low = 2 * low + 1
     return found
 
 
+def _prefixes(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, node, n, s0, s1, root) with a key for each shingle of a prefix of each text: two texts at LEAST or more share one of them.
+
+    In any one order of all shingles, texts of n shingles at 4/5 or more share one among the first n - ceil(4 n / 5) + 1. The
+    order here puts those last that many texts hold, so that a passage that many documents share is in few prefixes; which those are is counted
+    over all of ``texts``, and the commonest ``COMMON`` are told to all tasks.
+    """
+    held = sets.join(texts.select("node"), "node", "left_semi")
+    counts = held.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") >= COMMON_FROM)
+    common = sorted((r.key, r.many) for r in counts.orderBy(F.desc("many"), "key").limit(COMMON).collect())
+    told = texts.sparkSession.sparkContext.broadcast((np.array([k for k, _ in common], "i8"), np.array([m for _, m in common], "i8")))
+    part, whole = LEAST
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, many = told.value
+        for b in batches:
+            for k in range(len(b)):
+                s = b.column(1)[k].values.to_numpy()
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1) if len(keys) else None
+                weight = np.where(keys[at] == s, many[at], 0) if len(keys) else np.zeros(len(s), "i8")
+                first = s[np.lexsort((s, weight))[: len(s) - -(-part * len(s) // whole) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0)[k].as_py(), len(first)), pa.int64()), pa.array(first, pa.int64())], ["node", "key"])
+
+    return held.select("node", "shingles").mapInArrow(cut, "node long, key long").join(texts, "node").select("key", "node", "n", "s0", "s1", "root")
+
+
 def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """node and root of the texts that are near another; the root has no row."""
     sketches = _sketches(docs, text_col)
-    members = _buckets(sketches.select("node", "n", "s0", "s1", F.posexplode("keys").alias("band", "key")))
-    by_fingerprint = staged(_fingerprint_links(docs, text_col), "fingerprint-pairs")
-    nodes = members.select("node").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()
-    sets = _sets(docs, nodes, text_col)
-    first = by_fingerprint.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def bucketed(found: DataFrame, bands: int) -> DataFrame:
+        rows = _rooted(sketches, found).select("node", "n", "s0", "s1", "root", F.explode(F.slice("keys", 1, bands)).alias("key"))
+        return _open(rows)
+
+    by_fingerprint = staged(_fingerprint_links(docs, text_col).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-pairs")
     found = docs.sparkSession.createDataFrame([], "node long, root long")
-    for depth in range(DEPTH):
-        # one leader for each text, then the others of those still apart
-        asked = staged(_with_leaders(members), "leader-pairs")
-        one = asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = _joined(found, staged(_verified(one.union(first).distinct() if depth == 0 else one, sets), "near-pairs"))
-        ends = [found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
-        rest = asked.join(one, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-        found = _joined(found, staged(_verified(rest, sets), "near-pairs"))
-        for whole in (True, False):
-            labels = _labelled(members, found)
-            apart = _apart(labels).where(F.col("many") <= WHOLE if whole else F.col("many") > WHOLE).select("key")
-            labels = staged(labels.join(apart, "key", "left_semi"), "bands-apart")
-            if whole:
-                found = _joined(found, staged(_verified(_all_of(labels), sets), "near-pairs"))
-        if labels.isEmpty():
-            return found
-        if depth + 1 < DEPTH:
-            # a large bucket is dealt anew by each later band
-            keyed = labels.join(sketches.select("node", F.posexplode("keys").alias("next", "also")), "node").where("next > band")
-            members = _buckets(keyed.select("node", "n", "s0", "s1", F.col("next").alias("band"), F.xxhash64("key", "also").alias("key")))
-    return _across(labels, found, sets)
+    # a few bands and the fingerprints join most copies, whose buckets are then of one component in all bands
+    members = bucketed(found, FIRST_BANDS)
+    ends = by_fingerprint.select(F.col("a").alias("node")).union(by_fingerprint.select("b"))
+    sets = _sets(docs, members.select("node").union(ends), text_col)
+    found = _joined(found, _near(by_fingerprint, sets))
+    found = _by_leaders(_open(_rooted(members.drop("leader", "many"), found)), found, sets)
+    members = bucketed(found, BANDS)
+    more = members.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(_sets(docs, more, text_col))
+    found = _by_leaders(members, found, sets)
+    found, large = _in_small(members, found, sets)
+    if large.isEmpty():
+        return found
+    texts = staged(large.select("node", "n", "s0", "s1", "root").dropDuplicates(["node"]), "texts-apart")
+    members = _open(staged(_prefixes(texts, sets), "prefixes"))
+    found = _by_leaders(members, found, sets)
+    found, large = _in_small(members, found, sets)
+    return found if large.isEmpty() else _across(large, found, sets)
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return staged(_verified(pairs, sets), "near-pairs")
 
 
 def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
     """node and root after further links (a, b): only the roots that they touch are joined anew."""
+    if more.isEmpty():
+        return found
     ends = [found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
     touched = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     moved = components(touched.where("a <> b").distinct())

@@ -66,11 +66,12 @@ def test_null_and_repeated_ids_keep_different_texts(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (7, c), (7, a + " z")])
 
 
-@pytest.mark.parametrize(("whole", "depth"), [(2, 1), (3, 3)])
-def test_buckets_of_any_size_are_compared_to_the_end(spark, monkeypatch, whole, depth):
+@pytest.mark.parametrize(("whole", "common", "nodes"), [(2, 4, 1 << 20), (1, 0, 0)])
+def test_buckets_of_any_size_are_compared_to_the_end(spark, monkeypatch, whole, common, nodes):
     """Families of many texts that share most of their words but are apart, and chains of near copies in them."""
     monkeypatch.setattr(near_jaccard, "WHOLE", whole)
-    monkeypatch.setattr(near_jaccard, "DEPTH", depth)
+    monkeypatch.setattr(near_jaccard, "COMMON", common)
+    monkeypatch.setattr(near_jaccard, "BROADCAST_NODES", nodes)
     r = random.Random(11)
     words = [f"w{i}" for i in range(400)]
     texts = []
