@@ -89,19 +89,15 @@ def family_of_section(code: Column) -> Column:
     return F.when(code.startswith("5"), "anuncio_expediente").when(code == "3", "sancion_firme").when(code == "4", "administracion_justicia").otherwise("otro")
 
 
-def _literals(patterns: list[str]) -> str:
-    """One plain pattern that matches wherever any of the patterns could: their longest runs of letters."""
-    runs = set()
-    for p in patterns:
-        plain = re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]\??|\\.|\.\*|.\?", " ", p)
-        runs.add(max(re.findall("[a-zñáéíóúü]+", plain), key=len))
-    return "|".join(sorted(r for r in runs if not any(o != r and o in r for o in runs)))
+def _literal(pattern: str) -> str:
+    """A run of letters that stands in whatever the pattern matches: the longest one outside of choices and options."""
+    plain = re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]\??|\\.|\.\*|.\?", " ", pattern)
+    return max(re.findall("[a-zñáéíóúü]+", plain), key=len)
 
 
 def _hit_numbers(text: Column, patterns: list[str]) -> Column:
-    """The numbers of the patterns that match, in the order of the table; the text is scanned once for all of them first."""
-    hits = F.filter(F.array(*[F.when(_matches(text, p), F.lit(k)) for k, p in enumerate(patterns)]), lambda x: x.isNotNull())
-    return F.when(text.rlike(_literals(patterns)), hits).otherwise(F.array().cast("array<int>"))
+    """The numbers of the patterns that match, in the order of the table; a pattern is tried only where its letters stand, which is a plain search of bytes."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(_literal(p))) & _matches(text, p), F.lit(k)) for k, p in enumerate(patterns)]))
 
 
 def _once(value: Column, use) -> Column:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import present
+from ..functions import text
+from . import merge
+from .relational import numbered, numbered_in, present
 
 # Fields one of which makes a case worth keeping, and the form of contact data.
 SUBSTANTIVE = ["nombre", "identificador", "expediente", "matricula_coche", "razon_sancion"]
@@ -80,3 +82,45 @@ def extraction(chosen: DataFrame, done: DataFrame, extractor: Extractor, most: i
     todo = chosen if force else chosen.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
     taken = todo.orderBy(F.desc("score"), "doc_id").limit(most).withColumn("texto", F.substring("texto", 1, EXTRACTED_TEXT))
     return taken.select("doc_id").join(extractor(taken), "doc_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
+
+
+# Fields of which a change by hand settles the contact.
+CONTACT_FIELDS = ["telefono", "email", "web", "linkedin_url", "telefono_secundario", "facebook_url", "instagram_url", "twitter_url"]
+
+
+def edited(rows: DataFrame, patches: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """``rows`` after partial updates by hand (``merge.patched``). One that names a contact field settles the contact: as manual while a phone or a mail
+    is there, else as pending again, without its source."""
+    touched = patches.where(F.arrays_overlap(F.map_keys("changes"), F.array(*[F.lit(c) for c in CONTACT_FIELDS]))).select(*keys, F.lit(True).alias("_touched")).dropDuplicates(keys)
+    met = merge.patched(rows, patches, keys).join(touched, keys, "left")
+    touched, there = F.col("_touched").isNotNull(), present(F.col("telefono")) | present(F.col("email"))
+    derived = {"contacto_estado": ("manual", "pendiente"), "contacto_fuente": ("manual", None), "contacto_confidence": (1.0, None), "contacto_actualizado_at": (now, None)}
+    for name, (known, unknown) in derived.items():
+        kind = dict(rows.dtypes)[name]
+        met = met.withColumn(name, F.when(touched & there, F.lit(known).cast(kind)).when(touched, F.lit(unknown).cast(kind)).otherwise(F.col(name)))
+    return met.withColumn("contacto_url", F.when(~touched | there, F.col("contacto_url"))).select(*rows.columns)
+
+
+def by_holder(items: DataFrame, client: str, holder: str, order: list[str], nobody: str = "Sin titular") -> DataFrame:
+    """``items`` of each client grouped by holder: the holders in the order in which they are first seen (holder_place), and each one's items (item_place), from 1."""
+    named = items.withColumn(holder, F.coalesce(F.nullif(holder, F.lit("")), F.lit(nobody)))
+    placed = numbered_in(numbered_in(named, [client], order, "_seen"), [client, holder], order, "item_place")
+    first = placed.groupBy(client, holder).agg(F.min("_seen").alias("_first"))
+    return placed.join(numbered_in(first, [client], ["_first"], "holder_place").drop("_first"), [client, holder]).drop("_seen")
+
+
+def migrated(cases: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases of the time before codes and keys, and their documents.
+
+    ``cases``: id, doc_id, identificador, nombre, expediente, matricula_coche; ``documents``: doc_id, fecha. Cases get codigo, numbered in each year by day and id, origen_clave and
+    estado; a key that an earlier case has ends in the case's id. Documents get extraction_status: whether any case came from them.
+    """
+    key = text.natural_key(*[F.col(c) for c in ("doc_id", "identificador", "nombre", "expediente", "matricula_coche")])
+    dated = cases.join(documents.select("doc_id", "fecha"), "doc_id").withColumn("_key", key)
+    coded = numbered(dated, F.year("fecha"), [F.col("fecha"), F.col("id")])
+    placed = numbered_in(coded, ["_key"], ["fecha", "id"], "_occurrence")
+    ending = F.lower(F.hex("id"))
+    own = F.concat(F.substring("_key", 1, 56), F.when(F.length(ending) < 8, F.lpad(ending, 8, "0")).otherwise(ending))
+    rows = placed.select(*cases.columns, text.code("OP", F.col("year"), F.col("number"), 6).alias("codigo"), F.when(F.col("_occurrence") == 1, F.col("_key")).otherwise(own).alias("origen_clave"), F.lit("nueva").alias("estado"))
+    held = cases.select("doc_id").distinct().withColumn("_held", F.lit(True))
+    return rows, documents.join(held, "doc_id", "left").withColumn("extraction_status", F.when(F.col("_held"), "completed").otherwise("pending")).drop("_held")

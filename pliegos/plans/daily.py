@@ -217,3 +217,38 @@ def run(
         "documents": documents, "index": index, "cases": staged(cases, "cases"), "activities": staged(activities, "activities"), "notifications": staged(notifications, "notifications"),
         "results": results, "runs": staged(runs, "runs"), "quarantine": staged(quarantine, "quarantine"),
     }
+
+
+#: Results that one request extracts at most.
+MOST_RESULTS = 3
+
+
+def extract_results(
+    results: DataFrame, chosen: DataFrame, documents: DataFrame, extractor: Callable[[DataFrame], DataFrame], runs: DataFrame, today: Column, most: int = MOST_RESULTS, force: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of chosen results of the history search: the next results, the activities, and the next runs with a row of the kind historico_cliente.
+
+    ``results``: subject_id, doc_id, extraido, datos, error and any others; ``chosen``: subject_id, doc_id, ord; ``documents``: doc_id, titulo, texto. Chosen results are taken in
+    their order, at most ``most``; unknown ones, and those that are done unless forced, do not count. ``extractor`` gives doc_id, datos and error
+    (null where it went well); a document that it does not answer is an error.
+    """
+    key = ["subject_id", "doc_id"]
+    known = results.select(*key, F.coalesce("extraido", F.lit(False)).alias("_done"))
+    todo = chosen.dropDuplicates(key).join(known, key)
+    taken = (todo if force else todo.where(~F.col("_done"))).orderBy("ord", *key).limit(most)
+    asked = staged(taken.select(*key).join(documents, "doc_id", "left").withColumn("texto", F.substring(F.coalesce("texto", F.lit("")), 1, desk.EXTRACTED_TEXT)), "results-asked")
+    answers = extractor(asked.select("doc_id", "titulo", "texto").dropDuplicates(["doc_id"])).select("doc_id", F.col("datos").alias("_datos"), F.col("error").alias("_error"))
+    found = staged(asked.join(answers, "doc_id", "left").withColumn("_error", F.when(F.col("_datos").isNull(), F.substring(F.coalesce("_error", F.lit("no answer")), 1, 2000))), "results-extracted")
+    told = found.select(*key, F.lit(True).alias("_asked"), "_datos", "_error")
+    good = F.col("_asked").isNotNull() & F.col("_datos").isNotNull()
+    met = results.join(told, key, "left").withColumns({
+        "extraido": F.coalesce(F.when(good, True), F.col("extraido"), F.lit(False)), "datos": F.when(good, F.col("_datos")).otherwise(F.col("datos")),
+        "error": F.when(good, F.lit(None).cast("string")).when(F.col("_asked").isNotNull(), F.col("_error")).otherwise(F.col("error")),
+    })
+    title = F.concat(F.lit("Extracción histórica: "), F.substring(F.coalesce("titulo", F.lit("")), 1, 200))
+    activities = found.where("_datos is not null").select(F.col("subject_id").alias("cliente_id"), "doc_id", F.lit("sistema").alias("tipo"), title.alias("titulo"))
+    zero = F.lit(0).cast("long")
+    row = found.agg(F.count(F.lit(1)).alias("candidates"), F.count("_datos").alias("extracted"), F.count("_error").alias("errors")).select(
+        today.alias("fecha"), F.lit("historico_cliente").alias("tipo"), F.lit("completed").alias("status"), zero.alias("total_docs"), zero.alias("scanned"), "candidates", zero.alias("created"), "extracted", zero.alias("assigned"), "errors"
+    )
+    return met.select(*results.columns), activities, runs.unionByName(row)

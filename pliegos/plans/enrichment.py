@@ -17,6 +17,16 @@ SOCIAL_FIELDS = FIELDS[4:]
 LEAST_CONFIDENCE, LEGAL_PAGES, CACHE_DAYS = 0.6, 3, 30
 
 
+def pending(parties: DataFrame, documents: DataFrame, most: int, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """The first ``most`` parties that are pending, by case_id; documents (doc_id, fecha_publicacion) are read only where a bound of their day is given."""
+    rows = parties.where("contacto_estado = 'pendiente'")
+    if first is not None or last is not None:
+        day = F.col("fecha_publicacion")
+        within = relational.all_of(None if first is None else day >= first, None if last is None else day <= last)
+        rows = rows.join(documents.select("doc_id", "fecha_publicacion").where(within), "doc_id", "left_semi")
+    return rows.orderBy("case_id").limit(most)
+
+
 def is_identifier(name: Column) -> Column:
     """Whether a name is a fiscal identifier and no name."""
     return F.coalesce(F.upper(F.trim(name)).rlike("^[0-9A-Z]{8,9}$"), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
-from ..operators import merge
+from ..operators import desk, merge
 from ..operators.postings import Postings
 from ..sources import gazette
 from ..streaming import cache
@@ -395,15 +395,15 @@ def contact_runs(t: Tables) -> DataFrame:
 # Smaller projections
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'https://h/' || doc_id WHEN doc_id % 5 = 1 THEN 'https://p/' || doc_id WHEN doc_id % 5 = 2 THEN 'https://b/txt.php?id=BOE-A-' || doc_id
-    ELSE 'https://b/dias/' || strftime(DATE '2026-01-05' + CAST(doc_id % 40 AS INT), '%Y/%m/%d') || '/' END AS url FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'https://h/' || doc_id WHEN 1 THEN 'https://www.boe.es/h/' || doc_id WHEN 2 THEN 'https://www.boe.es/p/' || doc_id WHEN 3 THEN 'https://www.boe.es/boe_n/dias/'
+    || strftime(DATE '2026-01-05' + CAST(doc_id % 40 AS INT), '%Y/%m/%d') || '/not.php?id=BOE-N-' || doc_id ELSE 'https://www.boe.es/diario_boe/txt.php?id=BOE-A-' || doc_id END AS url FROM documents""")
 def document_addresses(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     key = d.cast("string")
-    html, pdf = F.when(d % 5 == 0, F.concat(F.lit("https://h/"), key)).otherwise(" "), F.when(d % 5 < 2, F.concat(F.lit("https://p/"), key))
-    ident = F.concat(F.when(d % 5 == 2, "BOE-A-").otherwise("X-"), key)
+    html = F.when(d % 5 == 0, F.concat(F.lit("https://h/"), key)).when(d % 5 == 1, F.concat(F.lit("/h/"), key)).otherwise("")
+    pdf = F.when(d % 5 == 1, "x").when(d % 5 == 2, F.concat(F.lit("/p/"), key))
     day = F.date_add(F.lit("2026-01-05").cast("date"), (d % 40).cast("int"))
-    return t.documents.select("doc_id", gazette.document_url(html, pdf, ident, day, "https://b").alias("url"))
+    return t.documents.select("doc_id", gazette.document_url(html, pdf, F.concat(F.when(d % 5 == 3, "BOE-N-").otherwise("BOE-A-"), key), day).alias("url"))
 
 
 @query("""SELECT doc_id, length(CASE WHEN trim(x) <> '' THEN trim(x) WHEN doc_id % 3 = 1 THEN 'pagina' WHEN doc_id % 3 = 2 THEN 'pdf' ELSE '' END) AS n,
@@ -429,3 +429,117 @@ def record_values(t: Tables) -> DataFrame:
     written = F.when(k % 4 < 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 2, "31/12/2026").otherwise("")
     record = F.create_map(F.lit("estado"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise(""), F.lit("nota"), F.lit(None).cast("string"), F.lit("fuente"), F.lit("clave"))
     return t.orders.select("o_orderkey", text.iso_date(written).alias("day"), F.array_join(F.map_values(text.given(record)), ",").alias("given"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN '1' END AS tel, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 END AS what FROM orders),
+    p AS (SELECT k, what, CASE what WHEN 0 THEN '9' WHEN 1 THEN NULL ELSE tel END AS tel FROM o)
+    SELECT k AS o_orderkey, tel AS telefono, CASE WHEN what IS NULL THEN 'encontrado' WHEN tel IS NULL THEN 'pendiente' ELSE 'manual' END AS state, CASE WHEN what IS NULL THEN 'web' WHEN tel IS NOT NULL THEN 'manual' END AS source,
+           CASE WHEN what IS NULL OR tel IS NOT NULL THEN 'u' END AS url, CASE WHEN what IS NULL THEN 0.6::DOUBLE WHEN tel IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM p""")
+def manual_contacts(t: Tables) -> DataFrame:
+    """Edits by hand that give a phone, clear both ways, name another contact field, or none."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    rows = t.orders.select(
+        k, F.when(k % 3 == 0, "1").alias("telefono"), none.alias("email"), none.alias("web"), F.lit("encontrado").alias("contacto_estado"), F.lit("web").alias("contacto_fuente"), F.lit("u").alias("contacto_url"),
+        F.lit(0.6).alias("contacto_confidence"), F.lit(None).cast("timestamp").alias("contacto_actualizado_at"), F.lit("").alias("nota"),
+    )
+    given = (
+        F.when(k % 4 == 0, F.create_map(F.lit("telefono"), F.lit("9"))).when(k % 4 == 1, F.create_map(F.lit("telefono"), none, F.lit("email"), none))
+        .when(k % 4 == 2, F.create_map(F.lit("web"), F.lit("w"))).otherwise(F.create_map(F.lit("nota"), F.lit("x")))
+    )
+    done = desk.edited(rows, t.orders.select(k, given.alias("changes")), ["o_orderkey"], F.lit("2026-01-01").cast("timestamp"))
+    return done.select("o_orderkey", "telefono", F.col("contacto_estado").alias("state"), F.col("contacto_fuente").alias("source"), F.col("contacto_url").alias("url"), F.col("contacto_confidence").alias("confidence"))
+
+
+_OLD_CASES = """c AS (SELECT o_orderkey AS id, DATE '2020-01-01' + CAST(c_custkey % 1500 AS INT) AS day, sha256(concat_ws(chr(31), 'D' || o_custkey, o_orderstatus, '', '', '')) AS key FROM orders JOIN customer ON c_custkey = o_custkey),
+    n AS (SELECT *, row_number() OVER (PARTITION BY year(day) ORDER BY day, id) AS number, row_number() OVER (PARTITION BY key ORDER BY day, id) AS again FROM c)"""
+
+
+def _old_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
+    none = F.lit(None).cast("string")
+    doc = lambda c: F.concat(F.lit("D"), F.col(c).cast("string"))
+    cases = t.orders.select(F.col("o_orderkey").alias("id"), doc("o_custkey").alias("doc_id"), F.concat(F.lit(" "), F.lower("o_orderstatus")).alias("identificador"), none.alias("nombre"), none.alias("expediente"), none.alias("matricula_coche"))
+    return cases, t.customer.select(doc("c_custkey").alias("doc_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int")).alias("fecha"))
+
+
+@query(f"""WITH {_OLD_CASES} SELECT id, 'OP-' || year(day) || '-' || lpad(CAST(number AS VARCHAR), CAST(greatest(6, length(CAST(number AS VARCHAR))) AS INT), '0') AS codigo, CASE WHEN again = 1 THEN key ELSE substr(key, 1, 56) || lpad(lower(to_hex(id)), 8, '0') END AS key FROM n""")
+def migrated_cases(t: Tables) -> DataFrame:
+    """Orders as cases of the time before codes, customers as their documents: cases are numbered by year, and keys that repeat told apart."""
+    return desk.migrated(*_old_cases(t))[0].select("id", "codigo", F.col("origen_clave").alias("key"))
+
+
+@query("SELECT 'D' || c_custkey AS doc_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'completed' ELSE 'pending' END AS status FROM customer")
+def migrated_documents(t: Tables) -> DataFrame:
+    return desk.migrated(*_old_cases(t))[1].select("doc_id", F.col("extraction_status").alias("status"))
+
+
+@query("""(SELECT 'all' AS what, o_orderkey AS case_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 30)
+    UNION ALL (SELECT 'since', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_orderkey LIMIT 20)
+    UNION ALL (SELECT 'between', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' ORDER BY o_orderkey LIMIT 20)""")
+def pending_parties(t: Tables) -> DataFrame:
+    """What a batch would take next: of all, from a day on, and between two days."""
+    key = F.col("o_orderkey")
+    parties = t.orders.select(key.alias("case_id"), key.alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "pendiente").otherwise("manual").alias("contacto_estado"))
+    documents = t.orders.select(key.alias("doc_id"), F.to_date("o_orderdate").alias("fecha_publicacion"))
+    date = lambda x: F.lit(x).cast("date")
+    picks = {"all": (30, None, None), "since": (20, date("1997-01-01"), None), "between": (20, date("1995-01-01"), date("1995-12-31"))}
+    return functools.reduce(DataFrame.unionByName, [enrichment.pending(parties, documents, n, a, b).select(F.lit(what).alias("what"), "case_id") for what, (n, a, b) in picks.items()])
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Sin titular' ELSE o_orderstatus END AS holder FROM orders),
+    f AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, holder) AS first FROM o)
+    SELECT o_custkey, holder, dense_rank() OVER (PARTITION BY o_custkey ORDER BY first) AS holder_place, row_number() OVER (PARTITION BY o_custkey, holder ORDER BY o_orderkey) AS item_place, o_orderkey FROM f""")
+def grouped_by_holder(t: Tables) -> DataFrame:
+    items = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("holder"))
+    return desk.by_holder(items, "o_custkey", "holder", ["o_orderkey"]).select("o_custkey", "holder", "holder_place", "item_place", "o_orderkey")
+
+
+@query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_size DESC, p_partkey) AS BIGINT) AS place FROM part")
+def listed_versions(t: Tables) -> DataFrame:
+    """Documents of a client by kind, of each kind the latest version first."""
+    rows = t.part.select("p_brand", "p_type", (-F.col("p_size")).alias("back"), "p_partkey")
+    return catalogue.relational.numbered_in(rows, ["p_brand"], ["p_type", "back", "p_partkey"], "place").select("p_brand", "p_partkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT o_orderkey, 'BOE-A-' || o_orderkey AS boe_id, strftime(o_orderdate, '%Y-%m-%d') AS fecha_publicacion, c_name AS titulo_documento, 'https://www.boe.es/diario_boe/txt.php?id=BOE-A-' || o_orderkey AS url_documento, CAST(o_totalprice AS DECIMAL(14,2)) AS importe
+    FROM orders JOIN customer ON c_custkey = o_custkey""")
+def case_records(t: Tables) -> DataFrame:
+    """Cases with what a reader of the list gets of their documents."""
+    key = F.concat(F.lit("BOE-A-"), F.col("o_orderkey").cast("string"))
+    none = F.lit(None).cast("string")
+    met = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return met.select(
+        "o_orderkey", key.alias("boe_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha_publicacion"), F.col("c_name").alias("titulo_documento"),
+        gazette.document_url(none, none, key, F.to_date("o_orderdate")).alias("url_documento"), F.col("o_totalprice").cast("decimal(14,2)").alias("importe"),
+    )
+
+
+_CHOSEN = """r AS (SELECT o_custkey AS c, o_orderkey AS o, o_orderkey % 2 = 0 AS done FROM orders), h AS (SELECT *, o_orderstatus = 'P' AS wanted FROM r JOIN orders ON o_orderkey = o),
+    a AS (SELECT c, o FROM h WHERE wanted AND NOT done ORDER BY o DESC LIMIT 5), b AS (SELECT c, o FROM h WHERE wanted AND (NOT done AND NOT (o IN (SELECT o FROM a WHERE o % 3 > 0))) ORDER BY o DESC LIMIT 5)"""
+
+
+@query(f"""WITH {_CHOSEN} SELECT 'result' AS what, o AS key, concat_ws('|', done OR (o % 3 > 0 AND (o IN (SELECT o FROM a) OR o IN (SELECT o FROM b))),
+        CASE WHEN o % 3 > 0 AND (o IN (SELECT o FROM a) OR o IN (SELECT o FROM b)) THEN 'n' || o END, CASE WHEN o % 3 = 0 AND (o IN (SELECT o FROM a) OR o IN (SELECT o FROM b)) THEN 'no answer' END) AS value FROM r
+    UNION ALL SELECT 'activity', o, 'Extracción histórica: D' || o FROM (FROM a UNION ALL FROM b) WHERE o % 3 > 0
+    UNION ALL SELECT 'run', 0, concat_ws('|', count(*), count(*) FILTER (o % 3 > 0), count(*) FILTER (o % 3 = 0)) FROM a UNION ALL SELECT 'run', 0, concat_ws('|', count(*), count(*) FILTER (o % 3 > 0), count(*) FILTER (o % 3 = 0)) FROM b""")
+def extracted_results(t: Tables) -> DataFrame:
+    """Two requests for the same results, newest first: the second goes on where the first ended; every third document gets no answer."""
+    o = F.col("o_orderkey")
+    doc = F.concat(F.lit("D"), o.cast("string"))
+    results = t.orders.select(F.col("o_custkey").alias("subject_id"), doc.alias("doc_id"), (o % 2 == 0).alias("extraido"), F.lit(None).cast("string").alias("datos"), F.lit(None).cast("string").alias("error"))
+    chosen = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("subject_id"), doc.alias("doc_id"), (-o).alias("ord"))
+    documents = t.orders.select(doc.alias("doc_id"), doc.alias("titulo"), o.cast("string").alias("texto"))
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return asked.where("cast(texto as long) % 3 > 0").select("doc_id", F.concat(F.lit("n"), "texto").alias("datos"), F.lit(None).cast("string").alias("error"))
+
+    runs, acts = t.spark.createDataFrame([], daily.RUN), []
+    for _ in range(2):
+        results, activities, runs = daily.extract_results(results, chosen, documents, answered, runs, F.lit("2026-01-01").cast("date"), most=5)
+        results, runs = scratch.staged(results, "results"), scratch.staged(runs, "runs")
+        acts.append(scratch.staged(activities, "activities"))
+    number = F.substring("doc_id", 2, 20).cast("long").alias("key")
+    rows = [results.select(F.lit("result").alias("what"), number, F.concat_ws("|", F.col("extraido").cast("string"), "datos", "error").alias("value"))]
+    rows += [a.select(F.lit("activity").alias("what"), number, F.col("titulo").alias("value")) for a in acts]
+    rows.append(runs.select(F.lit("run").alias("what"), F.lit(0).cast("long").alias("key"), F.concat_ws("|", "candidates", "extracted", "errors").alias("value")))
+    return functools.reduce(DataFrame.unionByName, rows)

@@ -156,14 +156,19 @@ def best_text(xml: Column, html: Column, pdf: Column) -> tuple[Column, Column]:
     return text, source
 
 
-def document_url(html: Column, pdf: Column, identifier: Column, published: Column, base: str, prefix: str = "BOE-") -> Column:
-    """HTML address, else PDF address, else one from the identifier and the date."""
-    blank = F.lit("")
-    return F.coalesce(
-        F.nullif(F.trim(html), blank), F.nullif(F.trim(pdf), blank),
-        F.when(identifier.startswith(prefix), F.concat(F.lit(f"{base}/txt.php?id="), identifier)),
-        F.concat(F.lit(f"{base}/dias/"), F.date_format(published, "yyyy/MM/dd"), F.lit("/")),
-    )
+# The site's address, and where it shows a notice and a document.
+SITE, NOTICE_PREFIX, NOTICE_PLACE, DOCUMENT_PLACE = "https://www.boe.es", "BOE-N-", "/boe_n/dias/", "/diario_boe/txt.php?id="
+
+
+def document_url(html: Column, pdf: Column, identifier: Column, published: Column, site: str = SITE) -> Column:
+    """Where a document is shown: its page, else its PDF, else a place made from its identifier and date; addresses without a host get the site's."""
+
+    def absolute(url: Column) -> Column:
+        url = F.nullif(url, F.lit(""))
+        return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(site), url))
+
+    notice = F.concat(F.lit(site + NOTICE_PLACE), F.date_format(published, "yyyy/MM/dd"), F.lit("/not.php?id="), identifier)
+    return F.coalesce(absolute(html), absolute(pdf), F.when(identifier.startswith(NOTICE_PREFIX), notice), F.concat(F.lit(site + DOCUMENT_PLACE), identifier))
 
 
 class FixtureConnector:
