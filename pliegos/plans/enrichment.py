@@ -86,7 +86,7 @@ def found_fields(asked: DataFrame, candidates: DataFrame, pages: DataFrame, leas
     ``asked``: case_id, nombre, identificador, query; ``candidates``: query, ord, url, title, snippet; ``pages``: url, html of pages that were fetched.
     """
     texts = _texts(asked, candidates, pages)
-    confidence = search.evidence(text.evidence_form(F.col("body")), text.evidence_form(F.col("identificador")), text.evidence_form(F.col("nombre")))
+    confidence = search.evidence(text.evidence_form(F.col("body"), text.without_accents_long), text.evidence_form(F.col("identificador")), text.evidence_form(F.col("nombre")))
     texts = texts.withColumn("confidence", confidence).where(F.col("confidence") >= least)
     site = text.host(F.col("url"))
     texts = texts.withColumns({"directory": text.is_directory(site), "foreign": text.is_foreign_site(site), "phones": text.phones(F.col("body")), "mails": text.emails(F.col("body"))})
