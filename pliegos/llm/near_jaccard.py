@@ -12,8 +12,9 @@ with a probability under 1e-8.
 A bucket holds the texts of one key, and counts while its texts lie in several components. First each text meets the leader of a bucket, its smallest text:
 one leader, then those of its other buckets as far as they lie in other components; at first for a few bands only, which joins most copies, so that a bucket of copies
 takes as many comparisons as it has texts. Buckets of ``WHOLE`` texts or fewer that this leaves open are then compared whole. The texts of larger ones
-are compared by prefixes of their shingles in an order that puts common ones last, which loses no pair: many texts that share a passage do not meet by it. Prefix
-buckets go the same way, and those that are still large and open are compared whole, in steps that double, each text with those of other components only.
+are compared by prefixes of their shingles in an order that puts common ones last, which loses no pair: many texts that share a passage do not meet by it. A row of a prefix bucket
+knows how many shingles a text may have that first agrees with it there. A text with many shingles of its own reaches only shorter ones, so that texts of a family which differ too much are
+never a pair. The leader of a prefix bucket is the text with the fewest shingles before it, which is the middle of a family. What is open then is compared whole, in buckets of any size.
 
 Words: runs without white space, A-Z as a-z. Defined results: texts of fewer words make one shingle;
 null and wordless texts are all alike; ids may be null or repeated, as texts are told apart by their hash; very long texts are read
@@ -30,7 +31,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import numbered_in
 from . import simhash_gray
 from .components import components
 from .staging import free_name, staged
@@ -40,6 +40,8 @@ BANDS, ROWS, FIRST_BANDS, WHOLE, MOST_DIFFER = 28, 4, 4, 64, 32
 #: Shingles that so many texts hold count as common; so many of them are told to all tasks, and so many nodes.
 COMMON_FROM, COMMON, BROADCAST_NODES = 16, 1 << 18, 1 << 20
 SHINGLES_AT_ONCE, KEPT = 1 << 14, 400_000
+#: Classes of sizes in a bucket, so many for each doubling.
+SIZE_CLASSES = 32
 
 _draw = np.random.default_rng(42)
 PLACES = _draw.integers(1, 1 << 63, SHINGLE, "u8") | np.uint64(1)
@@ -160,28 +162,33 @@ def _fingerprint_links(docs: DataFrame, text_col: str) -> DataFrame:
     return equal.union(near)
 
 
-def _alike(x: str, y: str) -> Column:
-    """Whether two rows lie in different components, and their sizes and signatures allow a similarity of LEAST."""
+def _reach(n: Column) -> Column:
+    """How many shingles a text may have at most to be alike to one of ``n``."""
     part, whole = LEAST
-    smaller, larger = F.least(f"{x}.n", f"{y}.n").cast("long"), F.greatest(f"{x}.n", f"{y}.n").cast("long")
+    return F.floor(n.cast("long") * whole / part)
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether two rows lie in different components, each reaches the other's size, and their signatures allow a similarity of LEAST."""
+    reached = (F.col(f"{x}.n") <= F.col(f"{y}.reach")) & (F.col(f"{y}.n") <= F.col(f"{x}.reach"))
     differ = sum(F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in (0, 1))
-    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (smaller * whole >= larger * part) & (differ <= MOST_DIFFER)
+    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & reached & (differ <= MOST_DIFFER)
 
 
 def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, n, s0, s1, root) of keys whose texts lie in several components, with the key's smallest node as leader and its number of texts."""
-    ends = [F.min("root").alias("first"), F.max("root").alias("last"), F.min("node").alias("leader"), F.count(F.lit(1)).alias("many")]
+def _open(rows: DataFrame, leader: Column | None = None) -> DataFrame:
+    """The rows (key, node, n, s0, s1, reach, root) of keys whose texts lie in several components, with the key's leader, its smallest node unless given, and its number of texts."""
+    ends = [F.min("root").alias("first"), F.max("root").alias("last"), (F.min("node") if leader is None else leader).alias("leader"), F.count(F.lit(1)).alias("many")]
     keys = staged(rows.groupBy("key").agg(*ends).where("first <> last").select("key", "leader", "many"), "open-keys")
     return staged(rows.join(keys, "key"), "open-buckets")
 
 
 def _with_leaders(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's leader and another of its texts, once however many buckets they share."""
-    lead = members.where("node = leader").select("key", "node", "n", "s0", "s1", "root").alias("x")
+    lead = members.where("node = leader").select("key", "node", "n", "s0", "s1", "reach", "root").alias("x")
     other = members.where("node <> leader").alias("y")
     return other.join(lead, (F.col("x.key") == F.col("y.key")) & _alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
@@ -211,32 +218,38 @@ def _in_small(members: DataFrame, found: DataFrame, sets: DataFrame) -> tuple[Da
     return found, _open(_rooted(large, found))
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n) * SIZE_CLASSES).cast("int")
+
+
 def _across(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """``found`` after all pairs of different components in buckets of any size.
+    """``found`` after all pairs of different components in prefix buckets of any size that reach each other.
 
-    The texts of a bucket stand in the order of their components; each meets those before its own component, in steps that double, until
-    its bucket is one component or nothing is left.
+    Of such a pair, one at least reaches its own size: two that do not would each be the shorter one. All others look for those, by classes of
+    the sizes that they reach. The largest component of a bucket looks for the rest only, so that its texts do not meet each other.
     """
-    placed = numbered_in(members.drop("leader", "many"), ["key"], ["root", "node"], "place")
-    starts = placed.groupBy("key", "root").agg(F.min("place").alias("start"))
-    placed = staged(placed.join(starts, ["key", "root"]), "places")
-    low, most = 0, placed.agg(F.coalesce(F.max("start"), F.lit(1))).first()[0] - 1
-    while low < most:
-        now = _open(_rooted(placed, found)).drop("leader", "many")
-        if now.isEmpty():
-            break
-        asked = now.where(F.col("start") - 1 > low).withColumn("other", F.explode(F.sequence(F.lit(low + 1), F.least(F.col("start") - 1, F.lit(2 * low + 1)))))
-        x, y = now.alias("x"), asked.alias("y")
-        met = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.other")) & _alike("x", "y"))
-        found = _joined(found, _near(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets))
-        low = 2 * low + 1
-    return found
+    part, whole = LEAST
+    rows = _open(_rooted(members.drop("leader", "many"), found)).drop("leader", "many")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("many", "root")).alias("most")).select("key", F.col("most.root").alias("largest"))
+    rows = staged(rows.join(largest, "key").withColumn("inside", F.col("root") == F.col("largest")).drop("largest"), "texts-across")
+    met = rows.where("reach >= n").withColumn("size", _size_class(F.col("n")))
+    ends = met.groupBy("key", "inside").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far")).withColumnRenamed("inside", "side")
+    sides = F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    asking = rows.withColumn("side", F.explode(sides)).join(ends, ["key", "side"])
+    low, high = F.greatest("low", F.ceil(F.col("n").cast("long") * part / whole)), F.least("high", "reach")
+    asking = asking.where((low <= high) & (F.col("n") <= F.col("far"))).withColumn("size", F.explode(F.sequence(_size_class(low), _size_class(high))))
+    x, y = met.alias("x"), asking.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.inside") == F.col("y.side")) & (F.col("x.size") == F.col("y.size"))
+    pairs = y.join(x, same & _alike("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return _joined(found, _near(pairs, sets))
 
 
 def _prefixes(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (key, node, n, s0, s1, root) with a key for each shingle of a prefix of each text: two texts at LEAST or more share one of them.
+    """Rows (key, node, n, s0, s1, reach, root) with a key for each shingle of a prefix of each text: two texts at LEAST or more share one of them.
 
-    In any one order of all shingles, texts of n shingles at 4/5 or more share one among the first n - ceil(4 n / 5) + 1. The
+    In any one order of all shingles, texts of n shingles at 4/5 or more share one among the first n - ceil(4 n / 5) + 1. If the first that they share has p shingles of
+    one of them before it, they share n - p at most, and must share 4/9 of the sum of their sizes: the other has (5 n - 9 p) / 4 at most, which is the row's reach. The
     order here puts those last that many texts hold, so that a passage that many documents share is in few prefixes; which those are is counted
     over all of ``texts``, and the commonest ``COMMON`` are told to all tasks.
     """
@@ -254,9 +267,10 @@ def _prefixes(texts: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, s), len(keys) - 1) if len(keys) else None
                 weight = np.where(keys[at] == s, many[at], 0) if len(keys) else np.zeros(len(s), "i8")
                 first = s[np.lexsort((s, weight))[: len(s) - -(-part * len(s) // whole) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0)[k].as_py(), len(first)), pa.int64()), pa.array(first, pa.int64())], ["node", "key"])
+                reach = (whole * len(s) - (whole + part) * np.arange(len(first))) // part
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0)[k].as_py(), len(first)), pa.int64()), pa.array(first, pa.int64()), pa.array(reach, pa.int64())], ["node", "key", "reach"])
 
-    return held.select("node", "shingles").mapInArrow(cut, "node long, key long").join(texts, "node").select("key", "node", "n", "s0", "s1", "root")
+    return held.select("node", "shingles").mapInArrow(cut, "node long, key long, reach long").join(texts, "node").select("key", "node", "n", "s0", "s1", "reach", "root")
 
 
 def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -264,7 +278,7 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sketches = _sketches(docs, text_col)
 
     def bucketed(found: DataFrame, bands: int) -> DataFrame:
-        rows = _rooted(sketches, found).select("node", "n", "s0", "s1", "root", F.explode(F.slice("keys", 1, bands)).alias("key"))
+        rows = _rooted(sketches, found).select("node", "n", "s0", "s1", _reach(F.col("n")).alias("reach"), "root", F.explode(F.slice("keys", 1, bands)).alias("key"))
         return _open(rows)
 
     by_fingerprint = staged(_fingerprint_links(docs, text_col).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-pairs")
@@ -283,10 +297,9 @@ def roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if large.isEmpty():
         return found
     texts = staged(large.select("node", "n", "s0", "s1", "root").dropDuplicates(["node"]), "texts-apart")
-    members = _open(staged(_prefixes(texts, sets), "prefixes"))
-    found = _by_leaders(members, found, sets)
-    found, large = _in_small(members, found, sets)
-    return found if large.isEmpty() else _across(large, found, sets)
+    middle = F.min(F.struct((_reach(F.col("n")) - F.col("reach")).alias("before"), F.col("node")))["node"]
+    members = _open(staged(_prefixes(texts, sets), "prefixes"), middle)
+    return _across(members, _by_leaders(members, found, sets), sets)
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:

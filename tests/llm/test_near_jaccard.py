@@ -104,3 +104,19 @@ def test_signatures_of_near_texts_agree():
             near.append(differ[0])
         far.append(differ[1])
     assert len(near) > 100 and max(near) <= near_jaccard.MOST_DIFFER and sum(d <= near_jaccard.MOST_DIFFER for d in far) < 60
+
+
+def test_texts_of_a_family_that_differ_too_much_are_never_pairs(spark, monkeypatch):
+    """Texts with three words of their own, of which no two are near, and some near the middle of the family: what is verified grows with the texts, not with their pairs."""
+    monkeypatch.setattr(near_jaccard, "WHOLE", 4)
+    verified, plain = [], near_jaccard._verified
+    monkeypatch.setattr(near_jaccard, "_verified", lambda pairs, sets: (verified.append(pairs.count()), plain(pairs, sets))[1])
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(160):
+        own = (10, 40, 70) if k % 4 else (50,)
+        texts.append(" ".join(f"own{k}x{i}" if i in own else w for i, w in enumerate(base)))
+    rows = list(enumerate(texts))
+    kept = near_jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == plain_kept(rows) == {0, *(k for k in range(160) if k % 4)}
+    assert sum(verified) < 10 * len(texts)
