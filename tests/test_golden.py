@@ -54,3 +54,41 @@ def test_linked_persons_are_found_by_their_own_dni_name_and_mask(spark):
     links = spark.createDataFrame([(7, 1, "22222222-J", None, "Rosa Gil"), (8, 1, "B22222228", "juridica", "")], "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string")
     found = dataflow.history_search(index, dataflow.subject_keys(clients, links)).collect()
     assert {(r.doc_id, r.link_id, r.via, round(r.score, 2)) for r in found} == {("d1", 7, "dni", 1.0), ("d2", 7, "nombre_dni_parcial", 0.85), ("d3", 7, "nombre", 0.7), ("d4", 8, "cif", 1.0)}
+
+
+def test_the_radar_reads_its_clients_once(spark):
+    """The search behind results and alerts is made once, whichever of them is read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        read.add(1)
+        return name
+
+    rows = [(k, None, f"{k:08d}A", [f"{k:04d}BCD"], f"Ana {k}", "activo") for k in range(20)]
+    clients = spark.createDataFrame(rows, "cliente_id long, cif_nif string, dni_nie string, matriculas array<string>, nombre string, estado string")
+    clients = clients.withColumn("nombre", F.udf(seen, "string").asNondeterministic()("nombre"))
+    index = spark.createDataFrame(
+        [("d1", ["00000003A"], [], [], ["ana", "4"]), ("d2", [], ["0005BCD"], [], [])],
+        "doc_id string, identificadores array<string>, matriculas array<string>, digitos_parciales array<string>, tokens array<string>",
+    )
+    links = spark.createDataFrame([], "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string")
+    none = spark.createDataFrame([], "subject_id long, doc_id string, link_id long, via string, score double, vias array<string>")
+    results, alerts = dataflow.radar(index, clients, links, none)
+    assert {(r.subject_id, r.doc_id, r.via) for r in results.collect()} == {(3, "d1", "dni"), (4, "d1", "nombre"), (5, "d2", "matricula")}
+    assert {(r.subject_id, r.doc_id) for r in alerts.collect()} == {(3, "d1"), (5, "d2")}
+    assert read.value == len(rows)
+
+
+def test_keys_of_clients_and_links(spark):
+    clients = spark.createDataFrame(
+        [(1, "b-1234567-4", "12345678z", ["1234-bcd", "1234 BCD", None], "Ana  López"), (2, "12345678Z", "12345678-Z", None, None), (3, None, None, [], "")],
+        "cliente_id long, cif_nif string, dni_nie string, matriculas array<string>, nombre string",
+    )
+    links = spark.createDataFrame(
+        [(7, 1, "22222222-J", None, "Rosa Gil"), (8, 2, "B22222228", "juridica", ""), (9, 2, None, "fisica", None)],
+        "vinculo_id long, cliente_id long, identificador string, tipo_persona string, nombre string",
+    )
+    assert {tuple(r) for r in dataflow.subject_keys(clients, links).collect()} == {
+        (1, None, "cif", "B12345674"), (1, None, "dni", "12345678Z"), (1, None, "matricula", "1234BCD"), (1, None, "nombre", "ANA LOPEZ"), (2, None, "dni", "12345678Z"),
+        (1, 7, "dni", "22222222J"), (1, 7, "nombre", "ROSA GIL"), (2, 8, "cif", "B22222228"),
+    }
