@@ -56,6 +56,20 @@ def test_linked_persons_are_found_by_their_own_dni_name_and_mask(spark):
     assert {(r.doc_id, r.link_id, r.via, round(r.score, 2)) for r in found} == {("d1", 7, "dni", 1.0), ("d2", 7, "nombre_dni_parcial", 0.85), ("d3", 7, "nombre", 0.7), ("d4", 8, "cif", 1.0)}
 
 
+def test_a_name_hit_of_low_rank_is_found_by_its_mask(spark):
+    """Of 250 documents with a name the last shows the mask, so that it is the best; the search returns them all."""
+    rows = [(f"d{k:03d}", [], [], ["***4567**"] if k == 249 else [], ["ana", "lopez"], "boe", None, "t", "", "diario") for k in range(250)]
+    index = spark.createDataFrame(
+        rows,
+        "doc_id string, identificadores array<string>, matriculas array<string>, digitos_parciales array<string>, tokens array<string>, fuente string, fecha_publicacion date, titulo string, nombres_norm string, origen_indexado string",
+    )
+    asked = spark.createDataFrame([(1, None, "12345678Z", None, "Ana López")], "consult_id long, cif string, dni string, matricula string, nombre string").withColumn("today", F.lit("2026-01-01").cast("date"))
+    best = dataflow.consult(index, asked, 3).orderBy("rank").collect()
+    assert [(r.doc_id, r.via, round(r.score, 2)) for r in best] == [("d249", "nombre_dni_parcial", 0.85), ("d000", "nombre", 0.7), ("d001", "nombre", 0.7)]
+    keys = spark.createDataFrame([(1, None, "nombre", "ANA LOPEZ")], "subject_id long, link_id long, kind string, key string")
+    assert {r.doc_id for r in dataflow.history_search(index, keys).collect()} == {r[0] for r in rows}
+
+
 def test_the_radar_reads_its_clients_once(spark):
     """The search behind results and alerts is made once, whichever of them is read."""
     read = spark.sparkContext.accumulator(0)
